@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinforge.llm import bpe_ops, media, packing
+from kinforge.llm import bpe_ops, media, packing, substrings
 from kinforge.llm.frames import table
 
 
@@ -16,6 +16,11 @@ def op1_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("tokens").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
+def op2_seed_and_extend_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe_ops.round_trip(table(spark, sf_dir, "documents"))
     joined = F.concat_ws(",", F.col("ids").cast("array<string>"))
@@ -43,6 +48,7 @@ def op4_signature_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_power_of_two_packing": op1_power_of_two_packing,
+    "op2_seed_and_extend_dedup": op2_seed_and_extend_dedup,
     "op3_bpe_round_trip": op3_bpe_round_trip,
     "op4_signature_sniffing": op4_signature_sniffing,
 }
