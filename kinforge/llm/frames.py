@@ -70,3 +70,46 @@ def cut(batch: pa.RecordBatch, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
             a, held = i, 0
         held += more
     yield batch.slice(a)
+
+
+def append(df: DataFrame, text_col: str, added: T.StructType, make: Callable[[pa.Array], list[pa.Array]]) -> DataFrame:
+    """`df` with columns made from its text, all others passed through."""
+    names = [f.name for f in added]
+    if clash := set(names) & set(df.columns):
+        raise ValueError(f"the table has columns of these names already: {sorted(clash)}")
+    place = df.columns.index(text_col)
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for a in range(0, batch.num_rows, 1000):
+                part = batch.slice(a, 1000)
+                yield pa.RecordBatch.from_arrays([*part.columns, *make(part.column(place))], names=[*part.schema.names, *names])
+
+    return df.mapInArrow(batches, T.StructType([*df.schema.fields, *added.fields]))
+
+
+def bucket_of(id_col: str, modulus: int) -> F.Column:
+    """crc32 of the id as text, modulo: decides what is held out of learning; 0 for a null id."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus, F.lit(0).cast("long"))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, modulus: int, held_out: int, per_class: int) -> DataFrame:
+    """(doc_id, text, label) of at most `per_class` labelled rows of either class that are not held out.
+
+    Which ones is decided by a hash of the id, so it is the same at every run.
+    At most 2 * per_class ids are broadcast."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(target).cast("int").alias("label"))
+    known = known.filter(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & (bucket_of("doc_id", modulus) != held_out))
+    known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    chosen = known.filter("label = 0").orderBy(*order).limit(per_class).unionByName(known.filter("label = 1").orderBy(*order).limit(per_class))
+    texts = two_columns(docs, "doc_id", "text")
+    return texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
+
+
+def class_sizes(labels: DataFrame, target: str, modulus: int, held_out: int) -> tuple[int, int]:
+    """How many rows of either class are not held out."""
+    row = labels.filter((bucket_of("doc_id", modulus) != held_out) & F.col("doc_id").isNotNull()).agg(
+        F.sum((F.col(target) == 0).cast("long")), F.sum((F.col(target) == 1).cast("long"))
+    ).first()
+    return row[0] or 0, row[1] or 0

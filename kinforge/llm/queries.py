@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinforge.llm import bpe_ops, media, packing, simhash, substrings
+from kinforge.llm import bpe_ops, media, packing, quality, simhash, substrings, toxicity
 from kinforge.llm.frames import table
 
 
@@ -46,17 +46,27 @@ def op4_signature_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_lexicon_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_quality_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_power_of_two_packing": op1_power_of_two_packing,
     "op2_seed_and_extend_dedup": op2_seed_and_extend_dedup,
     "op3_bpe_round_trip": op3_bpe_round_trip,
     "op4_signature_sniffing": op4_signature_sniffing,
+    "op6_lexicon_toxicity": op6_lexicon_toxicity,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op10_quality_factorisation_machine": op10_quality_factorisation_machine,
 }
 
 ORACLE_SQL: dict[str, str] = {}
