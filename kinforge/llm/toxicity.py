@@ -38,9 +38,11 @@ MODULUS, HELD_OUT = 5, 0
 PER_CLASS = 4096
 MAX_STEMS = 512
 MIN_STEM, MAX_STEM = 4, 12
-#: A stem's smoothed rate in toxic rows over that in clean rows must be this at least.
-MIN_ODDS = 20.0
-MIN_ROWS = 3
+#: A stem's smoothed rate in toxic rows over that in clean rows must be this at least,
+MIN_ODDS = 8.0
+#: and its likelihood ratio against an equal rate (about one in a million by chance).
+MIN_EVIDENCE = 24.0
+MIN_ROWS = 4
 
 # Letters of other scripts that look like Latin ones, and signs written for letters.
 HOMOGLYPHS = dict(zip("аеорсухіјѕһԁӏԛԝкмтвнαορνικυτɑıĸ", "aeopcyxijshdlqwkmtbhaopvikutaik", strict=True))
@@ -110,8 +112,12 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     if not all(sizes):
         return Model(constant=sizes[1] / max(1, sum(sizes)))
     sample = labelled_sample(docs, labels, "toxic", MODULUS, HELD_OUT, per_class)
+    # copies that begin alike count once, else one text's words would pass for a habit
+    sample = sample.withColumn("start", F.xxhash64(F.substring("text", 1, 200)))
+    sample = sample.dropDuplicates(["label", "start"]).drop("start")
+    taken_by = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    taken = [max(1, taken_by.get(k, 0)) for k in (0, 1)]
     words = _word_counts(sample)
-    taken = [min(n, per_class) for n in sizes]
     model = Model(stems=choose_stems(words, taken))
     model.exceptions = _exceptions(sample, model, taken)
 
@@ -161,8 +167,13 @@ def choose_stems(words: dict[str, tuple[int, int]], sizes: list[int], max_stems:
     def odds(stem: str) -> float:
         return ((n_toxic[stem] + 0.5) / (sizes[1] + 1)) / ((n_clean[stem] + 0.5) / (sizes[0] + 1))
 
-    least = max(MIN_ROWS, sizes[1] // 400)
-    good = sorted((s for s, n in n_toxic.items() if n >= least and odds(s) >= min(MIN_ODDS, least * 2.0)), key=lambda s: (len(s), s))
+    def evidence(stem: str) -> float:
+        found, toxic = n_clean[stem] + n_toxic[stem], sizes[1] / sum(sizes)
+        parts = ((n_toxic[stem], found * toxic), (n_clean[stem], found * (1 - toxic)))
+        return 2 * sum(n * math.log(n / expected) for n, expected in parts if n)
+
+    good = [s for s, n in n_toxic.items() if n >= MIN_ROWS and odds(s) >= MIN_ODDS and evidence(s) >= MIN_EVIDENCE]
+    good.sort(key=lambda s: (len(s), s))
     out: dict[str, float] = {}
     longer: dict[str, list[str]] = {}
     for stem in n_toxic:
