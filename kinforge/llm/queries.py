@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinforge.llm import bpe_ops, media, packing, quality, simhash, substrings, toxicity
+from kinforge.llm import bpe_ops, line_crf, media, packing, quality, simhash, substrings, toxicity
 from kinforge.llm.frames import table
 
 
@@ -46,6 +46,11 @@ def op4_signature_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_line_crf_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_crf.ruled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.drop("line_states")
+
+
 def op6_lexicon_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_seed_and_extend_dedup": op2_seed_and_extend_dedup,
     "op3_bpe_round_trip": op3_bpe_round_trip,
     "op4_signature_sniffing": op4_signature_sniffing,
+    "op5_line_crf_rules": op5_line_crf_rules,
     "op6_lexicon_toxicity": op6_lexicon_toxicity,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op10_quality_factorisation_machine": op10_quality_factorisation_machine,
