@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinforge.llm import bpe_ops, line_crf, media, packing, quality, simhash, substrings, toxicity
-from kinforge.llm.frames import table
+from kinforge.llm import bpe_ops, line_crf, media, packing, quality, sharding, simhash, substrings, toxicity
+from kinforge.llm.frames import shared_folder, table
 
 
 def op1_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +61,19 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: Arrivals into which op9 deals the documents.
+ARRIVALS = 8
+
+
+def op9_size_tiered_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, stored in arrivals, merged by size, read back from the last manifest."""
+    store = sharding.Store(spark, f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}")
+    docs = table(spark, sf_dir, "documents")
+    store.append_all(docs.withColumn("_arrival", F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(ARRIVALS))), "_arrival")
+    store.vacuum()
+    return store.read().select("doc_id", "lang", "source", "n_chars", F.octet_length("text").cast("long").alias("n_bytes"), F.md5("text").alias("text_md5"))
+
+
 def op10_quality_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -72,7 +86,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_crf_rules": op5_line_crf_rules,
     "op6_lexicon_toxicity": op6_lexicon_toxicity,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op9_size_tiered_sharding": op9_size_tiered_sharding,
     "op10_quality_factorisation_machine": op10_quality_factorisation_machine,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_size_tiered_sharding": "SELECT doc_id, lang, source, n_chars, CAST(strlen(text) AS BIGINT) AS n_bytes, md5(text) AS text_md5 FROM documents",
+}
