@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinforge.llm import bpe_ops, line_crf, media, packing, quality, sharding, simhash, substrings, toxicity
+from kinforge.llm import bpe_ops, html_tree, line_crf, media, packing, quality, sharding, simhash, substrings, toxicity
 from kinforge.llm.frames import shared_folder, table
 
 
@@ -56,6 +56,11 @@ def op6_lexicon_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_dom_tree_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = html_tree.extract(table(spark, sf_dir, "pages"))
+    return texts.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -85,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_signature_sniffing": op4_signature_sniffing,
     "op5_line_crf_rules": op5_line_crf_rules,
     "op6_lexicon_toxicity": op6_lexicon_toxicity,
+    "op7_dom_tree_extraction": op7_dom_tree_extraction,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_size_tiered_sharding": op9_size_tiered_sharding,
     "op10_quality_factorisation_machine": op10_quality_factorisation_machine,
