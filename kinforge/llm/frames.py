@@ -121,3 +121,11 @@ def class_sizes(labels: DataFrame, target: str, modulus: int, held_out: int) ->
         F.sum((F.col(target) == 0).cast("long")), F.sum((F.col(target) == 1).cast("long"))
     ).first()
     return row[0] or 0, row[1] or 0
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, or it with underscores before it, such that no column has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

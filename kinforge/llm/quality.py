@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinforge.llm.frames import append, bucket_of, class_sizes, labelled_sample, two_columns
+from kinforge.llm.frames import append, bucket_of, class_sizes, free_name, labelled_sample, two_columns
 from kinforge.llm.ragged import SEP, chunks, counts, hash_slices, mix, padded, per_row, window_hash, words
 
 MODULUS, HELD_OUT = 3, 1
@@ -197,18 +197,21 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mac
     return machine
 
 
-SCORE = T.StructType([T.StructField("score", T.DoubleType())])
-
-
-def score(docs: DataFrame, model: Machine | float, text_col: str = "text") -> DataFrame:
-    """`docs` with its column `score`."""
+def score(docs: DataFrame, model: Machine | float, text_col: str = "text", name: str = "score") -> DataFrame:
+    """`docs` with one more column, its score."""
     if isinstance(model, float):
-        return docs.withColumn("score", F.lit(model))
+        return docs.withColumn(name, F.lit(model))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return append(docs, text_col, SCORE, lambda texts: [pa.array(shared.value.scores(texts))])
+    return append(docs, text_col, T.StructType([T.StructField(name, T.DoubleType())]), lambda texts: [pa.array(shared.value.scores(texts))])
 
 
 def scored(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row."""
     out = score(two_columns(docs, "doc_id", "text"), learn(docs, labels, per_class))
     return out.select("doc_id", (bucket_of("doc_id", MODULUS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def without_poor(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, per_class: int = PER_CLASS) -> DataFrame:
+    """The rows of `docs` that reach the threshold, with the same columns."""
+    name = free_name(docs, "quality")
+    return score(docs, learn(docs, labels, per_class), name=name).filter(F.col(name) >= threshold).drop(name)

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinforge.llm.components import components
-from kinforge.llm.frames import checkpointed, map_texts, two_columns
+from kinforge.llm.frames import checkpointed, free_name, map_texts, two_columns
 from kinforge.llm.ragged import chunks, gather, words
 
 SHINGLE, SEED, MAX_BITS, MIN_BYTES = 3, 42, 3, 5
@@ -196,3 +196,15 @@ def near_duplicates(docs: DataFrame, positions: int = 3, block: int = 1024, id_c
     least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     named = classes.select("fp", "root").join(least, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, positions: int = 3, block: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` whose id is the smallest of its component, one row for
+    each id, with the same columns; rows without an id cannot be named and stay."""
+    found = near_duplicates(docs, positions, block, id_col, text_col)
+    keep = checkpointed(found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")))
+    ids = keep.select(F.col("doc_id").alias(free_name(docs, "kept_id")))
+    kept = docs.join(ids, F.col(id_col).cast("long") == F.col(ids.columns[0]), "left_semi")
+    if not keep.filter("n > 1").isEmpty():  # rows that repeat an id
+        kept = kept.dropDuplicates([id_col])
+    return kept.unionByName(docs.filter(F.col(id_col).isNull()))

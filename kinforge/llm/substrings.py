@@ -36,7 +36,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinforge.llm.frames import two_columns
 from kinforge.llm.ragged import chunks, covered, gather, hash_slices, padded, window_hash, words
 
 MIN_WORDS, SEED_WORDS = 13, 5
@@ -132,11 +131,15 @@ def repeats(
     bucket_bytes: int = BUCKET_BYTES,
     id_col: str = "doc_id",
     text_col: str = "text",
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row per row of `docs`: doc_id, n_words, n_removed, spans (first and
     last word of each maximal repeat that a smaller document has), kept (the
-    other words joined by one space)."""
-    texts = two_columns(docs, id_col, text_col)
+    other words joined by one space), and the columns `carry` as in_<name>."""
+    carried = [F.col(c).alias(f"in_{c}") for c in carry]
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *carried)
+    names = [f"in_{c}" for c in carry]
+    schema = T.StructType([*KEPT.fields, *(texts.schema[c] for c in names)])
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, math.ceil(total / block_bytes))
     n_buckets = max(1, math.ceil(total / 3 / bucket_bytes))
@@ -199,13 +202,16 @@ def repeats(
                 cut = covered(w.at[least[np.searchsorted(own, w.hash)] < w.doc], min_words, len(w.start))
             else:
                 cut = np.zeros(len(w.start), bool)
-            parts.append(_result(left.column("doc_id").slice(a, b - a), data, w, cut))
-        return pa.concat_tables(parts) if parts else KEPT_ARROW.empty_table()
+            part = _result(left.column("doc_id").slice(a, b - a), data, w, cut)
+            for c in names:
+                part = part.append_column(c, left.column(c).slice(a, b - a))
+            parts.append(part)
+        return pa.concat_tables(parts) if parts else pa.schema([*KEPT_ARROW, *(left.schema.field(c) for c in names)]).empty_table()
 
     answers = blocks.groupBy("block").applyInArrow(anchors, SENT).groupBy("bucket").applyInArrow(shared, ANSWER)
     found = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(extended, SENT)
     lows = found.groupBy("bucket").applyInArrow(smallest, ANSWER)
-    return blocks.groupBy("block").cogroup(lows.groupBy("block")).applyInArrow(removed, KEPT)
+    return blocks.groupBy("block").cogroup(lows.groupBy("block")).applyInArrow(removed, schema)
 
 
 def _answers(table: pa.Table, source: np.ndarray, columns: list[np.ndarray]) -> pa.Table:
@@ -220,6 +226,14 @@ def _answers(table: pa.Table, source: np.ndarray, columns: list[np.ndarray]) ->
     return _table(rows, ANSWER)
 
 
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """`docs` with the same columns; a text that has repeats keeps its other words,
+    joined by one space, any other text stays as it is."""
+    found = repeats(docs, id_col=id_col, text_col=text_col, carry=tuple(docs.columns), **how)
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col(f"in_{text_col}"))
+    return found.select(*((text if c == text_col else F.col(f"in_{c}")).alias(c) for c in docs.columns))
+
+
 SPAN = pa.struct([("first", pa.int64()), ("last", pa.int64())])
 KEPT_ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(SPAN)), ("kept", pa.string())])
 

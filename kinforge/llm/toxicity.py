@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinforge.llm.frames import append, bucket_of, class_sizes, labelled_sample, two_columns
+from kinforge.llm.frames import append, bucket_of, class_sizes, free_name, labelled_sample, two_columns
 
 MODULUS, HELD_OUT = 5, 0
 PER_CLASS = 4096
@@ -240,11 +240,8 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.
     return w
 
 
-SCORE = T.StructType([T.StructField("score", T.DoubleType())])
-
-
-def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """`docs` with its column `score`."""
+def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
+    """`docs` with one more column, its score."""
 
     def make(texts: pa.Array) -> list[pa.Array]:
         if model.constant is not None:
@@ -254,7 +251,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         z = model.weights[0] + both @ np.array(model.weights[1:])
         return [pa.array(1 / (1 + np.exp(-np.clip(z, -50, 50))))]
 
-    return append(docs, text_col, SCORE, make)
+    return append(docs, text_col, T.StructType([T.StructField(name, T.DoubleType())]), make)
 
 
 _BUILT: dict[str, tuple] = {}
@@ -273,3 +270,9 @@ def scored(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Da
     """(doc_id, held_out, score, predicted) for every row."""
     out = score(two_columns(docs, "doc_id", "text"), learn(docs, labels, per_class))
     return out.select("doc_id", (bucket_of("doc_id", MODULUS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, per_class: int = PER_CLASS) -> DataFrame:
+    """The rows of `docs` that score below the threshold, with the same columns."""
+    name = free_name(docs, "toxicity")
+    return score(docs, learn(docs, labels, per_class), name=name).filter(F.col(name) < threshold).drop(name)
