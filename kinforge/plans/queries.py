@@ -1,13 +1,381 @@
-"""Registered queries over the driver's tables."""
+"""Registered queries over the driver's tables, most of them over a record view of `documents`."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kinforge.functions import keys, rules, text
+from kinforge.functions.similarity import jaccard, qgrams
+from kinforge.operators import blocking, features, metrics, model, split, validate
+from kinforge.plans import linkage
+from kinforge.plans.oracle import RANK_K, SQL
+from kinforge.sources import records as rec
+from kinforge.streaming import probe
 
 FLAGSHIP = "block_all_topk"
+IDS = ["source1_entity_id", "candidate_entity_id"]
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def _view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rec.record_view(_docs(spark, sf_dir)).drop("text")
+
+
+def _inputs(spark: SparkSession, sf_dir: str) -> linkage.Inputs:
+    return linkage.view_inputs(_docs(spark, sf_dir).select("doc_id", "lang", "source", "text"))
+
+
+def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linkage.view_truth(_docs(spark, sf_dir))
+
+
+def _ranked(spark: SparkSession, sf_dir: str, k: int = RANK_K) -> DataFrame:
+    inputs = _inputs(spark, sf_dir)
+    return blocking.candidate_pairs(inputs.s1, inputs.catalogue, k)
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder that the driver and executors share."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base}/kinforge-{uuid.uuid4().hex}"
+
+
+def _long(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("long") for c in columns})
+
+
+def _rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(F.col(c).cast("double"), digits) for c in columns})
+
+
+def scan_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _view(spark, sf_dir).select(*rec.RECORD.names)
+
+
+def source_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tagged = rec.with_source(_view(spark, sf_dir).select("entity_id"))
+    return _long(tagged, "source").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
+def country_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(metrics.shares(_view(spark, sf_dir).select("country"), "country"), 6, "share")
+
+
+def missing_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gone = {"no_name": "business_name", "no_address": "business_address"}
+    counts = [F.sum(text.is_missing(F.col(c)).cast("long")).alias(n) for n, c in gone.items()]
+    return _long(_view(spark, sf_dir), "source").groupBy("source").agg(F.count(F.lit(1)).alias("n"), *counts)
+
+
+def length_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = []
+    for side, c in (("name", "business_name"), ("address", "business_address")):
+        made += [F.round(F.avg(F.length(c)), 6).alias(f"mean_{side}"), F.max(F.length(c)).cast("long").alias(f"max_{side}")]
+    return _view(spark, sf_dir).groupBy("country").agg(*made)
+
+
+def duplicate_name_addr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by = ["country", "business_name", "business_address"]
+    return _view(spark, sf_dir).groupBy(*by).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+
+def tsv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{_folder(spark)}/records"
+    scan_records(spark, sf_dir).write.option("sep", "\t").option("header", True).option("emptyValue", "").csv(path)
+    read = rec.read_tsv(spark, path)
+    return read.na.fill("", ["business_name", "business_address"])
+
+
+def parquet_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, inputs = _folder(spark), _inputs(spark, sf_dir)
+    for name, df in (("s2", inputs.s2), ("s3", inputs.s3)):
+        rec.write_parquet(df.select("entity_id", "country"), f"{folder}/{name}")
+    rec.merge_parquet(spark, [f"{folder}/s2", f"{folder}/s3"], f"{folder}/all")
+    return rec.read_parquet(spark, f"{folder}/all", columns=["entity_id", "country"])
+
+
+def first_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inputs, path = _inputs(spark, sf_dir), f"{_folder(spark)}/ids.tsv"
+    rec.write_id_lists(inputs.s1.select(F.col("entity_id").alias("source1_entity_id"), F.lit("").alias("matched_entity_ids")), path)
+    return rec.read_ids(spark, path)
+
+
+def ground_truth_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _truth(spark, sf_dir)
+
+
+def _truth_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rec.matched_lists(_inputs(spark, sf_dir).s1, _truth(spark, sf_dir))
+
+
+def _strata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.with_stratum(_truth_lists(spark, sf_dir), _inputs(spark, sf_dir).s1)
+
+
+def match_count_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _strata(spark, sf_dir).groupBy("match_bucket").agg(F.count(F.lit(1)).alias("n"))
+
+
+def match_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _long(_strata(spark, sf_dir), "match_count").groupBy("match_count").agg(F.count(F.lit(1)).alias("n"))
+
+
+def stratum_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(metrics.shares(_strata(spark, sf_dir).select("stratum"), "stratum"), 6, "share")
+
+
+def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.stratified_split(_strata(spark, sf_dir), 100).select("source1_entity_id", "country", "stratum")
+
+
+def uniform_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.uniform_sample(_view(spark, sf_dir).select("entity_id"), 50)
+
+
+def semi_join_val(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.only_ids(_inputs(spark, sf_dir).s1.select("entity_id"), _truth(spark, sf_dir))
+
+
+def anti_join_train(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.without_ids(_inputs(spark, sf_dir).s1.select("entity_id"), _truth(spark, sf_dir))
+
+
+def union_catalogues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _long(_inputs(spark, sf_dir).catalogue, "source").groupBy("country", "source").agg(F.count(F.lit(1)).alias("n"))
+
+
+def normalize_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.normalize(_view(spark, sf_dir)).select("entity_id", "n_norm")
+
+
+def normalize_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.normalize(_view(spark, sf_dir)).select("entity_id", "a_norm")
+
+
+def normalized_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = text.normalize(_view(spark, sf_dir))
+    return out.select("entity_id", "n_norm", "n_clean", "n_has", "a_norm", "a_has", "a_postal", "a_street", "c_norm")
+
+
+def _keys(strategy: str) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = keys.exploded(_view(spark, sf_dir), "entity_id").filter(F.col("strategy") == strategy)
+        return _long(found.select("entity_id", "key", "pos"), "pos")
+
+    return query
+
+
+def _postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    catalogue = _inputs(spark, sf_dir).catalogue
+    return blocking.postings(blocking.candidate_keys(catalogue, ["entity_id"]), catalogue)
+
+
+def posting_df(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _postings(spark, sf_dir).drop("idf")
+
+
+def posting_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_postings(spark, sf_dir).drop("df"), 6, "idf")
+
+
+def hot_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys beyond a hundredth of their family's cap."""
+    caps = F.create_map(*(x for s, n in rules.POSTING_CAPS.items() for x in (F.lit(s), F.lit(n))))
+    return posting_df(spark, sf_dir).filter(F.col("df") > caps[F.col("strategy")] / 100)
+
+
+def _block(*strategies: str) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        inputs = _inputs(spark, sf_dir)
+        ranked = blocking.candidate_pairs(inputs.s1, inputs.catalogue, 50, strategies=strategies or rules.STRATEGIES)
+        return _long(_rounded(ranked, 6, "blocking_score"), "candidate_rank")
+
+    return query
+
+
+def stream_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates found by a stream of records, written batch by batch, read back."""
+    folder, inputs = _folder(spark), _inputs(spark, sf_dir)
+    probe.build_index(inputs.catalogue, f"{folder}/index")
+    inputs.s1.select(*rec.RECORD.names).write.parquet(f"{folder}/incoming")
+    stream = spark.readStream.schema(rec.RECORD).parquet(f"{folder}/incoming")
+    probe.start(spark, stream, f"{folder}/index", f"{folder}/out", f"{folder}/state").awaitTermination()
+    found = spark.read.parquet(f"{folder}/out").drop("batch")
+    return _long(_rounded(found, 6, "blocking_score"), "candidate_rank")
+
+
+def strategy_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inputs = _inputs(spark, sf_dir)
+    found = blocking.strategy_recall(blocking.attributed(_truth(spark, sf_dir), inputs.s1, inputs.catalogue))
+    return _rounded(found, 6, "recall")
+
+
+def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(blocking.recall_at(_truth(spark, sf_dir), _ranked(spark, sf_dir), (1, 5, 10, 20)), 6, "recall")
+
+
+def recall_at_k_by_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bucket = _strata(spark, sf_dir).select("source1_entity_id", "match_bucket")
+    tagged = _truth(spark, sf_dir).join(bucket, "source1_entity_id")
+    return _rounded(blocking.recall_at(tagged, _ranked(spark, sf_dir), (1, 5, 10, 20), ("match_bucket",)), 6, "recall")
+
+
+def reduction_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inputs = _inputs(spark, sf_dir)
+    return _rounded(blocking.reduction(inputs.s1, inputs.catalogue, _ranked(spark, sf_dir)), 6, "reduction_ratio")
+
+
+def pair_features_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inputs = _inputs(spark, sf_dir)
+    return features.pair_features(_ranked(spark, sf_dir), inputs.s1, inputs.catalogue, _truth(spark, sf_dir))
+
+
+def _features(digits: int, *columns: str, whole: tuple[str, ...] = (), ascii_only: bool = False) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        inputs = _inputs(spark, sf_dir)
+        sided = features.with_sides(features.with_meta(_ranked(spark, sf_dir)), inputs.s1, inputs.catalogue)
+        if ascii_only:
+            sided = sided.filter(F.concat("l.n_norm", "r.n_norm").rlike("^[ -~]+$"))
+        rows = features.features(sided).select(*IDS, *columns, *whole)
+        return _long(_rounded(rows, digits, *columns), *whole)
+
+    return query
+
+
+def sim_char3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inputs = _inputs(spark, sf_dir)
+    sided = features.with_sides(_ranked(spark, sf_dir), inputs.s1, inputs.catalogue)
+    value = jaccard(qgrams(F.col("l.n_norm")), qgrams(F.col("r.n_norm")))
+    return sided.select(*IDS, F.round(value, 5).alias("char3_jaccard"))
+
+
+def label_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = features.labelled(_ranked(spark, sf_dir), _truth(spark, sf_dir))
+    return _rounded(metrics.label_balance(rows), 6, "positive_rate", "scale_pos_weight")
+
+
+def feature_label_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = features.label_correlation(pair_features_full(spark, sf_dir))
+    return _rounded(found.filter(F.col("feature").isin("candidate_rank", "is_source2")).select("feature", "correlation"), 5, "correlation")
+
+
+def feature_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.label_correlation(pair_features_full(spark, sf_dir))
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate pairs with a hand-made score."""
+    made = F.least(F.lit(1.0), F.round(F.col("blocking_score") / 40.0, 6))
+    return _ranked(spark, sf_dir).withColumn("score", made)
+
+
+def entity_f05(spark: SparkSession, sf_dir: str) -> DataFrame:
+    predicted = _scored(spark, sf_dir).filter("score >= 0.75")
+    counts = metrics.entity_counts(_inputs(spark, sf_dir).s1, _truth(spark, sf_dir), predicted)
+    return _long(_rounded(metrics.entity_scores(counts), 6, "precision", "recall", "f"), "tp", "n_true", "n_pred")
+
+
+_MEANS = metrics.MACRO[:5]
+
+
+def macro_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    predicted = _scored(spark, sf_dir).filter("score >= 0.75")
+    return _rounded(metrics.evaluate(_inputs(spark, sf_dir).s1, _truth(spark, sf_dir), predicted), 6, *_MEANS)
+
+
+def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    swept = metrics.threshold_sweep(_inputs(spark, sf_dir).s1, _truth(spark, sf_dir), _scored(spark, sf_dir), metrics.grid(0.10, 0.95, 0.05))
+    return _rounded(swept, 6, *_MEANS)
+
+
+def best_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.best_threshold(threshold_sweep(spark, sf_dir))
+
+
+def ranking_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = features.labelled(_scored(spark, sf_dir), _truth(spark, sf_dir))
+    return _rounded(metrics.ranking_quality(rows), 6, "roc_auc", "average_precision")
+
+
+def blend_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _scored(spark, sf_dir).withColumnRenamed("score", "a").withColumn("b", 1.0 / F.col("candidate_rank"))
+    return _rounded(model.blend(rows, ["a", "b"], [0.6, 0.4]).select(*IDS, "score"), 6, "score")
+
+
+def match_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rec.matched_lists(_inputs(spark, sf_dir).s1, _scored(spark, sf_dir).filter("score >= 0.75"))
+
+
+def candidate_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rec.candidate_lists(_inputs(spark, sf_dir).s1, _ranked(spark, sf_dir))
+
+
+def validate_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every rule on a made file that breaks each once."""
+    lines = ["S1-1\tS1-1,S2-5", "S1-2\tS2-5,S2-5", "S1-3\tS2-404", "S1-3\t", "S1-9\tX-7", "no tab here", ""]
+    rows = validate.parsed(spark.createDataFrame([(x,) for x in lines], "value string"))
+    required = spark.createDataFrame([(f"S1-{k}",) for k in (1, 2, 3, 4)], "entity_id string")
+    targets = spark.createDataFrame([("S2-5",), ("S3-6",)], "entity_id string")
+    return validate.list_findings(rows, required, targets)
+
+
+def _training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pair_features_full(spark, sf_dir)
+
+
+def gbt_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of a model that is stored and loaded again."""
+    folder = _folder(spark)
+    rec.write_parquet(_training_rows(spark, sf_dir), f"{folder}/rows")
+    rows = spark.read.parquet(f"{folder}/rows")
+    model.save(model.train(rows, model.Learner("gbt", dict(model.GBT_VARIANTS["quick"]))), f"{folder}/model")
+    return model.score(features.clipped(rows), model.load(f"{folder}/model")).select(*IDS, "label", "score")
+
+
+def gbt_cv_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ROC-AUC and average precision of out-of-fold scores."""
+    folder = _folder(spark)
+    rec.write_parquet(_training_rows(spark, sf_dir), f"{folder}/rows")
+    scored = model.out_of_fold(spark.read.parquet(f"{folder}/rows"), model.Learner("gbt", {"maxIter": 5, "maxDepth": 4}))
+    return metrics.ranking_quality(scored)
+
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        scan_records, source_tag, country_counts, missing_profile, length_profile, duplicate_name_addr, tsv_round_trip, parquet_merge, first_ids,
+        ground_truth_pairs, match_count_buckets, match_distribution, stratum_shares, stratified_split, uniform_sample, semi_join_val, anti_join_train,
+        union_catalogues, normalize_names, normalize_addresses, normalized_records, posting_df, posting_idf, hot_keys, stream_probe, strategy_recall,
+        recall_at_k, recall_at_k_by_bucket, reduction_ratio, pair_features_full, sim_char3_jaccard, label_balance, feature_label_corr, feature_audit,
+        entity_f05, macro_metrics, threshold_sweep, best_threshold, ranking_quality, blend_scores, match_lists, candidate_lists, validate_results,
+        gbt_score, gbt_cv_auc,
+    )
+} | {
+    "keys_name": _keys("name_tokens"),
+    "keys_prefix": _keys("char_ngrams"),
+    "keys_soundex": _keys("phonetic"),
+    "keys_address": _keys("address"),
+    "block_token": _block("name_tokens"),
+    "block_prefix": _block("char_ngrams"),
+    "block_phonetic": _block("phonetic"),
+    "block_address": _block("address"),
+    "block_all_topk": _block(),
+    "sim_levenshtein": _features(5, "name_lev_sim", ascii_only=True),
+    "sim_jaro_winkler": _features(5, "name_jw_sim", ascii_only=True),
+    "sim_token_jaccard": _features(5, "name_word_jaccard", whole=("name_common_tokens",)),
+    "sim_token_ratios": _features(5, "name_token_sort", "name_token_set", "addr_token_sort", "addr_token_set"),
+    "len_features": _features(5, "name_len_ratio", whole=("name_len_diff",)),
+    "digit_overlap": _features(5, whole=("digits_overlap",)),
+    "exact_flags": _features(5, whole=("name_exact_raw", "addr_exact_norm")),
+    "meta_features": _features(4, "score_gap_to_top", whole=("candidate_rank", "candidate_count", "is_source2", "is_source3")),
+}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = dict(SQL)
