@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from kinforge.functions import rules
 from kinforge.functions.keys import exploded, key_weight
+from kinforge.operators.joins import split_join
 
 KEY = ["country", "strategy", "key"]
 
@@ -51,7 +52,7 @@ def weights(post: DataFrame) -> DataFrame:
 
 def scores(asked: DataFrame, weighted: DataFrame, listed: DataFrame) -> DataFrame:
     """(source1_entity_id, candidate_entity_id, blocking_score, first_pos, ord)."""
-    met = asked.join(weighted, KEY).join(listed, KEY)
+    met = split_join(asked, weighted, KEY).join(listed, KEY)
     summed = met.groupBy("source1_entity_id", "candidate_entity_id").agg(
         F.sum("weight").alias("s"), F.min("pos").alias("first_pos"), F.min("ord").alias("ord")
     )
