@@ -113,9 +113,10 @@ def linked(left: np.ndarray, right: np.ndarray | None) -> tuple[np.ndarray, np.n
     All places are tallied for a strip of rows at a time; of what hangs
     together only links to its smallest fingerprint are given."""
     both = left if right is None else np.concatenate([left, right])
+    if not len(left) or (right is not None and not len(right)):  # a block may have no entries
+        return both[:0], both[:0]
     other = both if right is None else right
     base = 0 if right is None else len(left)
-    label = np.arange(len(both))
     order = np.argsort(both, kind="stable")
     rank = np.empty_like(order)
     rank[order] = np.arange(len(both))
