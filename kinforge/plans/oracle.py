@@ -121,6 +121,15 @@ def qgrams(text: str) -> str:
     return f"(CASE WHEN length({text}) < 3 THEN [{text}] ELSE list_distinct(list_transform(range(1, length({text}) - 1), lambda i: substr({text}, i, 3))) END)"
 
 
+#: DuckDB measures edits in bytes: one spare ASCII sign stands for each letter beyond ASCII.
+_BEYOND = "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿœ"
+_SPARE = "ABCDEFGHIJKLMNOPQRSTUVWXYZ!#$%&*"
+
+
+def one_byte(x: str) -> str:
+    return f"translate({x}, '{_BEYOND}', '{_SPARE}')"
+
+
 SCORE = "least(1.0, round(score / 40.0, 6))"
 F05 = "CASE WHEN n_true = 0 AND n_pred = 0 THEN 1.0 WHEN tp = 0 THEN 0.0 ELSE 1.25 * (tp * 1.0 / n_pred) * (tp * 1.0 / n_true) / (0.25 * tp / n_pred + tp * 1.0 / n_true) END"
 PREC = "CASE WHEN n_true = 0 AND n_pred = 0 THEN 1.0 WHEN n_true = 0 OR n_pred = 0 THEN 0.0 ELSE tp * 1.0 / n_pred END"
@@ -230,9 +239,9 @@ SQL: dict[str, str] = {
         *BLOCK,
     ),
     "sim_levenshtein": sql(
-        f"SELECT {IDS}, {narrow('1 - levenshtein(n1, n2) * 1.0 / greatest(length(n1), length(n2))')} AS name_lev_sim FROM J WHERE regexp_full_match(n1 || n2, '[ -~]+')", *BLOCK, NORM, SIDES
+        f"SELECT {IDS}, {narrow(f"1 - levenshtein({one_byte('n1')}, {one_byte('n2')}) * 1.0 / greatest(length(n1), length(n2))")} AS name_lev_sim FROM J", *BLOCK, NORM, SIDES
     ),
-    "sim_jaro_winkler": sql(f"SELECT {IDS}, {narrow('jaro_winkler_similarity(n1, n2)')} AS name_jw_sim FROM J WHERE regexp_full_match(n1 || n2, '[ -~]+')", *BLOCK, NORM, SIDES),
+    "sim_jaro_winkler": sql(f"SELECT {IDS}, {narrow(f"jaro_winkler_similarity({one_byte('n1')}, {one_byte('n2')})")} AS name_jw_sim FROM J", *BLOCK, NORM, SIDES),
     "sim_token_jaccard": sql(
         f"SELECT {IDS}, {narrow(jaccard("string_split(n1, ' ')", "string_split(n2, ' ')"))} AS name_word_jaccard, "
         f"CAST(len(list_intersect(list_distinct(string_split(n1, ' ')), list_distinct(string_split(n2, ' ')))) AS BIGINT) AS name_common_tokens FROM J",

@@ -238,12 +238,10 @@ def pair_features_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.pair_features(_ranked(spark, sf_dir), inputs.s1, inputs.catalogue, _truth(spark, sf_dir))
 
 
-def _features(digits: int, *columns: str, whole: tuple[str, ...] = (), ascii_only: bool = False) -> Query:
+def _features(digits: int, *columns: str, whole: tuple[str, ...] = ()) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         inputs = _inputs(spark, sf_dir)
         sided = features.with_sides(features.with_meta(_ranked(spark, sf_dir)), inputs.s1, inputs.catalogue)
-        if ascii_only:
-            sided = sided.filter(F.concat("l.n_norm", "r.n_norm").rlike("^[ -~]+$"))
         rows = features.features(sided).select(*IDS, *columns, *whole)
         return _long(_rounded(rows, digits, *columns), *whole)
 
@@ -368,8 +366,8 @@ QUERIES: dict[str, Query] = {
     "block_phonetic": _block("phonetic"),
     "block_address": _block("address"),
     "block_all_topk": _block(),
-    "sim_levenshtein": _features(5, "name_lev_sim", ascii_only=True),
-    "sim_jaro_winkler": _features(5, "name_jw_sim", ascii_only=True),
+    "sim_levenshtein": _features(5, "name_lev_sim"),
+    "sim_jaro_winkler": _features(5, "name_jw_sim"),
     "sim_token_jaccard": _features(5, "name_word_jaccard", whole=("name_common_tokens",)),
     "sim_token_ratios": _features(5, "name_token_sort", "name_token_set", "addr_token_sort", "addr_token_set"),
     "len_features": _features(5, "name_len_ratio", whole=("name_len_diff",)),
