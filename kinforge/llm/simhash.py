@@ -39,6 +39,7 @@ from pyspark.sql import types as T
 from kinforge.llm.components import components
 from kinforge.llm.frames import checkpointed, free_name, map_texts, two_columns
 from kinforge.llm.ragged import chunks, gather, words
+from kinforge.operators.joins import split_join
 
 SHINGLE, SEED, MAX_BITS, MIN_BYTES = 3, 42, 3, 5
 FINGERPRINTS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("fp", T.LongType())])
@@ -152,7 +153,7 @@ def links(distinct: DataFrame, positions: int = 3, block: int = 1024) -> DataFra
     posted = F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(_mask(s))).alias("key")) for k, s in enumerate(sets)])
     postings = distinct.select("fp", F.explode(posted).alias("p")).select("p.k", "p.key", "fp")
     sizes = postings.groupBy("k", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    held = postings.join(sizes, ["k", "key"])
+    held = split_join(postings, sizes, ["k", "key"])
     n_blocks = F.ceil(F.col("n") / F.lit(block))
     dealt = held.withColumn("n_blocks", n_blocks).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("n_blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)))
@@ -195,7 +196,7 @@ def near_duplicates(docs: DataFrame, positions: int = 3, block: int = 1024, id_c
     roots = components(links(distinct.select("fp"), positions, block))
     classes = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = classes.select("fp", "root").join(least, "root").select("fp", "component_id")
+    named = split_join(classes.select("fp", "root"), least, ["root"]).select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
