@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinforge.llm.frames import append, bucket_of, class_sizes, free_name, labelled_sample, two_columns
+from kinforge.llm.frames import append, bucket_of, checkpointed, class_sizes, free_name, labelled_sample, two_columns
 
 MODULUS, HELD_OUT = 5, 0
 PER_CLASS = 4096
@@ -114,11 +114,12 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     sample = labelled_sample(docs, labels, "toxic", MODULUS, HELD_OUT, per_class)
     # copies that begin alike count once, else one text's words would pass for a habit
     sample = sample.withColumn("start", F.xxhash64(F.substring("text", 1, 200)))
-    sample = sample.dropDuplicates(["label", "start"]).drop("start")
+    # written once: at most 2 * per_class texts
+    sample = checkpointed(sample.dropDuplicates(["label", "start"]).drop("start"))
     taken_by = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     taken = [max(1, taken_by.get(k, 0)) for k in (0, 1)]
-    words = _word_counts(sample)
-    model = Model(stems=choose_stems(words, taken))
+    counts = _stem_counts(sample)
+    model = Model(stems=choose_stems(counts, taken))
     model.exceptions = _exceptions(sample, model, taken)
 
     def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,32 +138,33 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     return model
 
 
-def _word_counts(sample: DataFrame) -> dict[str, tuple[int, int]]:
-    """Folded word -> rows of the sample that have it, clean and toxic."""
+def _stem_counts(sample: DataFrame) -> dict[str, tuple[int, int]]:
+    """Word beginning -> uses in clean and in toxic rows of the sample, a word once
+    a row; only those with some toxic uses come to the driver."""
 
     def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             seen = [Counter(), Counter()]
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen[label].update(set(fold(text or "").split()))
+                seen[label].update({w[:MAX_STEM] for w in fold(text or "").split()})
             words = list(seen[0].keys() | seen[1].keys())
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([s[w] for w in words], pa.int64()) for s in seen)], names=["word", "clean", "toxic"])
 
     counted = sample.select("text", "label").mapInArrow(rows, "word string, clean long, toxic long")
-    counted = counted.groupBy(F.substring("word", 1, MAX_STEM).alias("word")).agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    table = counted.toArrow().to_pydict()
-    return {w: (c, t) for w, c, t in zip(table["word"], table["clean"], table["toxic"], strict=True)}
+    counted = counted.groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).filter(F.length("word") >= MIN_STEM)
+    sizes = F.sequence(F.lit(MIN_STEM), F.length("word"))
+    stems = counted.select(F.explode(F.transform(sizes, lambda k: F.substring("word", F.lit(1), k))).alias("stem"), "clean", "toxic")
+    summed = stems.groupBy("stem").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).filter(F.col("toxic") >= MIN_ROWS)
+    table = summed.toArrow().to_pydict()
+    return {w: (c, t) for w, c, t in zip(table["stem"], table["clean"], table["toxic"], strict=True)}
 
 
-def choose_stems(words: dict[str, tuple[int, int]], sizes: list[int], max_stems: int = MAX_STEMS) -> dict[str, float]:
+def choose_stems(counts: dict[str, tuple[int, int]], sizes: list[int], max_stems: int = MAX_STEMS) -> dict[str, float]:
     """The shortest word beginnings that are much likelier in toxic rows, with their log odds.
 
     A beginning is lengthened as far as nearly all its toxic uses share."""
-    n_clean, n_toxic = Counter(), Counter()
-    for word, (clean, toxic) in words.items():
-        for k in range(MIN_STEM, min(len(word), MAX_STEM) + 1):
-            n_clean[word[:k]] += clean
-            n_toxic[word[:k]] += toxic
+    n_clean = {s: c for s, (c, _) in counts.items()}
+    n_toxic = {s: t for s, (_, t) in counts.items()}
 
     def odds(stem: str) -> float:
         return ((n_toxic[stem] + 0.5) / (sizes[1] + 1)) / ((n_clean[stem] + 0.5) / (sizes[0] + 1))
