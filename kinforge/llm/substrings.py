@@ -143,7 +143,7 @@ def repeats(
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, math.ceil(total / block_bytes))
     n_buckets = max(1, math.ceil(total / 3 / bucket_bytes))
-    blocks = texts.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)))
+    blocks = texts.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)))
 
     def anchors(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         found, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
