@@ -33,9 +33,8 @@ def load(spark: SparkSession, folder: str, prefix: str, truth: bool = True) -> I
     return Inputs(*tables, known)
 
 
-def view_inputs(docs: DataFrame) -> Inputs:
-    """Inputs over a documents table; equal texts of one country are true matches."""
-    view = rec.record_view(docs)
+def view_inputs(view: DataFrame) -> Inputs:
+    """Inputs from a record view, by source."""
     sides = [view.filter(F.col("source") == k) for k in (1, 2, 3)]
     return Inputs(*sides, None)
 

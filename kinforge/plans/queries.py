@@ -26,11 +26,11 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rec.record_view(_docs(spark, sf_dir)).drop("text")
+    return rec.spread(rec.record_view(_docs(spark, sf_dir)).drop("text"))
 
 
 def _inputs(spark: SparkSession, sf_dir: str) -> linkage.Inputs:
-    return linkage.view_inputs(_docs(spark, sf_dir).select("doc_id", "lang", "source", "text"))
+    return linkage.view_inputs(_view(spark, sf_dir))
 
 
 def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,9 +71,17 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(first.alias("entity_id")).filter(F.col("entity_id") != "").distinct()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer partitions than cores, dealt out to all of them; a larger one as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def record_view(docs: DataFrame) -> DataFrame:
     """Records over a documents table: the first four words are the name, the next ten the address."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{M}\p{N}]+"), 0)
+    # matching stops behind the fourteenth word, however long the text is
+    opening = F.regexp_extract("text", r"^(?:[^\p{L}\p{M}\p{N}]*[\p{L}\p{M}\p{N}]+){1,14}", 0)
+    words = F.regexp_extract_all(F.lower(opening), F.lit(r"[\p{L}\p{M}\p{N}]+"), 0)
     source = (1 + F.substring("source", 4, 9).try_cast("int") % 3).cast("int")
     tagged = docs.select("doc_id", "text", "lang", source.alias("source"), words.alias("w"))
     return tagged.select(
