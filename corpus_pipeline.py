@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinforge.llm import packing, quality, simhash, substrings, toxicity
+from kinforge.llm import packing, quality, similar, substrings, toxicity
 from kinforge.llm.frames import shared_folder, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -29,8 +29,8 @@ def toxicity_lexicon(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest id."""
-    return simhash.one_of_each(docs)
+    """One document of each group that shares 80 % of its five-word shingles, the one with the smallest id."""
+    return similar.one_of_each(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

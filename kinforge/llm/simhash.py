@@ -108,7 +108,7 @@ def _mask(positions: tuple[int, ...]) -> int:
     return int.from_bytes(bytes(255 if i in positions else 0 for i in range(8)), "little", signed=True)
 
 
-def linked(left: np.ndarray, right: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+def linked(left: np.ndarray, right: np.ndarray | None, max_bits: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
     """Links (u, v) that join what is linked within `left`, or between two blocks.
 
     All places are tallied for a strip of rows at a time; of what hangs
@@ -125,15 +125,21 @@ def linked(left: np.ndarray, right: np.ndarray | None) -> tuple[np.ndarray, np.n
     pairs = []
     for a in range(0, len(left), 256):
         differ = left[a : a + 256, None] ^ other[None, :]
-        tally = (differ.view(np.uint8).reshape(*differ.shape, 8) == 0).sum(axis=2, dtype=np.uint8)
-        i, j = np.nonzero(tally >= MIN_BYTES)
-        near = np.bitwise_count(differ[i, j]) <= MAX_BITS
-        i, j = i[near] + a, j[near] + base
+        if max_bits > MAX_BITS:  # few bytes need be equal, so their tally would rule out little
+            i, j = np.nonzero(np.bitwise_count(differ) <= max_bits)
+            i, j = i + a, j + base
+        else:
+            tally = (differ.view(np.uint8).reshape(*differ.shape, 8) == 0).sum(axis=2, dtype=np.uint8)
+            i, j = np.nonzero(tally >= MIN_BYTES)
+            near = np.bitwise_count(differ[i, j]) <= max_bits
+            i, j = i[near] + a, j[near] + base
         if right is None:
             i, j = i[i < j], j[i < j]
         pairs.append((i, j))
     i = np.concatenate([p for p, _ in pairs])
     j = np.concatenate([p for _, p in pairs])
+    if not len(i):
+        return both[:0], both[:0]
     while True:  # smallest label over links, with jumps
         low = np.minimum(label[i], label[j])
         new = label.copy()
@@ -147,10 +153,13 @@ def linked(left: np.ndarray, right: np.ndarray | None) -> tuple[np.ndarray, np.n
     return both[moved], both[order[label[moved]]]
 
 
-def links(distinct: DataFrame, positions: int = 3, block: int = 1024) -> DataFrame:
-    """Links (u, v) between distinct fingerprints `fp`, enough to join all that are near."""
-    sets = position_sets(positions)
-    posted = F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(_mask(s))).alias("key")) for k, s in enumerate(sets)])
+def links(distinct: DataFrame, positions: int = 3, block: int = 1024, masks: list[int] | None = None, max_bits: int = MAX_BITS) -> DataFrame:
+    """Links (u, v) between distinct fingerprints `fp`, enough to join all that are near.
+
+    `masks`, if given, are the bits of each posting key instead of those of
+    `positions`; two fingerprints of `max_bits` differing bits must agree on one."""
+    masks = masks or [_mask(s) for s in position_sets(positions)]
+    posted = F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(masks)])
     postings = distinct.select("fp", F.explode(posted).alias("p")).select("p.k", "p.key", "fp")
     sizes = postings.groupBy("k", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     held = split_join(postings, sizes, ["k", "key"])
@@ -171,15 +180,15 @@ def links(distinct: DataFrame, positions: int = 3, block: int = 1024) -> DataFra
             size = np.diff(at)
             two = np.flatnonzero((size == 2) & (low == high))
             a, b = fp[at[two]], fp[at[two] + 1]
-            near = np.bitwise_count(a ^ b) <= MAX_BITS
+            near = np.bitwise_count(a ^ b) <= max_bits
             us, vs = [a[near]], [b[near]]
             for i in np.flatnonzero((size > 2) | ((size == 2) & (low != high))):
                 mine = slice(at[i], at[i + 1])
                 if low[i] == high[i]:
-                    u, v = linked(fp[mine], None)
+                    u, v = linked(fp[mine], None, max_bits)
                 else:
                     first = own[mine] == low[i]
-                    u, v = linked(fp[mine][first], fp[mine][~first])
+                    u, v = linked(fp[mine][first], fp[mine][~first], max_bits)
                 us.append(u)
                 vs.append(v)
             u, v = np.concatenate(us).view(np.int64), np.concatenate(vs).view(np.int64)
@@ -203,7 +212,11 @@ def near_duplicates(docs: DataFrame, positions: int = 3, block: int = 1024, id_c
 def one_of_each(docs: DataFrame, positions: int = 3, block: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` whose id is the smallest of its component, one row for
     each id, with the same columns; rows without an id cannot be named and stay."""
-    found = near_duplicates(docs, positions, block, id_col, text_col)
+    return firsts(docs, near_duplicates(docs, positions, block, id_col, text_col), id_col)
+
+
+def firsts(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+    """The rows of `docs` that are the first of their component in `found` (doc_id, component_id)."""
     keep = checkpointed(found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")))
     ids = keep.select(F.col("doc_id").alias(free_name(docs, "kept_id")))
     kept = docs.join(ids, F.col(id_col).cast("long") == F.col(ids.columns[0]), "left_semi")
