@@ -112,10 +112,8 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     if not all(sizes):
         return Model(constant=sizes[1] / max(1, sum(sizes)))
     sample = labelled_sample(docs, labels, "toxic", MODULUS, HELD_OUT, per_class)
-    # copies that begin alike count once, else one text's words would pass for a habit
-    sample = sample.withColumn("start", F.xxhash64(F.substring("text", 1, 200)))
-    # written once: at most 2 * per_class texts
-    sample = checkpointed(sample.dropDuplicates(["label", "start"]).drop("start"))
+    # copies count once, else one text's words would pass for a habit; written once: at most 2 * per_class texts
+    sample = checkpointed(sample.groupBy("label", "text").agg(F.min("doc_id").alias("doc_id")))
     taken_by = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     taken = [max(1, taken_by.get(k, 0)) for k in (0, 1)]
     counts = _stem_counts(sample)
@@ -133,6 +131,8 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     y = table["label"].to_numpy().astype(float)
     if not len(y):
         return Model(constant=sizes[1] / sum(sizes))
+    order = np.lexsort((x[:, 2], x[:, 1], y))  # sums come out the same in whatever order the rows came
+    x, y = x[order], y[order]
     weight = np.where(y == 1, sizes[1] / taken[1], sizes[0] / taken[0])
     model.weights = tuple(float(w) for w in logistic(x, y, weight))
     return model

@@ -98,6 +98,18 @@ def test_toxicity_held_out(spark):
     assert len(rows) == 1000 and held_out(spark, rows, "toxic", 5, 0) >= 0.97
 
 
+def test_rows_that_begin_alike_all_teach(spark):
+    """A header of over 200 characters on every toxic row; equal texts count once, whatever their order."""
+    header = " ".join(f"notice{k}" for k in range(40))
+    toxic = [(k, f"{header} you are a blorgface said number{k}") for k in range(30)]
+    clean = [(100 + k, f"quiet page number{k} of the book") for k in range(60)]
+    copies = [(200 + k, f"{header} wumpelkin is in copies only") for k in range(30)]
+    labels = spark.createDataFrame([(i, int(i < 100 or i >= 200)) for i, _ in toxic + clean + copies], "doc_id long, toxic int")
+    models = [toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string"), labels) for rows in (toxic + clean + copies, copies[::-1] + clean + toxic)]
+    assert models[0] == models[1]
+    assert any("blorgface".startswith(x) for x in models[0].stems) and not any("wumpelkin".startswith(x) for x in models[0].stems)
+
+
 def test_toxicity_odd_rows(odd, labels):
     rows = toxicity.scored(odd, labels).collect()
     assert len(rows) == odd.count() and all(0 <= r["score"] <= 1 for r in rows)
