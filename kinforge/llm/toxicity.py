@@ -2,9 +2,11 @@
 
 Texts are folded first: lower case, homoglyphs of other scripts to Latin
 letters, digits and signs that stand for letters to those letters, everything
-else to single spaces.  The lexicon has word beginnings ("stems") with weights,
-found by one Aho-Corasick scan; what lies in an exception phrase does not
-count.  The weighted sum and the same per hundred words (normalised by length)
+else to single spaces.  A token of letters and signs has further readings, with
+all signs read as letters (`readings`); one counts where the folded token has no
+stem.  The lexicon has word beginnings ("stems") and whole words of under
+`MIN_STEM` letters with weights, found by one Aho-Corasick scan; what lies in an
+exception phrase does not count.  The weighted sum and the same per hundred words (normalised by length)
 give the score through a logistic function.
 
 Stems, weights, exception phrases and the logistic function are learned from
@@ -24,6 +26,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from os.path import commonprefix
 
 import ahocorasick
 import numpy as np
@@ -52,15 +55,43 @@ _FOLD = str.maketrans(HOMOGLYPHS | {chr(0xFF41 + i): chr(0x61 + i) for i in rang
 _ODD = re.compile("[" + "".join(HOMOGLYPHS) + "Ａ-ｚ]")
 _SIGN = re.compile(r"(?<![013457@$!|])[013457@$!|]{1,2}(?=[^\W\d_])")
 _WORD = re.compile(r"[^\W\d_]+")
+#: A whole run of letters and signs with a sign in it, found in one pass.
+_SIGNED = re.compile(r"(?<![^\W\d_])[^\W\d_]*+[013457@$!|](?:[^\W\d_]|[013457@$!|])*+")
+_TO_LETTERS = str.maketrans(SIGNS)
+
+
+def _latin(text: str) -> str:
+    text = text.lower()
+    return text.translate(_FOLD) if _ODD.search(text) else text
+
+
+def _words(text: str) -> list[str]:
+    return _WORD.findall(_SIGN.sub(lambda m: "".join(SIGNS[c] for c in m[0]), text))
 
 
 def fold(text: str) -> str:
     """Folded words, each with a space before it and one behind the last."""
-    text = text.lower()
-    if _ODD.search(text):
-        text = text.translate(_FOLD)
-    text = _SIGN.sub(lambda m: "".join(SIGNS[c] for c in m[0]), text)
-    return " " + " ".join(_WORD.findall(text)) + " "
+    return " " + " ".join(_words(_latin(text))) + " "
+
+
+def readings(text: str) -> tuple[str, list[tuple[int, int, list[str]]]]:
+    """The folded text, and for each token of letters and signs its place in it
+    (from the space before it to the one behind) and its other readings: all signs
+    as letters, the same without `!` and `|` at the end, and without any sign at
+    the ends."""
+    text = _latin(text)
+    folded, size, found, last = [], 0, [], 0
+    for m in _SIGNED.finditer(text):
+        before = _words(text[last : m.start()])
+        mine = _words(m[0])
+        place = size + sum(map(len, before)) + len(before)
+        size = place + sum(map(len, mine)) + len(mine)
+        folded += before + mine
+        last = m.end()
+        forms = dict.fromkeys(x.translate(_TO_LETTERS) for x in (m[0], m[0].rstrip("!|"), m[0].strip("013457@$!|")))
+        if mine and (other := [w for w in forms if w and w not in mine]):
+            found.append((place, size, other))
+    return " " + " ".join(folded + _words(text[last:])) + " ", found
 
 
 @dataclass
@@ -99,10 +130,30 @@ def hits(folded: str, stems, exceptions) -> list[tuple[int, float]]:
     return sorted(found.items())
 
 
+def reading_hits(folded: str, found: list[tuple[int, int, list[str]]], stems, exceptions) -> list[tuple[str, str, str, float]]:
+    """(word before, reading, word after, weight) of the heaviest reading of each
+    token whose folded words have no stem, inside an exception phrase or not."""
+    if stems is None:
+        return []
+    out = []
+    for a, b, other in found:
+        if hits(folded[a : b + 1], stems, None):
+            continue
+        before = folded[folded.rfind(" ", 0, a) + 1 : a] if a else ""
+        after = folded[b + 1 : folded.find(" ", b + 1)] if b + 1 < len(folded) else ""
+        best = max(((w, r) for r in other for place, w in hits(f" {r} ", stems, None)), default=None)
+        if best is not None:
+            phrase = f" {before} {best[1]} {after} "
+            place = len(before) + 1
+            if exceptions is None or any(p == place for p, _ in hits(phrase, stems, exceptions)):
+                out.append((before, best[1], after, best[0]))
+    return out
+
+
 def measures(text: str | None, stems, exceptions) -> tuple[float, float]:
     """Weighted sum, and the same per hundred words."""
-    folded = fold(text or "")
-    total = sum(w for _, w in hits(folded, stems, exceptions))
+    folded, found = readings(text or "")
+    total = sum(w for _, w in hits(folded, stems, exceptions)) + sum(w for *_, w in reading_hits(folded, found, stems, exceptions))
     return total, 100.0 * total / max(1, folded.count(" ") - 1)
 
 
@@ -139,21 +190,39 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
 
 
 def _stem_counts(sample: DataFrame) -> dict[str, tuple[int, int]]:
-    """Word beginning -> uses in clean and in toxic rows of the sample, a word once
-    a row; only those with some toxic uses come to the driver."""
+    """Word beginning, or word of under MIN_STEM letters with a space behind it ->
+    uses in clean and in toxic rows of the sample, a word once a row; only those
+    with some toxic uses come to the driver.
+
+    A reading counts for what is longer than its token's folded words have of it."""
 
     def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             seen = [Counter(), Counter()]
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen[label].update({w[:MAX_STEM] for w in fold(text or "").split()})
+                folded, found = readings(text or "")
+                plain = {w[:MAX_STEM] for w in folded.split()}
+                uses = {(w, MIN_STEM) for w in plain}
+                for a, b, other in found:
+                    known = folded[a:b].split()
+                    for r in other:
+                        if (w := r[:MAX_STEM]) not in plain:
+                            uses.add((w, max(MIN_STEM, 1 + max(len(commonprefix([r, k])) for k in known))))
+                        known.append(r)
+                least = {}  # the same word may be read from several tokens
+                for w, n in uses:
+                    least[w] = min(n, least.get(w, n))
+                seen[label].update(least.items())
             words = list(seen[0].keys() | seen[1].keys())
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([s[w] for w in words], pa.int64()) for s in seen)], names=["word", "clean", "toxic"])
-
-    counted = sample.select("text", "label").mapInArrow(rows, "word string, clean long, toxic long")
-    counted = counted.groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).filter(F.length("word") >= MIN_STEM)
-    sizes = F.sequence(F.lit(MIN_STEM), F.length("word"))
-    stems = counted.select(F.explode(F.transform(sizes, lambda k: F.substring("word", F.lit(1), k))).alias("stem"), "clean", "toxic")
+            columns = [pa.array([w for w, _ in words], pa.string()), pa.array([n for _, n in words], pa.int32()), *(pa.array([s[w] for w in words], pa.int64()) for s in seen)]
+            yield pa.RecordBatch.from_arrays(columns, names=["word", "least", "clean", "toxic"])
+
+    counted = sample.select("text", "label").mapInArrow(rows, "word string, least int, clean long, toxic long")
+    counted = counted.groupBy("word", "least").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    short = F.length("word") < MIN_STEM
+    sizes = F.when(F.col("least") <= F.length("word"), F.sequence(F.col("least"), F.greatest("least", F.length("word")))).otherwise(F.array().cast("array<int>"))
+    made = F.when(short, F.array(F.concat("word", F.lit(" ")))).otherwise(F.transform(sizes, lambda k: F.substring("word", F.lit(1), k)))
+    stems = counted.select(F.explode(made).alias("stem"), "clean", "toxic")
     summed = stems.groupBy("stem").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).filter(F.col("toxic") >= MIN_ROWS)
     table = summed.toArrow().to_pydict()
     return {w: (c, t) for w, c, t in zip(table["stem"], table["clean"], table["toxic"], strict=True)}
@@ -201,8 +270,11 @@ def _exceptions(sample: DataFrame, model: Model, sizes: list[int]) -> list[str]:
         for batch in it:
             out = []
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                folded = fold(text or "")
+                folded, found = readings(text or "")
                 phrases = set()
+                for before, word, after, _ in reading_hits(folded, found, stems, None):
+                    phrases |= {f"{before} {word}"} if before else set()
+                    phrases |= {f"{word} {after}"} if after else set()
                 for place, _ in hits(folded, stems, None):
                     end = folded.index(" ", place + 1)
                     before = folded.rfind(" ", 0, place) if place else -1

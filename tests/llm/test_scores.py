@@ -98,6 +98,25 @@ def test_toxicity_held_out(spark):
     assert len(rows) == 1000 and held_out(spark, rows, "toxic", 5, 0) >= 0.97
 
 
+def test_signs_of_any_length_and_at_the_end():
+    stems, exceptions = toxicity.Model(stems={"loser": 1.0, "idiot": 1.0, "worthless": 1.0, "asshole": 1.0, "ass ": 1.0, "trash": 1.0}, exceptions=["trash can"]).automata()
+    for text in ("l053r", "1d107", "w0r7hl355", "@$$hole", "a$$", "A$$!!", "l053r!!!", "you l053r.", "LOSER!", "1d10t", "$$$idiot$$$", "loser 2024", "ass"):
+        assert toxicity.measures(text, stems, exceptions)[0] == 1.0, text
+    for text in ("a", "as", "assent", "10345 2024", "tr45h can", "trash! can", "7r45h can", "the!! a$$$ 1st", ""):
+        assert toxicity.measures(text, stems, exceptions)[0] == 0.0, text
+    for text in ("", "word 1st l053r!! 2 x2y3 a$$ $tupid! --", "ІDIОТ, 1d10T 100% m0ron###"):
+        folded, found = toxicity.readings(text)
+        assert folded == toxicity.fold(text)
+        assert all(folded[a] == folded[b] == " " for a, b, _ in found)
+
+
+def test_short_and_signed_words_are_learned(spark):
+    rows = [(k, f"you are a git number{k} 7w4751e here") for k in range(40)] + [(100 + k, f"quiet page number{k} of 4 digit legit things") for k in range(80)]
+    labels = spark.createDataFrame([(i, int(i < 100)) for i, _ in rows], "doc_id long, toxic int")
+    stems = toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string"), labels).stems
+    assert "git " in stems and any("twatsie".startswith(x) for x in stems)
+
+
 def test_rows_that_begin_alike_all_teach(spark):
     """A header of over 200 characters on every toxic row; equal texts count once, whatever their order."""
     header = " ".join(f"notice{k}" for k in range(40))
