@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,6 +52,16 @@ def two_columns(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def mark_of(id_col: str, text_col: str) -> Column:
+    """Tells rows of one id apart by their text; rows without an id from those with one."""
+    return F.xxhash64(F.col(id_col).cast("long").isNull(), F.col(text_col).cast("string"))
+
+
+def marked(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """`two_columns` and the mark of each row."""
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), mark_of(id_col, text_col).alias("mark"))
+
+
 def map_texts(df: DataFrame, rows: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
     """mapInArrow with a function of one batch; batches are cut to about 4 MB of text."""
 
@@ -96,7 +106,7 @@ def append(df: DataFrame, text_col: str, added: T.StructType, make: Callable[[pa
     return df.mapInArrow(batches, T.StructType([*df.schema.fields, *added.fields]))
 
 
-def bucket_of(id_col: str, modulus: int) -> F.Column:
+def bucket_of(id_col: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo: decides what is held out of learning; 0 for a null id."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus, F.lit(0).cast("long"))
 

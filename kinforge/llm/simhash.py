@@ -1,16 +1,18 @@
 """Operator 8: SimHash near-dedup over a byte-position inverted index.
 
 Two 64-bit fingerprints that differ in at most three bits have at least five of
-their eight bytes equal.  The index posts every distinct fingerprint under bytes
-at given positions; pairs that meet in a posting list tally the positions at
-which their bytes agree, those that reach the guaranteed five are kept, and the
-differing bits of these are counted.
+their eight bytes equal.  The index posts every distinct fingerprint under byte
+positions and their values.  A posting key joins the bytes of some positions, so
+two fingerprints that meet under it share that many; within its list the other
+positions are posted one by one, each pair that meets there is tallied, pairs
+that reach the guaranteed five shared bytes are kept, and the differing bits of
+these are counted.
 
 A list of one position and one byte value would hold a 256th of all
-fingerprints, so a posting key joins the bytes of three positions of one half
-of the fingerprint: of any five equal positions three lie in one half, so the
-eight keys of that kind miss no pair.  `positions` makes the keys longer for
-larger corpora; the result is the same.
+fingerprints, so a key joins the bytes of three positions of one half of the
+fingerprint: of any five equal positions three lie in one half, so the eight
+keys of that kind miss no pair.  From `WIDE` distinct fingerprints on a key
+joins five positions (56 keys); the result is the same.
 
 Copies share one posting (fingerprints are made distinct before the index).  A
 list beyond `block` entries is split into blocks and each pair of blocks is
@@ -20,8 +22,9 @@ fingerprint of each linked set leave, never all pairs.
 Defined cases: a null or empty text, or one without words, has fingerprint zero
 and is linked like any other; texts of one or two words are one shingle; null
 ids are ignored when the smallest id of a component is taken (a component
-without any id has a null component_id); repeated rows get a row each; an empty
-table gives no rows; other columns are not read.
+without any id has a null component_id); repeated rows get a row each; a text of
+any length is read whole, in memory of some times its size; an empty table gives
+no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,17 +35,21 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinforge.llm.components import components
-from kinforge.llm.frames import checkpointed, free_name, map_texts, two_columns
+from kinforge.llm.frames import checkpointed, free_name, map_texts, mark_of, marked
 from kinforge.llm.ragged import chunks, gather, words
 from kinforge.operators.joins import split_join
 
 SHINGLE, SEED, MAX_BITS, MIN_BYTES = 3, 42, 3, 5
-FINGERPRINTS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("fp", T.LongType())])
+#: Distinct fingerprints from which keys join five positions: lists of three would reach some 64 entries.
+WIDE = 1 << 30
+#: Pairs tallied at once within a task.
+PAIRS = 1 << 21
+FINGERPRINTS = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "mark", "fp")])
 LINKS = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())])
 
 
@@ -83,14 +90,15 @@ def simhash(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long of the same bits."""
+    """(doc_id, mark, fp): `mark` tells rows of one id apart by their text, the
+    fingerprint is a signed long of the same bits."""
 
     def rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for a, b, data, offsets in chunks(batch.column(1)):
             fp = simhash(data, offsets).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(fp)], names=FINGERPRINTS.names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in (0, 2)), pa.array(fp)], names=FINGERPRINTS.names)
 
-    return map_texts(two_columns(docs, id_col, text_col), rows, FINGERPRINTS)
+    return map_texts(marked(docs, id_col, text_col), rows, FINGERPRINTS)
 
 
 def position_sets(positions: int) -> list[tuple[int, ...]]:
@@ -108,39 +116,66 @@ def _mask(positions: tuple[int, ...]) -> int:
     return int.from_bytes(bytes(255 if i in positions else 0 for i in range(8)), "little", signed=True)
 
 
-def linked(left: np.ndarray, right: np.ndarray | None, max_bits: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Links (u, v) that join what is linked within `left`, or between two blocks.
-
-    All places are tallied for a strip of rows at a time; of what hangs
-    together only links to its smallest fingerprint are given."""
-    both = left if right is None else np.concatenate([left, right])
-    if not len(left) or (right is not None and not len(right)):  # a block may have no entries
-        return both[:0], both[:0]
-    other = both if right is None else right
-    base = 0 if right is None else len(left)
-    order = np.argsort(both, kind="stable")
+def _pairs(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every pair (i, j), i < j, of places with equal values of `code`."""
+    order = np.argsort(code, kind="stable")
+    value = code[order]
+    head = np.flatnonzero(np.append(True, value[1:] != value[:-1])) if len(value) else np.zeros(0, np.int64)
+    size = np.diff(np.append(head, len(value)))
+    before = np.arange(len(value)) - np.repeat(head, size)  # entries of the same value that come earlier
+    later = np.repeat(np.arange(len(value)), before)
+    step = np.arange(len(later)) - np.repeat(np.cumsum(before) - before, before)
+    return order[later - before[later] + step], order[later]
+
+
+def tallied(fp: np.ndarray, owner: np.ndarray, side: np.ndarray, held: np.ndarray, max_bits: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of near fingerprints in the same list.
+
+    owner: list of each entry; side: block within it (pairs of one block count
+    only where the list has one); held: for each list, which byte positions its
+    key holds.  All other positions are posted, pairs are tallied over them and
+    those that reach the guaranteed number of equal bytes are verified."""
+    n = len(fp)
+    octets = fp.astype("<u8").view(np.uint8).reshape(-1, 8)
+    need = MIN_BYTES - held.sum(axis=1)
+    split = np.zeros(len(held), bool)
+    split[owner[side != side[np.searchsorted(owner, owner)]]] = True
+    met = []
+    free = np.flatnonzero(need[owner] <= 0)  # the key alone proves enough
+    for position in (-1, *range(8)):
+        here = free if position < 0 else np.flatnonzero((need[owner] > 0) & ~held[owner, position])
+        value = owner[here] if position < 0 else owner[here] * 256 + octets[here, position]
+        i, j = (here[x] for x in _pairs(value))
+        across = ~split[owner[i]] | (side[i] != side[j])
+        met.append(np.minimum(i, j)[across] * n + np.maximum(i, j)[across])
+    pair, tally = np.unique(np.concatenate(met), return_counts=True)
+    i, j = pair // max(n, 1), pair % max(n, 1)
+    enough = tally >= need[owner[i]]
+    i, j = i[enough], j[enough]
+    near = np.bitwise_count(fp[i] ^ fp[j]) <= max_bits
+    return i[near], j[near]
+
+
+def compared(fp: np.ndarray, owner: np.ndarray, side: np.ndarray, held: np.ndarray | None, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of near fingerprints in the same list; without `held` few units need be
+    equal, so their tally would rule out little and bits are counted at once."""
+    if held is not None:
+        return tallied(fp, owner, side, held, max_bits)
+    i, j = _pairs(owner)
+    split = np.zeros(int(owner.max(initial=-1)) + 1, bool)
+    split[owner[side != side[np.searchsorted(owner, owner)]]] = True
+    good = (np.bitwise_count(fp[i] ^ fp[j]) <= max_bits) & (~split[owner[i]] | (side[i] != side[j]))
+    return i[good], j[good]
+
+
+def to_smallest(fp: np.ndarray, owner: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (u, v) from each fingerprint to the smallest one of its list that it
+    reaches over the pairs (i, j) of places."""
+    order = np.lexsort((fp, owner))
     rank = np.empty_like(order)
-    rank[order] = np.arange(len(both))
+    rank[order] = np.arange(len(fp))
     label = rank.copy()  # the smallest rank reached so far
-    pairs = []
-    for a in range(0, len(left), 256):
-        differ = left[a : a + 256, None] ^ other[None, :]
-        if max_bits > MAX_BITS:  # few bytes need be equal, so their tally would rule out little
-            i, j = np.nonzero(np.bitwise_count(differ) <= max_bits)
-            i, j = i + a, j + base
-        else:
-            tally = (differ.view(np.uint8).reshape(*differ.shape, 8) == 0).sum(axis=2, dtype=np.uint8)
-            i, j = np.nonzero(tally >= MIN_BYTES)
-            near = np.bitwise_count(differ[i, j]) <= max_bits
-            i, j = i[near] + a, j[near] + base
-        if right is None:
-            i, j = i[i < j], j[i < j]
-        pairs.append((i, j))
-    i = np.concatenate([p for p, _ in pairs])
-    j = np.concatenate([p for _, p in pairs])
-    if not len(i):
-        return both[:0], both[:0]
-    while True:  # smallest label over links, with jumps
+    while len(i):  # smallest label over links, with jumps
         low = np.minimum(label[i], label[j])
         new = label.copy()
         np.minimum.at(new, i, low)
@@ -150,7 +185,7 @@ def linked(left: np.ndarray, right: np.ndarray | None, max_bits: int = MAX_BITS)
             break
         label = new
     moved = label != rank
-    return both[moved], both[order[label[moved]]]
+    return fp[moved], fp[order[label[moved]]]
 
 
 def links(distinct: DataFrame, positions: int = 3, block: int = 1024, masks: list[int] | None = None, max_bits: int = MAX_BITS) -> DataFrame:
@@ -158,68 +193,80 @@ def links(distinct: DataFrame, positions: int = 3, block: int = 1024, masks: lis
 
     `masks`, if given, are the bits of each posting key instead of those of
     `positions`; two fingerprints of `max_bits` differing bits must agree on one."""
+    held = None if masks else np.array([[p in s for p in range(8)] for s in position_sets(positions)])
     masks = masks or [_mask(s) for s in position_sets(positions)]
     posted = F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(masks)])
     postings = distinct.select("fp", F.explode(posted).alias("p")).select("p.k", "p.key", "fp")
     sizes = postings.groupBy("k", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    held = split_join(postings, sizes, ["k", "key"])
+    shared = split_join(postings, sizes, ["k", "key"])
     n_blocks = F.ceil(F.col("n") / F.lit(block))
-    dealt = held.withColumn("n_blocks", n_blocks).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("n_blocks")))
+    dealt = shared.withColumn("n_blocks", n_blocks).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("n_blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)))
     task = [F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")]
     lists = dealt.select("k", "key", *task, F.struct(F.col("own"), F.col("fp")).alias("entry"))
-    lists = lists.groupBy("k", "key", "low", "high").agg(F.collect_list("entry").alias("entries")).select("low", "high", "entries")
+    lists = lists.groupBy("k", "key", "low", "high").agg(F.collect_list("entry").alias("entries")).select("k", "entries")
 
-    def compared(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            entries = batch.column(2)
+            k, entries = batch.column(0).to_numpy(), batch.column(1)
             at = entries.offsets.to_numpy().astype(np.int64)
-            flat = entries.values
-            own, fp = flat.field(0).to_numpy(), flat.field(1).to_numpy().view(np.uint64)
-            low, high = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            side, fp = entries.values.field(0).to_numpy(), entries.values.field(1).to_numpy().view(np.uint64)
             size = np.diff(at)
-            two = np.flatnonzero((size == 2) & (low == high))
-            a, b = fp[at[two]], fp[at[two] + 1]
-            near = np.bitwise_count(a ^ b) <= max_bits
-            us, vs = [a[near]], [b[near]]
-            for i in np.flatnonzero((size > 2) | ((size == 2) & (low != high))):
-                mine = slice(at[i], at[i + 1])
-                if low[i] == high[i]:
-                    u, v = linked(fp[mine], None, max_bits)
-                else:
-                    first = own[mine] == low[i]
-                    u, v = linked(fp[mine][first], fp[mine][~first], max_bits)
+            work = np.cumsum(size * size)
+            a, us, vs = 0, [], []
+            while a < len(size):  # lists whose pairs are tallied together
+                b = max(a + 1, int(np.searchsorted(work, (work[a - 1] if a else 0) + PAIRS, side="right")))
+                mine = slice(at[a], at[b])
+                owner = np.repeat(np.arange(b - a), size[a:b])
+                i, j = compared(fp[mine], owner, side[mine], None if held is None else held[k[a:b]], max_bits)
+                u, v = to_smallest(fp[mine], owner, i, j)
                 us.append(u)
                 vs.append(v)
-            u, v = np.concatenate(us).view(np.int64), np.concatenate(vs).view(np.int64)
+                a = b
+            u, v = (np.concatenate([fp[:0], *x]).view(np.int64) for x in (us, vs))
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=LINKS.names)
 
-    return lists.mapInArrow(compared, LINKS)
+    return lists.mapInArrow(found, LINKS)
 
 
-def near_duplicates(docs: DataFrame, positions: int = 3, block: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id) for every row; component_id is the smallest
-    doc_id reachable over fingerprints that differ in at most three bits."""
+def _classes(docs: DataFrame, positions: int | None, block: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The fingerprint of every row, and (fp, root, least, first) of every distinct one."""
     prints = checkpointed(fingerprints(docs, id_col, text_col))
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(by_first()).alias("first"))
+    if positions is None:
+        positions = 3 if prints.select("fp").distinct().count() < WIDE else MIN_BYTES
     roots = components(links(distinct.select("fp"), positions, block))
-    classes = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return prints, distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
+def near_duplicates(docs: DataFrame, positions: int | None = None, block: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fp, component_id) for every row; component_id is the smallest
+    doc_id reachable over fingerprints that differ in at most three bits."""
+    prints, classes = _classes(docs, positions, block, id_col, text_col)
     least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     named = split_join(classes.select("fp", "root"), least, ["root"]).select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, positions: int = 3, block: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` whose id is the smallest of its component, one row for
-    each id, with the same columns; rows without an id cannot be named and stay."""
-    return firsts(docs, near_duplicates(docs, positions, block, id_col, text_col), id_col)
+def one_of_each(docs: DataFrame, positions: int | None = None, block: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The first row of each component (see `firsts`), with the same columns."""
+    _, classes = _classes(docs, positions, block, id_col, text_col)
+    return firsts(docs, classes.groupBy("root").agg(F.min("first").alias("first")), id_col, text_col)
+
+
+def by_first() -> Column:
+    """Order of the rows of a component: by id, null last, then by the mark of the text."""
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("mark"))
+
 
+def firsts(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of `docs` that `chosen` names in its column `first`, one a component.
 
-def firsts(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
-    """The rows of `docs` that are the first of their component in `found` (doc_id, component_id)."""
-    keep = checkpointed(found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")))
-    ids = keep.select(F.col("doc_id").alias(free_name(docs, "kept_id")))
-    kept = docs.join(ids, F.col(id_col).cast("long") == F.col(ids.columns[0]), "left_semi")
-    if not keep.filter("n > 1").isEmpty():  # rows that repeat an id
-        kept = kept.dropDuplicates([id_col])
-    return kept.unionByName(docs.filter(F.col(id_col).isNull()))
+    A row is named by its id and the mark of its text, so rows that repeat an id
+    with unlike texts are told apart; of rows equal in both one stays.  These are
+    made one before the shuffle, so a row repeated without bound is one row a
+    task there; the semi-join then needs no shuffle of texts of its own."""
+    number, mark = free_name(docs, "first_id"), free_name(docs, "first_mark")
+    keyed = docs.withColumns({number: F.coalesce(F.col(id_col).cast("long"), F.lit(0).cast("long")), mark: mark_of(id_col, text_col)})
+    named = chosen.select(F.coalesce("first.doc_id", F.lit(0).cast("long")).alias(number), F.col("first.mark").alias(mark))
+    return keyed.dropDuplicates([number, mark]).join(named, [number, mark], "left_semi").select(*docs.columns)

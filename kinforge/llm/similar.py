@@ -16,7 +16,9 @@ Texts with equal shingle sets are one node (`same`, a hash of the set).  Groups
 beyond `block` sets or `block_shingles` shingles are split and each pair of
 blocks is compared in a task of its own.  Defined cases as in `simhash`: null
 and empty texts have equal (empty) sets, texts of under five words are one
-shingle, null ids are ignored when the smallest id is taken.
+shingle, null ids are ignored when the smallest id is taken; of each group one
+row stays, that of the smallest id (null last) and, of rows that repeat it, that
+of the smallest hash of the text.
 """
 
 from __future__ import annotations
@@ -32,9 +34,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinforge.llm.components import components
-from kinforge.llm.frames import checkpointed, map_texts, two_columns
+from kinforge.llm.frames import checkpointed, map_texts, marked
 from kinforge.llm.ragged import chunks, words
-from kinforge.llm.simhash import LINKS, SEED, firsts, links
+from kinforge.llm.simhash import LINKS, SEED, by_first, firsts, links
 from kinforge.operators.joins import split_join
 
 SHINGLE, CANDIDATE_SHINGLE, PRINTS, MAX_BITS = 5, 2, 3, 7
@@ -119,7 +121,7 @@ def _lists(flat: np.ndarray, at: np.ndarray) -> pa.Array:
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, same, size, fps): hash and number of the shingles, fingerprints."""
+    """(doc_id, mark, same, size, fps): hash and number of the shingles, fingerprints."""
 
     def rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for a, b, data, offsets in chunks(batch.column(1)):
@@ -127,9 +129,10 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             h, at = shingle_sets(word, row, b - a)
             fps = prints_of(word, row, b - a)
             lists = _lists(fps.ravel(), np.arange(b - a + 1) * PRINTS)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(_same(h, at)), pa.array(np.diff(at)), lists], names=["doc_id", "same", "size", "fps"])
+            ids = [batch.column(c).slice(a, b - a) for c in (0, 2)]
+            yield pa.RecordBatch.from_arrays([*ids, pa.array(_same(h, at)), pa.array(np.diff(at)), lists], names=["doc_id", "mark", "same", "size", "fps"])
 
-    return map_texts(two_columns(docs, id_col, text_col), rows, "doc_id long, same long, size long, fps array<long>")
+    return map_texts(marked(docs, id_col, text_col), rows, "doc_id long, mark long, same long, size long, fps array<long>")
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -176,9 +179,8 @@ def alike(same: np.ndarray, flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarra
     return np.array(u, np.int64), np.array(v, np.int64)
 
 
-def similar(docs: DataFrame, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id) for every row; component_id is the smallest doc_id
-    reachable over texts that share 80 % of their shingles."""
+def _classes(docs: DataFrame, block: int, block_shingles: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The signature of every row, and (same, root, least, first) of every distinct shingle set."""
     signed = checkpointed(signatures(docs, id_col, text_col))
     near = [links(signed.select(F.col("fps")[p].alias("fp")).distinct(), masks=_masks(), max_bits=MAX_BITS) for p in range(PRINTS)]
     roots = components(reduce(DataFrame.unionByName, near)).withColumnRenamed("node", "fp")
@@ -188,11 +190,10 @@ def similar(docs: DataFrame, block: int = BLOCK, block_shingles: int = BLOCK_SHI
     # the fingerprints mostly find the same groups again
     groups = groups.groupBy("n", "sign").agg(F.min("group").alias("group"), F.max("total").alias("total")).select("group", "n", "total")
     members = checkpointed(split_join(coarse.select("group", "same"), groups, ["group"]))
-    least = signed.groupBy("same").agg(F.min("doc_id").alias("least"))
-    ids = least.join(members.select("same").distinct(), "same", "left_semi").select(F.col("least").alias("doc_id")).distinct()
-    texts = two_columns(docs, id_col, text_col)
-    chosen = texts.join(ids, "doc_id", "left_semi").unionByName(texts.filter("doc_id is null"))
-    sets = _sets(chosen).dropDuplicates(["same"])
+    least = signed.groupBy("same").agg(F.min("doc_id").alias("least"), F.min(by_first()).alias("first"))
+    chosen = least.join(members.select("same").distinct(), "same", "left_semi").select(F.coalesce("first.doc_id", F.lit(0).cast("long")).alias("number"), "first.mark")
+    texts = marked(docs, id_col, text_col).withColumn("number", F.coalesce("doc_id", F.lit(0).cast("long")))
+    sets = _sets(texts.join(chosen, ["number", "mark"], "left_semi").select("doc_id", "text")).dropDuplicates(["same"])
     n_blocks = F.greatest(F.ceil(F.col("n") / F.lit(block)), F.ceil(F.col("total") / F.lit(block_shingles)))
     dealt = members.withColumn("n_blocks", n_blocks).withColumn("own", F.pmod(F.xxhash64("same"), F.col("n_blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)))
@@ -206,13 +207,19 @@ def similar(docs: DataFrame, block: int = BLOCK, block_shingles: int = BLOCK_SHI
 
     found = dealt.join(sets, "same").groupBy("group", "low", "high").applyInArrow(compared, LINKS)
     reached = components(found).withColumnRenamed("node", "same")
-    classes = least.join(reached, "same", "left").withColumn("root", F.coalesce("root", "same"))
+    return signed, least.join(reached, "same", "left").withColumn("root", F.coalesce("root", "same"))
+
+
+def similar(docs: DataFrame, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id) for every row; component_id is the smallest doc_id
+    reachable over texts that share 80 % of their shingles."""
+    signed, classes = _classes(docs, block, block_shingles, id_col, text_col)
     first = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     named = split_join(classes.select("same", "root"), first, ["root"]).select("same", "component_id")
     return signed.join(named, "same").select("doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` whose id is the smallest of its component, one row for
-    each id, with the same columns; rows without an id cannot be named and stay."""
-    return firsts(docs, similar(docs, block, block_shingles, id_col, text_col), id_col)
+    """The first row of each component (see `simhash.firsts`), with the same columns."""
+    _, classes = _classes(docs, block, block_shingles, id_col, text_col)
+    return firsts(docs, classes.groupBy("root").agg(F.min("first").alias("first")), id_col, text_col)

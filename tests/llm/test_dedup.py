@@ -6,7 +6,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from kinforge.llm import queries, simhash, substrings
+from kinforge.llm import queries, similar, simhash, substrings
 from kinforge.llm.components import components
 
 
@@ -128,10 +128,76 @@ def test_components_of_paths_and_stars(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def kept_of(rows, classes):
+    """The rows that stay: of each class the first by id (null last); ties may go either way."""
+    groups = {}
+    for (i, t), c in zip(rows, classes, strict=True):
+        groups.setdefault(c, []).append((i is None, i or 0, t))
+    return [[(None if no else i, t) for no, i, t in g if (no, i) == min(x[:2] for x in g)] for g in groups.values()]
+
+
+def assert_kept(got, wanted):
+    """One row of each list of choices, and no other."""
+    left = list(got)
+    for choices in wanted:
+        mine = next(r for r in left if r in choices)
+        left.remove(mine)
+    assert not left
+
+
+def fingerprint_classes(rows):
+    prints = [(k, fingerprint(t)) for k, (_, t) in enumerate(rows)]
+    return [c for _, _, c in brute_components(prints)]
+
+
 def test_near_dedup_odd_rows(odd, odd_rows):
     got = sorted(((r["doc_id"], r["fp"] % (1 << 64), r["component_id"]) for r in simhash.near_duplicates(odd).collect()), key=str)
     assert got == sorted(brute_components([(i, fingerprint(t)) for i, t in odd_rows]), key=str)
     kept = simhash.one_of_each(odd)
-    ids = [r["doc_id"] for r in kept.collect()]
-    assert kept.columns == odd.columns and len([i for i in ids if i is not None]) == len({i for i in ids if i is not None}) and ids.count(None) == 2
+    assert kept.columns == odd.columns
+    assert_kept([(r["doc_id"], r["text"]) for r in kept.collect()], kept_of(odd_rows, fingerprint_classes(odd_rows)))
     assert simhash.near_duplicates(odd.limit(0)).count() == 0 and simhash.one_of_each(odd.limit(0)).count() == 0
+
+
+X, Y, Z = (" ".join(f"{c}{k}" for k in range(30)) for c in "xyz")
+
+
+@pytest.mark.parametrize("rows, want", [([(5, X), (5, Y), (7, Z)], {(5, X), (5, Y), (7, Z)}), ([(3, X), (5, X), (5, Y), (7, Z)], {(3, X), (5, Y), (7, Z)}), ([(None, X), (0, X), (None, Y), (None, Y)], {(0, X), (None, Y)})])
+def test_unlike_texts_of_one_id_are_told_apart(spark, rows, want):
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, more int")
+    for module in (simhash, similar):
+        kept = module.one_of_each(df)
+        assert kept.columns == df.columns and sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_random_rows_with_repeated_and_null_ids(spark, seed):
+    rng = random.Random(seed)
+    texts = [" ".join(f"w{rng.randrange(60)}" for _ in range(40)) for _ in range(12)] + ["", None, "one two"]
+    rows = [(rng.choice([None, *range(8)]), rng.choice(texts)) for _ in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert_kept([tuple(r) for r in simhash.one_of_each(df).collect()], kept_of(rows, fingerprint_classes(rows)))
+
+
+def test_tally_finds_the_near_pairs_of_each_list():
+    rng = np.random.default_rng(7)
+    for positions in (2, 3, 5):
+        sets = simhash.position_sets(positions)
+        held, fp, owner, side = [], [], [], []
+        for k in range(60):
+            key = sets[k % len(sets)]
+            n = int(rng.integers(2, 12))
+            base = rng.integers(0, 1 << 63, dtype=np.uint64)
+            mine = np.full(n, base)
+            for x in range(n):
+                for b in rng.choice([b for b in range(64) if b // 8 not in key], int(rng.integers(0, 6)), replace=False):
+                    mine[x] ^= np.uint64(1) << np.uint64(b)
+            fp.append(mine)
+            owner += [k] * n
+            side += rng.integers(0, 2, n).tolist() if k % 3 == 0 else [0] * n
+            held.append([p in key for p in range(8)])
+        fp, owner, side = np.concatenate(fp), np.array(owner), np.array(side)
+        i, j = simhash.tallied(fp, owner, side, np.array(held))
+        split = {k for k in set(owner.tolist()) if len(set(side[owner == k].tolist())) > 1}
+        want = {(a, b) for b in range(len(fp)) for a in range(b) if owner[a] == owner[b] and (fp[a] ^ fp[b]).item().bit_count() <= 3 and (owner[a] not in split or side[a] != side[b])}
+        assert set(zip(i.tolist(), j.tolist(), strict=True)) == want and want

@@ -7,7 +7,8 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from kinforge.llm import quality, toxicity
-from tests.llm.test_dedup import brute_components, brute_repeats, fingerprint
+from tests.llm.test_dedup import brute_repeats
+from tests.llm.test_similar import brute_similar
 
 
 @pytest.fixture(scope="module")
@@ -39,8 +40,9 @@ def test_filters(spark, sf, stages):
 
 
 def test_near_dedup(stages):
-    before = [(r["doc_id"], fingerprint(r["text"])) for r in stages[2].collect()]
-    assert set(by_id(stages[3])) == {i for i, _, c in brute_components(before) if i == c}
+    """Five-word shingles and a similarity of 0.8, by comparing all pairs."""
+    before = [(r["doc_id"], r["text"]) for r in stages[2].collect()]
+    assert set(by_id(stages[3])) == {i for i, c in brute_similar(before) if i == c}
 
 
 def test_substring_dedup(stages):
