@@ -11,10 +11,14 @@ The model is learned by its exact likelihood (the same messages give the
 expectations) from labelled pages.  These pages are made by `labelled_pages`
 from a fixed set of layouts, so nothing has to be read or stored for it.
 
-Extraction is one pass without a shuffle.  Defined cases: a null, empty or
-text-free page has the empty text; unclosed and stray tags are repaired as
-browsers do for blocks; scripts, styles, comments and form fields have no text;
-repeated rows get a row each; an empty table gives no rows.
+Extraction is one pass without a shuffle, in time linear in a page's length
+whatever its markup.  Defined cases: a null, empty or text-free page has the
+empty text; unclosed and stray tags are repaired as browsers do for blocks, a
+tag without its end takes the rest of the page; blocks nested deeper than
+`MAX_DEPTH` are siblings there, as in browsers, and keep their text; scripts,
+styles, comments and form fields have no text; null ids and urls stay null;
+repeated rows get a row each; a page of any length is read whole; an empty table
+gives no rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -39,12 +43,17 @@ BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul".split()
 )
-RAW = frozenset("script style noscript template iframe svg math object canvas audio video textarea head title".split())
+RAW = frozenset("script style noscript template iframe svg object canvas audio video textarea head title".split())
+#: Of these, what has no end tag is an element without text of its own: the page goes on behind its tag.
+_OPEN = frozenset("head title svg object canvas audio video template".split())
+#: Nested blocks beyond this depth become siblings.
+MAX_DEPTH = 512
 CLOSES = {"li": "li", "dt": "dd dt", "dd": "dd dt", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option", "p": "p"}
 _CLOSES_P = BLOCKS - {"button", "body", "html", "option", "select", "legend", "caption", "td", "th", "tr", "tbody", "thead", "tfoot"}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: Possessive: once a tag has begun nothing is read twice.  A quote that never ends is a sign like any other.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:\"[^\"]*+\"|'[^']*+'|[^>])*+)(?:>|\Z)", re.S)
+_ATTRIBUTE = re.compile(r"(class|id|role)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _SPACE = re.compile(r"\s+")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -65,7 +74,7 @@ NAMES = {
 _TELLS = {word: kind for kind, words in NAMES.items() for word in words.split()}
 TAGS = ["other", *"article aside blockquote body button dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 header li main menu nav ol p pre section select table td th tr ul".split()]
 _TAG = {t: i for i, t in enumerate(TAGS)}
-_KINDS = ["-", *NAMES]
+_KINDS = list(NAMES)
 _N_LENGTH, _N_LINK, _N_MARK, _N_DEPTH = 10, 5, 4, 6
 
 
@@ -83,51 +92,48 @@ class Tree:
     label: list[int]  # where known (learning): 1 content
 
 
-def _told(attributes: str) -> tuple[frozenset[str], bool]:
-    kinds, hidden = set(), False
+def _told(attributes: str) -> frozenset[str]:
+    kinds = set()
     for m in _ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name in ("hidden", "aria-hidden"):
-            hidden |= name == "hidden" or value.lower() == "true"
-        elif name == "style":
-            hidden |= "display:none" in value.replace(" ", "").lower()
-        else:
-            kinds |= {_TELLS[w] for x in _NAME.findall(value) if (w := x.lower()) in _TELLS}
-    return frozenset(kinds), hidden
+        kinds |= {_TELLS[w] for x in _NAME.findall(m[2] or m[3] or m[4] or "") if (w := x.lower()) in _TELLS}
+    return frozenset(kinds)
 
 
 def parse(page: str) -> Tree:
     """The tree of a page; node 0 is the page itself."""
     tree = Tree([-1], ["body"], [frozenset()], [0], [0], [0], [], [-1])
     stack, names = [0], ["body"]
+    places: dict[str, list[int]] = {}  # where in the stack the open elements of a name are
     held: list[str] = []
     link = 0
-    silent = 0  # depth at which a hidden element began, 0 if none
 
     def flush() -> None:
         if held:
             text = _SPACE.sub(" ", html.unescape("".join(held))).strip()
             held.clear()
-            if text and not silent:
+            if text:
                 node = stack[-1]
                 tree.blocks.append((node, text))
                 tree.own[node] += len(text)
                 tree.marks[node] += sum(map(text.count, ".,;:!?"))
 
     def close(k: int) -> None:
-        nonlocal silent, link
+        nonlocal link
         flush()
         link = 0
+        for name in names[k:]:
+            places[name].pop()
         del stack[k:], names[k:]
-        if silent and len(stack) < silent:
-            silent = 0
 
-    at, raw_end = 0, {}
+    def last(name: str) -> int:
+        return places[name][-1] if places.get(name) else 0
+
+    at, raw_end, unclosed = 0, {}, set()
     while m := _TOKEN.search(page, at):
         if m.start() > at:
             text = page[at : m.start()]
             held.append(text)
-            if link and not silent:
+            if link:
                 tree.linked[stack[-1]] += len(text.strip())
         at = m.end()
         name = m[2]
@@ -137,17 +143,21 @@ def parse(page: str) -> Tree:
         if m[1]:
             if name == "a":
                 link = 0
-            elif name in BLOCKS and name in names[1:]:
-                close(len(names) - 1 - names[::-1].index(name))
+            elif name in BLOCKS and last(name):
+                close(last(name))
             elif name in BLOCKS:
                 flush()
             continue
         if name in RAW:
             if not m[3].rstrip().endswith("/"):
                 if name not in raw_end:
-                    raw_end[name] = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I)
-                end = raw_end[name].search(page, at)
-                at = end.end() if end else (at if name in ("head", "title") else len(page))
+                    raw_end[name] = re.compile(rf"</{name}\b[^>]*+(?:>|\Z)", re.I)
+                end = None if name in unclosed else raw_end[name].search(page, at)
+                if end:
+                    at = end.end()
+                else:  # none will be found further on either
+                    unclosed.add(name)
+                    at = at if name in _OPEN else len(page)
             continue
         if name == "a":
             link = 1
@@ -155,25 +165,23 @@ def parse(page: str) -> Tree:
             held.append(" ") if name == "br" else flush()
         elif name in BLOCKS and name not in ("html", "body"):
             flush()
-            if name in _CLOSES_P and "p" in names[1:]:
-                k = len(names) - 1 - names[::-1].index("p")
-                if not {"td", "th", "li", "blockquote", "div", "button"} & set(names[k + 1 :]):
-                    close(k)
+            if name in _CLOSES_P and last("p") and last("p") >= max(map(last, ("td", "th", "li", "blockquote", "div", "button"))):
+                close(last("p"))
             for other in CLOSES.get(name, "").split():
-                if names[-1] == other:
+                if names[-1] == other and len(names) > 1:
                     close(len(names) - 1)
-            kinds, hidden = _told(m[3]) if m[3] else (frozenset(), False)
+            if len(stack) >= MAX_DEPTH:
+                close(len(stack) - 1)
             tree.parent.append(stack[-1])
             tree.tag.append(name)
-            tree.kinds.append(kinds)
+            tree.kinds.append(_told(m[3]) if m[3] else frozenset())
             for column in (tree.own, tree.linked, tree.marks):
                 column.append(0)
             tree.label.append(1 if m[3] and "data-content" in m[3] else 0)
+            places.setdefault(name, []).append(len(stack))
             stack.append(len(tree.tag) - 1)
             names.append(name)
             link = 0
-            if hidden and not silent:
-                silent = len(stack)
     held.append(page[at:])
     flush()
     return tree
@@ -196,10 +204,7 @@ def _features(tree: Tree) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for i in range(1, n):
         depth[i] = depth[tree.parent[i]] + 1
     tag = np.array([_TAG.get(t, 0) for t in tree.tag])
-    kinds = [sorted(map(_KINDS.index, k))[:3] for k in tree.kinds]
-    told = np.full((n, 3), -1)
-    for i, k in enumerate(kinds):
-        told[i, : len(k)] = k
+    told = np.array([[k in kinds for k in _KINDS] for kinds in tree.kinds])
     own = np.array(tree.own)
     length = np.minimum(np.ceil(np.log2(own + 1)), _N_LENGTH - 1).astype(np.int64)
     link = np.minimum(np.array(tree.linked) * (_N_LINK - 1) // np.maximum(own, 1), _N_LINK - 1)
@@ -207,7 +212,7 @@ def _features(tree: Tree) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     base = np.cumsum([0, len(TAGS), len(_KINDS), _N_LENGTH, _N_LINK, _N_MARK, _N_DEPTH])
     columns = [
         base[0] + tag,
-        *(np.where(told[:, k] >= 0, base[1] + told[:, k], -1) for k in range(3)),
+        *(np.where(told[:, k], base[1] + k, -1) for k in range(len(_KINDS))),
         base[2] + length,
         base[3] + link,
         base[4] + mark,
@@ -224,7 +229,7 @@ def forest(trees: list[Tree]) -> Forest:
     made = [_features(t) for t in trees]
     parent = np.concatenate([np.where(np.array(t.parent) < 0, -1, np.array(t.parent) + b) for t, b in zip(trees, begin, strict=False)])
     depth = np.concatenate([d for *_, d in made])
-    level = [np.flatnonzero(depth == k) for k in range(int(depth.max()) + 1)]
+    level = np.split(np.argsort(depth, kind="stable"), np.cumsum(np.bincount(depth))[:-1])
     return Forest(parent, level, np.concatenate([f for f, *_ in made]), np.concatenate([t for _, t, _ in made]), begin)
 
 
@@ -340,7 +345,8 @@ def labelled_pages(n: int = 400, seed: int = 1) -> list[str]:
             elif kind < 0.78:
                 parts.append(f"<h2 data-content>{words(1, 6)}</h2>")
             elif kind < 0.84:
-                parts.append("<ul data-content>" + "".join(f"<li data-content>{prose()}</li>" for _ in range(rng.randint(1, 5))) + "</ul>")
+                kind = rng.choice(["ul", "ol"])
+                parts.append(f"<{kind} data-content>" + "".join(f"<li data-content>{prose()}</li>" for _ in range(rng.randint(1, 5))) + f"</{kind}>")
             elif kind < 0.88:
                 parts.append(f"<blockquote data-content><p data-content>{prose()}</p></blockquote>")
             elif kind < 0.91:
