@@ -2,6 +2,7 @@ import gzip
 import hashlib
 import io
 import struct
+import time
 import zipfile
 import zlib
 
@@ -77,6 +78,28 @@ def test_damaged_checksum():
     assert media.sniff(bytes(bad))[0] == []
 
 
+@pytest.mark.parametrize(
+    "part, tail",
+    [(b"%PDF-1 ", b""), (b"%PDF-1 ", b"%%EOF"), (b"PK\3\4", b""), (b"PK\3\4", b"PK\5\6" + bytes(18)), (b"OggS\0\0" + bytes(21), b""), (b"GIF89a\1\1\1\1\0\0\0!\1\1", b"x" * 400)]
+    + [(struct.pack(">I", 8) + b"ftyp", b""), (b"\xff\xd8\xff\xe0\0\2", b""), (b"\xff\xd8\xff\xda\0\2", b""), (b"fLaC\0\0\0\x22", b"")],
+    ids=["pdf", "pdf end", "zip", "zip end", "ogg", "gif", "mp4", "jpeg", "jpeg scan", "flac"],
+)
+def test_hostile_blobs_take_linear_time(part, tail):
+    blob = part * (1_000_000 // len(part)) + tail
+    began = time.perf_counter()
+    found, seen = media.sniff(blob)
+    assert time.perf_counter() - began < 15 and seen >= 1_000_000 // len(part) - 1
+
+
+def test_walks_that_share_places_do_not_mislead():
+    """Good files behind failed ones, and inside them."""
+    for kind, blob in FILES.items():
+        if kind in ("audio/flac", "application/pdf"):
+            continue
+        found, _ = media.sniff(blob[:-1] + b"...." + blob)
+        assert (kind, len(blob) + 3, len(blob)) in found
+
+
 def test_embedded_media_are_carved_from_a_stored_payload():
     blob = media.to_wav(b"text " + png() + b" more " + gif())
     kind, corrected, inner, payload, n, feature = media._inspected(blob, media.UNKNOWN)
