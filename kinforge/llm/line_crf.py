@@ -6,14 +6,20 @@ the transition potentials; Viterbi decoding marks every line and the share of
 words in content lines decides whether the text is kept.
 
 The field is learned by its exact conditional likelihood (forward-backward)
-from at most `PER_CLASS` labelled texts of either class: a line takes its text's
-quality label, and every second text is joined to another so that changes of
-state occur too.  Rows whose id hashes to the held-out remainder take no part.
+from at most `PER_CLASS` labelled texts of either class, of a longer text from
+`FIT_LINES` lines in a row (which ones, a hash of its id decides).  Only texts
+are labelled, not lines: a line takes its text's label, but lines that stand in
+`SHARED_TEXTS` unlike texts of the sample are boilerplate in good texts too
+(where they hold less than half of the words, so near copies do not condemn each
+other), and every fourth text is joined to another so that changes of state
+occur.  Rows whose id hashes to the held-out remainder take no part.
 
 Scoring is one pass without a shuffle; the model has a few hundred numbers.
 Defined cases: a null or empty text has no words, fails the base rules and is
 not kept; without labelled rows of both classes the verdict of the base rules
-stands; repeated rows get a row each; an empty table gives no rows.
+stands; null ids stay null and are never learned from; repeated rows get a row
+each; a text of any number of lines is scored whole, in memory of some times its
+size; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,10 +34,16 @@ from pyspark.sql import types as T
 
 from kinforge.llm.frames import class_sizes, labelled_sample, map_texts, two_columns
 from kinforge.llm.quality import statistics
-from kinforge.llm.ragged import SEP, chunks, counts, covered, hash_slices, mix, padded, per_row, window_hash, words
+from kinforge.llm.ragged import SEP, chunks, counts, covered, gather, hash_slices, mix, padded, per_row, window_hash, words
 
 MODULUS, HELD_OUT = 5, 0
 PER_CLASS = 2048
+#: Lines of one labelled text that the field is learned from.
+FIT_LINES = 512
+#: Unlike texts of the sample from which on a line that they share is boilerplate.
+SHARED_TEXTS = 4
+#: Steps of learning, each over a batch of texts, and texts in a batch; alike for every size of sample.
+FIT_STEPS, FIT_BATCH = 320, 128
 #: Steps of any statistic.
 STEPS = 48
 MIN_SHARE = 0.5
@@ -62,32 +74,59 @@ class Field:
     def potentials(self, steps: np.ndarray) -> np.ndarray:
         return self.state[np.arange(steps.shape[1]), steps].sum(axis=1)
 
-    def viterbi(self, steps: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Best states of all lines; text i has lines begin[i] .. begin[i] + size[i]."""
+    def viterbi(self, steps: np.ndarray, begin: np.ndarray, size: np.ndarray, span: int = 1024) -> np.ndarray:
+        """Best states of all lines; text i has lines begin[i] .. begin[i] + size[i].
+
+        Texts are cut into segments of `span` lines, which go forward side by side
+        for either state before them; then the segments of a text are chained."""
         own = self.potentials(steps)
-        back = np.zeros(own.shape, np.int8)
-        order = np.argsort(-size, kind="stable")
-        begin, size = begin[order], size[order]
-        best = own[begin] + self.first
-        longest = int(size.max(initial=0))
-        final = np.zeros((len(begin), 2))
-        live = len(begin)
+        n_segments = -(-size // span)
+        first_segment = np.cumsum(n_segments) - n_segments
+        text = np.repeat(np.arange(len(size)), n_segments)
+        number = np.arange(len(text)) - first_segment[text]
+        start = begin[text] + number * span
+        length = np.minimum(span, begin[text] + size[text] - start)
+        order = np.argsort(-length, kind="stable")
+        start, length, at_first = start[order], length[order], (number == 0)[order]
+        back = np.zeros((len(own), 2, 2), np.int8)  # line, state before the segment, state
+        entry = np.where(at_first[:, None, None], self.first, self.move)
+        best = own[start][:, None, :] + entry
+        final = np.zeros((len(start), 2, 2))
+        live, longest = len(start), int(length.max(initial=0))
         for t in range(1, longest + 1):
-            still = int(np.searchsorted(-size, -t, side="left"))  # texts with more than t lines
-            final[still:live] = best[still:live]
+            still = int(np.searchsorted(-length, -t, side="left"))  # segments with more than t lines
+            final[order[still:live]] = best[still:live]
             live = still
             if not live:
                 break
-            ways = best[:live, :, None] + self.move  # (text, from, to)
-            back[begin[:live] + t] = ways.argmax(axis=1)
-            best = ways.max(axis=1) + own[begin[:live] + t]
+            ways = best[:live, :, :, None] + self.move  # (segment, before, from, to)
+            here = start[:live] + t
+            back[here] = ways.argmax(axis=2)
+            best = ways.max(axis=2) + own[here][:, None, :]
+        # chain the segments of each text
+        came = np.zeros((len(order), 2), np.int8)
+        many = np.argsort(-n_segments, kind="stable")
+        score = final[first_segment[many], 0]
+        for k in range(1, int(n_segments.max(initial=0))):
+            on = int(np.searchsorted(-n_segments[many], -k, side="left"))
+            ways = score[:on, :, None] + final[first_segment[many[:on]] + k]
+            came[first_segment[many[:on]] + k] = ways.argmax(axis=1)
+            score[:on] = ways.max(axis=1)
+        leaves, enters = np.zeros(len(order), np.int8), np.zeros(len(order), np.int8)
+        state = score.argmax(axis=1).astype(np.int8)
+        for k in range(int(n_segments.max(initial=0)) - 1, -1, -1):
+            on = int(np.searchsorted(-n_segments[many], -k, side="left"))
+            segment = first_segment[many[:on]] + k
+            leaves[segment] = state[:on]
+            enters[segment] = came[segment, state[:on]] if k else 0
+            state[:on] = enters[segment]
         out = np.zeros(len(own), np.int8)
-        state = final.argmax(axis=1)
+        state, before = leaves[order], enters[order]
         for t in range(longest - 1, -1, -1):
-            live = int(np.searchsorted(-size, -t, side="left"))
-            here = begin[:live] + t
-            out[here] = state[:live]
-            state[:live] = back[here, state[:live]]
+            on = int(np.searchsorted(-length, -t, side="left"))
+            here = start[:on] + t
+            out[here] = state[:on]
+            state[:on] = back[here, before[:on], state[:on]]
         return out
 
 
@@ -96,7 +135,7 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
-def fit(sequences: list[tuple[np.ndarray, np.ndarray]], epochs: int = 12, batch: int = 128, rate: float = 0.05, ridge: float = 1e-3) -> Field:
+def fit(sequences: list[tuple[np.ndarray, np.ndarray]], n_steps: int = FIT_STEPS, batch: int = FIT_BATCH, rate: float = 0.05, ridge: float = 1e-3) -> Field:
     """Maximum conditional likelihood by Adam; a sequence is (steps by line, state of each line)."""
     width = sequences[0][0].shape[1]
     field = Field(np.zeros((width, STEPS, 2)), np.zeros((2, 2)), np.zeros(2))
@@ -107,8 +146,8 @@ def fit(sequences: list[tuple[np.ndarray, np.ndarray]], epochs: int = 12, batch:
     groups = [by_size[a : a + batch] for a in range(0, len(by_size), batch)]
     rng, tick = np.random.default_rng(5), 0
     column = np.arange(width)
-    for _ in range(epochs):
-        for g in rng.permutation(len(groups)):
+    while tick < n_steps:
+        for g in rng.permutation(len(groups))[: n_steps - tick]:
             picked = [sequences[i] for i in groups[g]]
             size = np.array([len(y) for _, y in picked])
             n, longest = len(picked), int(size.max())
@@ -180,6 +219,7 @@ class Lines:
         # lines equal to an earlier one
         body = np.where(last | (self.end <= self.start), self.end, self.end - 1)
         lh, _ = hash_slices(padded(data), self.start, body)
+        self.line_hash = lh
         key = mix(lh ^ mix(self.text.astype(np.uint64) + np.uint64(1)))
         first = np.zeros(len(key), bool)
         first[np.unique(key, return_index=True)[1]] = True
@@ -202,7 +242,10 @@ class Lines:
         return running[offsets[1:]] - running[offsets[:-1]]
 
 
-def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Field | None:
+def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, fit_lines: int = FIT_LINES) -> Field | None:
+    """The field of the labelled rows that are not held out; None without both classes.
+
+    At most 2 * per_class texts of fit_lines lines reach the driver, some thirty bytes a line."""
     if not all(class_sizes(labels, "quality", MODULUS, HELD_OUT)):
         return None
     sample = labelled_sample(docs, labels, "quality", MODULUS, HELD_OUT, per_class)
@@ -211,25 +254,51 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Fie
         for batch in it:
             for a, b, data, offsets in chunks(batch.column(1)):
                 found = Lines(data, offsets)
-                cuts = np.append(found.line_begin, len(found.text)).astype(np.int32) * found.steps.shape[1]
-                steps = pa.ListArray.from_arrays(pa.array(cuts), pa.array(found.steps.astype(np.int8).ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), steps], names=["doc_id", "label", "steps"])
+                ids = batch.column(0).slice(a, b - a)
+                size = np.minimum(found.n_lines, fit_lines)
+                begin = found.line_begin + mix(ids.to_numpy().astype(np.uint64)).astype(np.uint64) % (found.n_lines - size + 1).astype(np.uint64)
+                at = gather(np.arange(len(found.text)), begin.astype(np.int64), size)
+                cuts = np.append(0, np.cumsum(size)).astype(np.int32)
+                steps = pa.ListArray.from_arrays(pa.array(cuts * found.steps.shape[1]), pa.array(found.steps[at].astype(np.int8).ravel()))
+                held = pa.ListArray.from_arrays(pa.array(cuts), pa.array(found.line_words[at].astype(np.int32)))
+                lines = pa.ListArray.from_arrays(pa.array(cuts), pa.array(found.line_hash[at].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([ids, batch.column(2).slice(a, b - a), steps, held, lines], names=["doc_id", "label", "steps", "words", "lines"])
 
-    table = sample.mapInArrow(rows, "doc_id long, label int, steps array<tinyint>").toArrow().sort_by("doc_id")
-    if len(set(table["label"].to_pylist())) < 2:
+    table = sample.mapInArrow(rows, "doc_id long, label int, steps array<tinyint>, words array<int>, lines array<long>").toArrow()
+    table = table.sort_by([("doc_id", "ascending"), ("label", "ascending")])
+    y = table["label"].to_numpy()
+    if len(set(y.tolist())) < 2:
         return None
-    width = 16
-    texts = [(np.array(s, np.int64).reshape(-1, width), y) for s, y in zip(table["steps"].to_pylist(), table["label"].to_pylist(), strict=True)]
-    order = np.random.default_rng(3).permutation(len(texts))
-    sequences = []
-    for i, k in enumerate(order):
-        steps, label = texts[k]
-        states = np.full(len(steps), label)
-        if i % 4 == 1:  # joined to the one before
-            before, y = sequences.pop()
-            steps, states = np.concatenate([before, steps]), np.concatenate([y, states])
-        sequences.append((steps, states))
-    return fit(sequences, epochs=max(6, min(40, 40_000 // len(sequences))))
+    lists = table["words"].combine_chunks()
+    at, held = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
+    flat = table["steps"].combine_chunks().values.to_numpy().reshape(len(held), -1).astype(np.int64)
+    states = line_states(at, y, held, table["lines"].combine_chunks().values.to_numpy())
+    return fit(_joined(flat, at, states))
+
+
+def line_states(at: np.ndarray, y: np.ndarray, held: np.ndarray, line: np.ndarray, shared_texts: int = SHARED_TEXTS) -> np.ndarray:
+    """State of every line: its text's label, or 0 where unlike texts share it."""
+    n = len(y)
+    text = np.repeat(np.arange(n), np.diff(at))
+    whole = np.zeros(n, np.uint64)  # equal for equal texts, in whatever order the lines come
+    np.add.at(whole, text, mix(line.view(np.uint64)))
+    like = np.unique(whole, return_inverse=True)[1]
+    code = np.unique(line, return_inverse=True)[1]
+    pairs = np.unique(code.astype(np.int64) * n + like[text])
+    shared = (np.bincount(pairs // n, minlength=len(line)) >= shared_texts)[code] & (held > 0)
+    little = 2 * per_row(held * shared, text, n) < per_row(held, text, n)
+    return np.where(shared & little[text], 0, y[text]).astype(np.int64)
+
+
+def _joined(flat: np.ndarray, at: np.ndarray, states: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Texts as sequences in an order of chance, every fourth joined to the one before."""
+    sequences: list[tuple[np.ndarray, np.ndarray]] = []
+    for i, k in enumerate(np.random.default_rng(3).permutation(len(at) - 1)):
+        own = flat[at[k] : at[k + 1]], states[at[k] : at[k + 1]]
+        if i % 4 == 1:
+            own = tuple(np.concatenate(x) for x in zip(sequences.pop(), own, strict=True))
+        sequences.append(own)
+    return sequences
 
 
 def ruled(docs: DataFrame, labels: DataFrame, min_share: float = MIN_SHARE, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

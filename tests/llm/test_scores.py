@@ -1,11 +1,13 @@
 import itertools
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from kinforge.llm import line_crf, quality, queries, toxicity
 from kinforge.llm.ragged import chunks, texts_of
@@ -180,13 +182,14 @@ def test_rules_odd_rows(odd, odd_rows, labels):
     assert all(r["kept"] == (not r["base_failed"]) for r in line_crf.ruled(odd, labels.limit(0)).collect())
 
 
-def test_viterbi_finds_the_best_states():
+@pytest.mark.parametrize("span", [1024, 3, 1])
+def test_viterbi_finds_the_best_states(span):
     rng = np.random.default_rng(3)
     field = line_crf.Field(rng.normal(size=(2, line_crf.STEPS, 2)), rng.normal(size=(2, 2)), rng.normal(size=2))
     sizes = [1, 4, 7, 2]
     steps = rng.integers(0, line_crf.STEPS, (sum(sizes), 2))
     begin = np.cumsum([0, *sizes[:-1]])
-    got = field.viterbi(steps, begin, np.array(sizes))
+    got = field.viterbi(steps, begin, np.array(sizes), span)
     own = field.potentials(steps)
     for b, n in zip(begin, sizes, strict=True):
         def score(y, b=b):
@@ -201,7 +204,7 @@ def test_the_field_learns_changes_of_state():
     for _ in range(200):
         y = np.repeat(rng.integers(0, 2, 4), 5)
         sequences.append((np.where(rng.random((20, 3)) < 0.8, y[:, None], 1 - y[:, None]), y))
-    field = line_crf.fit(sequences, epochs=10, batch=32)
+    field = line_crf.fit(sequences, n_steps=70, batch=32)
     # as good as decoding with the potentials that made the sequences
     known = line_crf.Field(np.zeros((3, line_crf.STEPS, 2)), np.log([[17.5 / 19, 1.5 / 19], [1.5 / 19, 17.5 / 19]]), np.zeros(2))
     known.state[:, :2, :] = np.log([[0.8, 0.2], [0.2, 0.8]])
@@ -209,6 +212,29 @@ def test_the_field_learns_changes_of_state():
     assert right > best - 0.01 and best > 0.9 and field.move[0, 0] > field.move[0, 1]
 
 
+def test_lines_that_unlike_texts_share_are_boilerplate():
+    texts = [f"own line {k} of this text\nshared line\nmore of {k}" for k in range(4)] + ["shared line\nshort"] * 3 + [f"same a\nsame b\n{k}" for k in range(5)]
+    lines = [t.split("\n") for t in texts]
+    at = np.cumsum([0, *map(len, lines)])
+    held = np.array([len(x.split()) for ls in lines for x in ls])
+    line = np.array([zlib.crc32(x.encode()) for ls in lines for x in ls], np.int64)
+    got = line_crf.line_states(at, np.ones(len(texts), np.int64), held, line, 5)
+    assert [got[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [[1, 0, 1]] * 4 + [[1, 1]] * 3 + [[1, 1, 1]] * 5
+
+
+def test_a_labelled_text_of_a_million_lines(spark):
+    """Learning takes `fit_lines` lines of it, scoring all of them."""
+    rows = [(k, f"A line of good prose number {k}, with a comma.\nAnother one follows it here.") for k in range(30)]
+    rows += [(100 + k, f"### $$ {k} ||| &&&\n%% << >> ##") for k in range(30)] + [(200, "so it goes on and on\n" * 1_000_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 100 or i == 200)) for i, _ in rows], "doc_id long, quality int")
+    began = time.perf_counter()
+    got = {r["doc_id"]: r for r in line_crf.ruled(df, labels).select("doc_id", "n_words", F.size("line_states").alias("n"), "content_share").collect()}
+    assert time.perf_counter() - began < 60
+    assert got[200]["n_words"] == 6_000_000 and got[200]["n"] == 1_000_001
+    assert all((got[i]["content_share"] >= 0.5) == (i < 100) for i, _ in rows[:-1])
+
+
 def test_lines_of_many_texts_do_not_mix():
     texts = ["a b\na b\n", "", "a b", "\n\n", "x " * 30 + "\n" + "x " * 30]
     for _, _, data, offsets in chunks(pa.array(texts)):
