@@ -17,7 +17,9 @@ on the executors.  Scoring is one pass without a shuffle; the model has
 Labels, language, source and id are no inputs.  Defined cases: a null or empty
 text has the statistics of zero words; without labelled rows of both classes
 every score is the share of good labels (1 without any); repeated rows get a
-row each; a null doc_id is not held out; an empty table gives no rows.
+row each; a null doc_id is not held out; a text of any length is read whole, in
+memory of some times its size; an empty table gives no rows; a column of the
+name of the score is refused, all others pass.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ from kinforge.llm.ragged import SEP, chunks, counts, hash_slices, mix, padded, p
 
 MODULUS, HELD_OUT = 3, 1
 PER_CLASS = 4096
+#: Steps of learning, each over a batch of rows, and rows in a batch; alike for every size of sample.
+FIT_STEPS, FIT_BATCH = 512, 128
 BITS, RANK = 15, 8
 #: Weight of a statistic beside the words' unit length.
 STAT_VALUE = 0.5
@@ -125,13 +129,15 @@ class Machine:
         square = np.add.reduceat((vx * vx).sum(axis=1), head)
         return self.w0 + linear + 0.5 * ((total * total).sum(axis=1) - square), total, vx
 
-    def fit(self, offsets: np.ndarray, place: np.ndarray, value: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int = 12, batch: int = 128, rate: float = 0.08, ridge: float = 2e-5) -> None:
+    def fit(self, offsets: np.ndarray, place: np.ndarray, value: np.ndarray, y: np.ndarray, weight: np.ndarray, n_steps: int = FIT_STEPS, batch: int = FIT_BATCH, rate: float = 0.08, ridge: float = 2e-5) -> None:
         """AdaGrad on the weighted logistic loss; offsets: where each row's inputs begin."""
         rng = np.random.default_rng(11)
         sum_w, sum_v, sum_0 = np.full(self.w.shape, 1e-6, np.float32), np.full(self.v.shape, 1e-6, np.float32), 1e-6
-        for _ in range(epochs):
+        left = n_steps
+        while left > 0:
             order = rng.permutation(len(y))
-            for a in range(0, len(y), batch):
+            for a in range(0, len(y), batch)[:left]:
+                left -= 1
                 pick = order[a : a + batch]
                 size = offsets[pick + 1] - offsets[pick]
                 at = np.repeat(offsets[pick] - (np.cumsum(size) - size), size) + np.arange(size.sum())
@@ -193,7 +199,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mac
     share = np.clip(sizes[1] / sum(sizes), 0.2, 0.8)
     weight = np.where(y == 1, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9)).astype(np.float32)
     machine = Machine()
-    machine.fit(offsets, place, value, y, weight, epochs=max(8, min(60, 60_000 // len(y))))
+    machine.fit(offsets, place, value, y, weight)
     return machine
 
 
