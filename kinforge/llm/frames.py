@@ -30,13 +30,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's folder in spark.checkpoint.dir, which all machines share; only
-    where that is unset (tests on one machine) a temporary one is set."""
+    where that is unset and there is one machine (tests) a temporary one is set."""
     context = spark.sparkContext
     if folder := context.getConf().get("spark.checkpoint.dir"):
         if context._jsc.sc().getCheckpointDir().isEmpty():
             context.setCheckpointDir(folder)
         return folder
     if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
     return context._jsc.sc().getCheckpointDir().get()
 
@@ -111,18 +113,24 @@ def bucket_of(id_col: str, modulus: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus, F.lit(0).cast("long"))
 
 
+def is_held_out(id_col: str, modulus: int, rest: int) -> Column:
+    """Whether a row takes no part in learning by its id; false for a null id."""
+    return F.col(id_col).isNotNull() & (bucket_of(id_col, modulus) == rest)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, modulus: int, held_out: int, per_class: int) -> DataFrame:
     """(doc_id, text, label) of at most `per_class` labelled rows of either class that are not held out.
 
-    Which ones is decided by a hash of the id, so it is the same at every run.
+    Which ones is decided by a hash of the id, so it is the same at every run; of
+    rows that repeat an id the smallest text counts, made one before the shuffle.
     At most 2 * per_class ids are broadcast."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(target).cast("int").alias("label"))
     known = known.filter(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & (bucket_of("doc_id", modulus) != held_out))
     known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = known.filter("label = 0").orderBy(*order).limit(per_class).unionByName(known.filter("label = 1").orderBy(*order).limit(per_class))
-    texts = two_columns(docs, "doc_id", "text")
-    return texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
+    texts = two_columns(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return texts.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
 
 
 def class_sizes(labels: DataFrame, target: str, modulus: int, held_out: int) -> tuple[int, int]:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinforge.llm.frames import append, bucket_of, class_sizes, free_name, labelled_sample, two_columns
+from kinforge.llm.frames import append, class_sizes, free_name, is_held_out, labelled_sample, two_columns
 from kinforge.llm.ragged import SEP, chunks, counts, hash_slices, mix, padded, per_row, window_hash, words
 
 MODULUS, HELD_OUT = 3, 1
@@ -214,7 +214,7 @@ def score(docs: DataFrame, model: Machine | float, text_col: str = "text", name:
 def scored(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row."""
     out = score(two_columns(docs, "doc_id", "text"), learn(docs, labels, per_class))
-    return out.select("doc_id", (bucket_of("doc_id", MODULUS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return out.select("doc_id", is_held_out("doc_id", MODULUS, HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def without_poor(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, per_class: int = PER_CLASS) -> DataFrame:

@@ -1,8 +1,8 @@
 """Operator 6: toxicity by a weighted lexicon matched with Aho-Corasick.
 
-Texts are folded first: lower case, homoglyphs of other scripts to Latin
-letters, digits and signs that stand for letters to those letters, everything
-else to single spaces.  A token of letters and signs has further readings, with
+Texts are folded first: lower case, accents, combining marks and characters
+without width dropped, homoglyphs of other scripts to Latin letters, digits and
+signs that stand for letters to those letters, everything else to single spaces.  A token of letters and signs has further readings, with
 all signs read as letters (`readings`); one counts where the folded token has no
 stem.  The lexicon has word beginnings ("stems") and whole words of under
 `MIN_STEM` letters with weights, found by one Aho-Corasick scan; what lies in an
@@ -16,13 +16,15 @@ Scoring is one pass without a shuffle; the model is at most `MAX_STEMS` stems
 and as many phrases.  Defined cases: a null or empty text scores as one without
 any hit; without labelled rows of both classes the lexicon is empty and every
 score is the share of toxic labels (0 without any); repeated rows get a row
-each; a null doc_id is not held out; an empty table gives no rows.
+each; a null doc_id is not held out; a text of any length is read whole; an empty
+table gives no rows; a column of the name of the score is refused, all others pass.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -35,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinforge.llm.frames import append, bucket_of, checkpointed, class_sizes, free_name, labelled_sample, two_columns
+from kinforge.llm.frames import append, checkpointed, class_sizes, free_name, is_held_out, labelled_sample, two_columns
 
 MODULUS, HELD_OUT = 5, 0
 PER_CLASS = 4096
@@ -51,8 +53,10 @@ MIN_ROWS = 4
 HOMOGLYPHS = dict(zip("аеорсухіјѕһԁӏԛԝкмтвнαορνικυτɑıĸ", "aeopcyxijshdlqwkmtbhaopvikutaik", strict=True))
 SIGNS = dict(zip("013457@$!|", "oieastasil", strict=True))
 
-_FOLD = str.maketrans(HOMOGLYPHS | {chr(0xFF41 + i): chr(0x61 + i) for i in range(26)})
-_ODD = re.compile("[" + "".join(HOMOGLYPHS) + "Ａ-ｚ]")
+_FOLD = str.maketrans(HOMOGLYPHS)
+_ODD = re.compile("[" + "".join(HOMOGLYPHS) + "]")
+#: Combining marks of Latin letters, and characters without width.
+_MARKS = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f\u00ad\u034f\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufe00-\ufe0f\ufeff]")
 _SIGN = re.compile(r"(?<![013457@$!|])[013457@$!|]{1,2}(?=[^\W\d_])")
 _WORD = re.compile(r"[^\W\d_]+")
 #: A whole run of letters and signs with a sign in it, found in one pass.
@@ -62,6 +66,9 @@ _TO_LETTERS = str.maketrans(SIGNS)
 
 def _latin(text: str) -> str:
     text = text.lower()
+    if text.isascii():
+        return text
+    text = _MARKS.sub("", unicodedata.normalize("NFKD", text))
     return text.translate(_FOLD) if _ODD.search(text) else text
 
 
@@ -343,7 +350,7 @@ def _automata(model: Model) -> tuple:
 def scored(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row."""
     out = score(two_columns(docs, "doc_id", "text"), learn(docs, labels, per_class))
-    return out.select("doc_id", (bucket_of("doc_id", MODULUS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return out.select("doc_id", is_held_out("doc_id", MODULUS, HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, per_class: int = PER_CLASS) -> DataFrame:

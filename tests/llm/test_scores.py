@@ -1,6 +1,8 @@
 import itertools
+import random
 import re
 import time
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -10,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinforge.llm import line_crf, quality, queries, toxicity
+from kinforge.llm.frames import labelled_sample
 from kinforge.llm.ragged import chunks, texts_of
 
 MIDDLE = "/root/testdata/sf0.01"
@@ -65,6 +68,13 @@ def test_quality_odd_rows(odd, labels):
     assert kept.columns == odd.columns and kept.count() == odd.count()
 
 
+def test_a_repeated_id_counts_once_in_the_sample(spark):
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(50)] + [(2, "a")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    got = labelled_sample(docs, labels, "quality", 7, 6, 10).collect()
+    assert sorted(map(tuple, got)) == [(1, "text 0", 1), (2, "a", 0)]
+
+
 # --- toxicity ---
 
 
@@ -75,6 +85,40 @@ def test_folding():
     assert toxicity.fold("") == "  " and toxicity.fold("m0ron###") == " moron "
 
 
+def test_marks_and_characters_without_width_do_not_split_words():
+    for text in ("idíot", unicodedata.normalize("NFD", "idíot"), "id\u200biot", "i\u00addiot", "ＩＤＩＯＴ", "ідіот"[0] + "diot", "İdiot", "ﬁ idiot"[2:]):
+        assert toxicity.fold(text) == " idiot ", text
+
+
+def naive_hits(folded, stems, exceptions):
+    """Every word against every stem, every place against every phrase."""
+    out = []
+    for i, c in enumerate(folded):
+        fit = [s for s in stems if c == " " and folded.startswith(s, i + 1)]
+        covered = any(folded.startswith(f" {p} ", j) for p in exceptions for j in range(max(0, i - len(p)), i + 1))
+        if fit and not covered:
+            out.append((i, stems[max(fit, key=len)]))
+    return out
+
+
+def test_automaton_against_naive_matching(spark, docs, doc_rows):
+    rng = random.Random(9)
+    for _ in range(300):
+        stems = {"".join(rng.choices("ab", k=rng.randint(1, 4))): rng.random() for _ in range(5)}
+        exceptions = [" ".join("".join(rng.choices("ab", k=rng.randint(1, 4))) for _ in range(2)) for _ in range(3)]
+        folded = " " + " ".join("".join(rng.choices("ab", k=rng.randint(1, 5))) for _ in range(rng.randint(0, 12))) + " "
+        assert toxicity.hits(folded, *toxicity.Model(stems, exceptions).automata()) == naive_hits(folded, stems, exceptions)
+    # the learned lexicon over all texts
+    model = toxicity.learn(docs, spark.read.parquet("/root/testdata/sf0.001/labels.parquet"))
+    automata, found = model.automata(), 0
+    for _, text in doc_rows:
+        folded = toxicity.fold(text or "")
+        got = toxicity.hits(folded, *automata)
+        found += len(got)
+        assert got == naive_hits(folded, model.stems, model.exceptions)
+    assert found > 0 and len(model.stems) > 0
+
+
 def test_hits_and_exceptions():
     model = toxicity.Model(stems={"trash": 2.0, "tra": 1.0}, exceptions=["trash can"])
     stems, exceptions = model.automata()
@@ -134,6 +178,7 @@ def test_rows_that_begin_alike_all_teach(spark):
 def test_toxicity_odd_rows(odd, labels):
     rows = toxicity.scored(odd, labels).collect()
     assert len(rows) == odd.count() and all(0 <= r["score"] <= 1 for r in rows)
+    assert {r["held_out"] for r in rows if r["doc_id"] is None} == {False}
     assert toxicity.scored(odd.limit(0), labels).count() == 0
     assert {r["score"] for r in toxicity.scored(odd, labels.limit(0)).collect()} == {0.0}
     kept = toxicity.without_toxic(odd, labels.limit(0))
