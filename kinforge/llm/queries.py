@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinforge.llm import bpe_ops, html_tree, line_crf, media, packing, quality, sharding, simhash, substrings, toxicity
-from kinforge.llm.frames import shared_folder, table
+from kinforge.llm.frames import free_name, shared_folder, table
 
 
 def op1_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +74,8 @@ def op9_size_tiered_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, stored in arrivals, merged by size, read back from the last manifest."""
     store = sharding.Store(spark, f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}")
     docs = table(spark, sf_dir, "documents")
-    store.append_all(docs.withColumn("_arrival", F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(ARRIVALS))), "_arrival")
+    arrival = free_name(docs, "_arrival")
+    store.append_all(docs.withColumn(arrival, F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(ARRIVALS))), arrival)
     store.vacuum()
     return store.read().select("doc_id", "lang", "source", "n_chars", F.octet_length("text").cast("long").alias("n_bytes"), F.md5("text").alias("text_md5"))
 

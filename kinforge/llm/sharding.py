@@ -2,24 +2,29 @@
 
 A store is a folder of immutable Parquet shards and a chain of manifests, one
 JSON file for each version.  `append` writes an arrival as a run of small shards
-and commits a manifest that names them too.  `compact` looks for runs of similar
+and commits a manifest that names it too.  A run's list of shards is a file of
+its own, written once, so a manifest holds a line for each run (their number
+grows with the logarithm of the data).  `compact` looks for runs of similar
 size: a run's tier is the power of `fanout` that its size reaches; `fanout` runs
 of one tier are merged into one run of target-sized files, which reaches a
 higher tier, and so on until no tier is full.  So every row is rewritten once
-for each tier at most.
+for each tier at most.  Merges of different runs go side by side.
 
 A commit is a rename without overwriting: of two writers of one version one
 fails and takes the next version; a reader sees whole versions only.  Files of a
 failed or repeated task are in no manifest.  Old shards go when `vacuum` is
-called, not before.
+called, not before, and with them the manifests that name them and, some time
+after they were written, files that no manifest names.
 
 Merging reads a run's files and coalesces their partitions to the wanted number
 of files, so no row is shuffled.  Only names and sizes of shards come to the
 driver, a few hundred bytes for each target-sized file.
 
 Defined cases: an empty arrival commits a version without new shards; null
-values and repeated rows are stored as they are; a table of any columns can be
-stored, arrivals of one store must have the same columns.
+values, repeated rows and texts of any length are stored as they are; a table of
+any columns can be stored whatever their names, arrivals of one store must have
+the same columns; a version that was never committed or has been vacuumed away
+cannot be read (ValueError).
 """
 
 from __future__ import annotations
@@ -27,16 +32,23 @@ from __future__ import annotations
 import json
 import math
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kinforge.llm.frames import free_name
+
 TARGET_BYTES = 128 << 20
 FANOUT = 4
 #: A run below this size is in tier 0.
 BASE_BYTES = 1 << 20
+#: Merges that go side by side.
+MERGES = 4
+#: Files that no manifest names are left alone for so long: a writer may be about to commit them.
+ORPHAN_SECONDS = 24 * 3600
 
 
 @dataclass
@@ -84,7 +96,9 @@ class Store:
         self._fs = self._path(self.root).getFileSystem(conf)
         self._files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(self.root).toUri(), conf)
         self._no_options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
-        self._fs.mkdirs(self._path(f"{self.root}/manifests"))
+        self._known: dict[str, list[Shard]] = {}  # shard lists of runs, which never change
+        for folder in ("manifests", "runs", "data"):
+            self._fs.mkdirs(self._path(f"{self.root}/{folder}"))
 
     # --- manifests ---
 
@@ -97,26 +111,48 @@ class Store:
         version = version if version is not None else max(self.versions(), default=0)
         if version == 0:
             return Manifest(0, "", [])
-        stream = self._fs.open(self._path(self._name(version)))
-        text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        stream.close()
-        raw = json.loads(text)
-        runs = [Run(r["name"], [Shard(**s) for s in r["shards"]], r["merged_from"]) for r in raw["runs"]]
-        return Manifest(raw["version"], raw["schema"], runs)
+        if not self._fs.exists(self._path(self._name(version))):
+            raise ValueError(f"there is no version {version}")
+        raw = json.loads(self._text(self._name(version)))
+        return Manifest(raw["version"], raw["schema"], [Run(r["name"], self._shards(r["name"]), r["merged_from"]) for r in raw["runs"]])
+
+    def _text(self, path: str) -> str:
+        stream = self._fs.open(self._path(path))
+        try:
+            return self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def _shards(self, run: str) -> list[Shard]:
+        if run not in self._known:
+            self._known[run] = [Shard(**x) for x in json.loads(self._text(f"{self.root}/runs/{run}.json"))]
+        return self._known[run]
 
     def _name(self, version: int) -> str:
         return f"{self.root}/manifests/v{version:012d}.json"
 
-    def commit(self, manifest: Manifest) -> Manifest:
-        """Make it the manifest of its version, or raise Conflict."""
+    def _write(self, path: str, value: object) -> None:
+        """A JSON file at a path where none may be."""
         draft = self._path(f"{self.root}/manifests/.draft-{uuid.uuid4().hex}")
         out = self._fs.create(draft, False)
-        out.write(bytearray(json.dumps(asdict(manifest)), "utf-8"))
+        out.write(bytearray(json.dumps(value), "utf-8"))
         out.close()
         try:
-            self._files.rename(draft, self._path(self._name(manifest.version)), self._no_options)
-        except Exception as error:
+            self._files.rename(draft, self._path(path), self._no_options)
+        except Exception:
             self._fs.delete(draft, False)
+            raise
+
+    def commit(self, manifest: Manifest) -> Manifest:
+        """Make it the manifest of its version, or raise Conflict."""
+        for run in manifest.runs:
+            if run.name not in self._known:
+                self._write(f"{self.root}/runs/{run.name}.json", [asdict(x) for x in run.shards])
+                self._known[run.name] = run.shards
+        runs = [{"name": r.name, "bytes": r.bytes, "merged_from": r.merged_from} for r in manifest.runs]
+        try:
+            self._write(self._name(manifest.version), {"version": manifest.version, "schema": manifest.schema, "runs": runs})
+        except Exception as error:
             if "FileAlreadyExists" in str(error):
                 raise Conflict(f"version {manifest.version} exists") from error
             raise
@@ -152,7 +188,8 @@ class Store:
 
     def append(self, df: DataFrame) -> Manifest:
         """Commit a table as one arrival."""
-        return self.append_all(df.withColumn("_arrival", F.lit(0).cast("long")), "_arrival")
+        name = free_name(df, "_arrival")
+        return self.append_all(df.withColumn(name, F.lit(0).cast("long")), name)
 
     def append_all(self, df: DataFrame, arrival_col: str) -> Manifest:
         """Commit arrivals told apart by a column (not stored): they are written
@@ -179,11 +216,13 @@ class Store:
             tiers: dict[int, list[Run]] = {}
             for run in self.manifest().runs:
                 tiers.setdefault(self.tier(run), []).append(run)
-            full = next((runs[: self.fanout] for _, runs in sorted(tiers.items()) if len(runs) >= self.fanout), None)
-            if full is None:
+            n = self.fanout
+            full = [runs[a : a + n] for _, runs in sorted(tiers.items()) for a in range(0, len(runs) - n + 1, n)]
+            if not full:
                 return merges
-            self.merge(full)
-            merges += 1
+            with ThreadPoolExecutor(MERGES) as pool:
+                list(pool.map(self.merge, full))
+            merges += len(full)
 
     def merge(self, runs: list[Run]) -> Manifest:
         """Rewrite runs as one run of target-sized files."""
@@ -207,11 +246,28 @@ class Store:
         paths = [s.path for s in manifest.shards]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def vacuum(self, keep_versions: int = 1) -> int:
-        """Delete shards that none of the last versions names; returns how many."""
+    def vacuum(self, keep_versions: int = 1, orphan_seconds: int = ORPHAN_SECONDS) -> int:
+        """Keep the last versions only: delete older manifests, the shards and lists
+        that none of the last names, and files that no manifest ever named once
+        they are `orphan_seconds` old; returns how many shards went."""
         versions = self.versions()
-        kept = {s.path for v in versions[-keep_versions:] for s in self.manifest(v).shards}
-        old = {s.path for v in versions[:-keep_versions] for s in self.manifest(v).shards} - kept
-        for path in old:
+        kept = [self.manifest(v) for v in versions[-keep_versions:]]
+        old = [self.manifest(v) for v in versions[:-keep_versions]]
+        shards = {s.path for m in kept for s in m.shards}
+        runs = {r.name for m in kept for r in m.runs}
+        gone = {s.path for m in old for s in m.shards} - shards
+        for manifest in old:  # first, so that no manifest is left without its files
+            self._fs.delete(self._path(self._name(manifest.version)), False)
+        for run in {r.name for m in old for r in m.runs} - runs:
+            self._fs.delete(self._path(f"{self.root}/runs/{run}.json"), False)
+            self._known.pop(run, None)
+        limit = self.spark.sparkContext._jvm.System.currentTimeMillis() - 1000 * orphan_seconds
+        it = self._fs.listFiles(self._path(f"{self.root}/data"), True)
+        while it.hasNext():
+            status = it.next()
+            path = status.getPath().toString()
+            if path not in shards and status.getModificationTime() < limit:
+                gone.add(path)
+        for path in gone:
             self._fs.delete(self._path(path), False)
-        return len(old)
+        return len(gone)
