@@ -46,6 +46,36 @@ def test_small_blocks_and_buckets(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert digest(substrings.repeats(df, block_bytes=800, bucket_bytes=500)) == brute_repeats(rows)
     assert digest(substrings.repeats(df, min_words=7, seed_words=3, block_bytes=3000)) == brute_repeats(rows, 7)
+    assert digest(substrings.repeats(df, min_words=5, seed_words=5, block_bytes=2000)) == brute_repeats(rows, 5)
+
+
+@pytest.mark.parametrize("how", [{"seed_bits": 1}, {"seed_bits": 5}, {"hot_blocks": 0}, {"hot_blocks": 3}, {"hot_blocks": 2, "seed_bits": 3}])
+def test_unlike_seeds_that_meet_and_hot_anchors(spark, how):
+    """Forced collisions of the seeds' hashes, and anchors dealt by single windows."""
+    rng = random.Random(11)
+    line = " ".join(f"l{k}" for k in range(15))
+    shared = [" ".join(rng.choices("abcd", k=rng.randint(12, 30))) for _ in range(4)] + [line, line[3:], "the same seed here now"]
+    rows = [(rng.choice([None, *range(60)]), " ".join(rng.choice([*shared, f"own{k} {rng.random()}"]) for _ in range(rng.randint(0, 7)))) for k in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert digest(substrings.repeats(df, block_bytes=700, bucket_bytes=300, **how)) == brute_repeats(rows)
+
+
+def test_extension_by_classes_of_equal_words():
+    """Every entry against every other."""
+    rng = random.Random(2)
+    for _ in range(30):
+        n, reach, seed = 40, 4, 2
+        left = [rng.randint(0, reach) for _ in range(n)]
+        right = [max(reach - a, rng.randint(0, reach)) for a in left]
+        text = [[rng.choice("ab") for _ in range(a + seed + b)] for a, b in zip(left, right, strict=True)]
+        doc = [rng.randint(0, 5) for _ in range(n)]
+        key = [rng.randint(0, 1) for _ in range(n)]
+        data = np.frombuffer(b"".join(f"{' '.join(t)} ".encode() for t in text), np.uint8)
+        got = substrings.extended(np.array(key, np.uint64), np.array(doc), np.array(left), np.array(right), data, seed, reach)
+        window = lambda i, k: tuple(text[i][left[i] - k : left[i] - k + seed + reach]) if k <= left[i] and reach - k <= right[i] else None
+        for i in range(n):
+            want = [window(i, k) is not None and any(key[j] == key[i] and doc[j] < doc[i] and window(j, k) == window(i, k) for j in range(n)) for k in range(reach + 1)]
+            assert [bool(got[i] >> k & 1) for k in range(reach + 1)] == want
 
 
 def test_spans_are_the_removed_words(spark):
