@@ -1,7 +1,11 @@
-"""String similarities: native where Spark has the parts, Arrow UDFs else."""
+"""String similarities: native where Spark has the parts; Jaro-Winkler and common
+subsequences are Arrow UDFs that work on all pairs of a batch at once."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -37,103 +41,145 @@ def sorted_tokens(tokens: Column) -> Column:
     return F.array_join(F.array_sort(tokens), " ")
 
 
-# --- plain functions behind the UDFs ---
-
-
-def common_subsequence(a: str, b: str) -> int:
-    """Length of the longest common subsequence, by bits."""
-    if not a or not b:
-        return 0
-    places: dict[str, int] = {}
-    for i, c in enumerate(a):
-        places[c] = places.get(c, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    state = full
-    for c in b:
-        hit = state & places.get(c, 0)
-        state = ((state + hit) | (state - hit)) & full
-    return len(a) - state.bit_count()
-
-
-def ratio(a: str, b: str) -> float:
-    """Twice the common subsequence over both lengths; 1 for two empty texts."""
-    total = len(a) + len(b)
-    return 2 * common_subsequence(a, b) / total if total else 1.0
-
-
-def set_ratio(both: list[str], only_a: list[str], only_b: list[str]) -> float:
-    """Best of three ratios of shared and own tokens (all sorted, without repeats)."""
-    if not both and not (only_a and only_b):
-        return 0.0
-    if both and not (only_a and only_b):
-        return 1.0
-    a, b, shared = " ".join(only_a), " ".join(only_b), len(" ".join(both))
-    gap = 1 if shared else 0
-    whole_a, whole_b = shared + gap + len(a), shared + gap + len(b)
-    apart = len(a) + len(b) - 2 * common_subsequence(a, b)
-    best = 1 - apart / (whole_a + whole_b)
-    if shared:
-        best = max(best, 1 - (gap + len(a)) / (shared + whole_a), 1 - (gap + len(b)) / (shared + whole_b))
-    return best
-
-
-def jaro(a: str, b: str) -> float:
-    if not a and not b:
-        return 1.0
-    if not a or not b:
-        return 0.0
-    if a == b:
-        return 1.0
-    reach = max(max(len(a), len(b)) // 2 - 1, 0)
-    taken = bytearray(len(b))
-    hits = []
-    for i, c in enumerate(a):
-        j = b.find(c, max(0, i - reach), i + reach + 1)
-        while j >= 0 and taken[j]:
-            j = b.find(c, j + 1, i + reach + 1)
-        if j >= 0:
-            taken[j] = 1
-            hits.append(c)
-    if not hits:
-        return 0.0
-    other = [c for c, t in zip(b, taken, strict=True) if t]
-    swapped = sum(x != y for x, y in zip(hits, other, strict=True)) // 2
-    m = len(hits)
-    return (m / len(a) + m / len(b) + (m - swapped) / m) / 3
-
-
-def jaro_winkler(a: str, b: str, weight: float = 0.1, least: float = 0.7) -> float:
+# --- many pairs at once, as bits of 64-bit words ---
+
+_ONES = np.array([(1 << k) - 1 for k in range(65)], np.uint64)
+#: Character comparisons made at once.
+_WORK = 1 << 24
+
+
+def _letters(texts: list[str], width: int, pad: int) -> np.ndarray:
+    """Code points, one row a text, padded to a width."""
+    out = np.full((len(texts), width), pad, np.uint32)
+    raw = np.array(texts, f"U{max(1, max(map(len, texts), default=1))}").view(np.uint32).reshape(len(texts), -1)
+    size = np.array([len(t) for t in texts])
+    inside = np.arange(raw.shape[1]) < size[:, None]
+    out[:, : raw.shape[1]][inside] = raw[inside]
+    return out
+
+
+def _batches(a: list[str], b: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(which pairs, letters of a, letters of b, equal): pairs of about the same size
+    together; equal[n, i, w] has the bits of the places of b that have letter i of a."""
+    size = np.array([(len(x), len(y)) for x, y in zip(a, b, strict=True)], np.int64).reshape(-1, 2)
+    order = np.lexsort((size[:, 0], -(-size[:, 1] // 64)))
+    at = 0
+    while at < len(order):
+        end, wide, long = at, 0, 0
+        while end < len(order):
+            n, m = size[order[end]]
+            wide, long = max(wide, -(-int(m) // 64) * 64), max(long, int(n))
+            if end > at and (end - at + 1) * max(1, wide) * max(1, long) > _WORK:
+                break
+            end += 1
+        pick = order[at:end]
+        at = end
+        wide, long = max(64, -(-int(size[pick, 1].max()) // 64) * 64), max(1, int(size[pick, 0].max()))
+        left, right = _letters([a[i] for i in pick], long, 0xFFFFFFFE), _letters([b[i] for i in pick], wide, 0xFFFFFFFF)
+        equal = np.packbits(left[:, :, None] == right[:, None, :], axis=2, bitorder="little").view("<u8")
+        yield pick, left, right, equal
+
+
+def common_subsequences(a: list[str], b: list[str]) -> np.ndarray:
+    """Length of the longest common subsequence of each pair, by bits with carry."""
+    out = np.zeros(len(a), np.int64)
+    size = np.array([len(y) for y in b], np.int64)
+    for pick, _, _, equal in _batches(a, b):
+        n, long, width = equal.shape
+        state = np.full((width, n), np.uint64(0xFFFFFFFFFFFFFFFF))
+        for i in range(long):
+            carry = np.zeros(n, np.uint64)
+            for w in range(width):
+                hit = state[w] & equal[:, i, w]
+                first = state[w] + hit
+                total = first + carry
+                carry = ((first < hit) | (total < first)).astype(np.uint64)
+                state[w] = total | (state[w] - hit)
+        held = _ONES[np.clip(size[pick][None, :] - 64 * np.arange(width)[:, None], 0, 64)]
+        out[pick] = np.bitwise_count(~state & held).sum(axis=0)
+    return out
+
+
+def jaros(a: list[str], b: list[str]) -> np.ndarray:
+    """Jaro similarity of each pair; 1 for two empty texts, 0 for one."""
+    out = np.zeros(len(a))
+    sizes = np.array([(len(x), len(y)) for x, y in zip(a, b, strict=True)], np.int64).reshape(-1, 2)
+    for pick, left, right, equal in _batches(a, b):
+        n, long, width = equal.shape
+        na, nb = sizes[pick].T
+        reach = np.maximum(np.maximum(na, nb) // 2 - 1, 0)
+        taken = np.zeros((width, n), np.uint64)
+        hit = np.zeros((n, long), bool)
+        for i in range(long):
+            low, high = np.maximum(i - reach, 0), np.minimum(i + reach + 1, nb)
+            open_ = i < na
+            for w in range(width):
+                near = _ONES[np.clip(high - 64 * w, 0, 64)] & ~_ONES[np.clip(low - 64 * w, 0, 64)]
+                free = np.where(open_, equal[:, i, w] & near & ~taken[w], np.uint64(0))
+                taken[w] |= free & (~free + np.uint64(1))  # the first place
+                found = free != 0
+                hit[:, i] |= found
+                open_ = open_ & ~found
+        used = np.unpackbits(np.ascontiguousarray(taken.T).view(np.uint8).reshape(n, -1), axis=1, bitorder="little").astype(bool)
+        m = hit.sum(axis=1)
+        row = np.repeat(np.arange(n), m)
+        swapped = np.bincount(row, weights=left[hit] != right[used], minlength=n).astype(np.int64) // 2
+        some = np.maximum(m, 1)
+        value = (m / np.maximum(na, 1) + m / np.maximum(nb, 1) + (m - swapped) / some) / 3
+        out[pick] = np.where(m > 0, value, (na + nb == 0).astype(float))
+    return out
+
+
+def jaro_winklers(a: list[str], b: list[str], weight: float = 0.1, least: float = 0.7) -> np.ndarray:
     """Jaro similarity, raised by up to four equal first letters where it is over `least`."""
-    value = jaro(a, b)
-    if value <= least:
+    value = jaros(a, b)
+    if not len(value):
         return value
-    prefix = 0
-    for x, y in zip(a[:4], b[:4], strict=False):
-        if x != y:
-            break
-        prefix += 1
-    return value + prefix * weight * (1 - value)
+    heads = [_letters([x[:4] for x in side], 4, pad) for side, pad in ((a, 0xFFFFFFFE), (b, 0xFFFFFFFF))]
+    prefix = np.cumprod(heads[0] == heads[1], axis=1).sum(axis=1)
+    return np.where(value > least, value + prefix * weight * (1 - value), value)
+
+
+def _of_pairs(a: pd.Series, b: pd.Series, measure) -> pd.Series:
+    """The measure of the distinct pairs that have both texts; null for all other."""
+    both = a.notna() & b.notna()
+    pairs = pd.DataFrame({"a": a[both], "b": b[both]})
+    which = pairs.groupby(["a", "b"], sort=False).ngroup() if len(pairs) else pd.Series([], dtype="int64")
+    first = pairs[~which.duplicated()]
+    out = pd.Series(np.nan, index=a.index)
+    out[both] = measure(first["a"].tolist(), first["b"].tolist())[which.to_numpy()] if len(pairs) else np.nan
+    return out
 
 
 @F.pandas_udf(T.DoubleType())
 def jaro_winkler_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else jaro_winkler(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+    return _of_pairs(a, b, jaro_winklers)
 
 
 @F.pandas_udf(T.DoubleType())
-def ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+def common_subsequence_udf(a: pd.Series, b: pd.Series) -> pd.Series:
+    return _of_pairs(a, b, common_subsequences)
 
 
-@F.pandas_udf(T.DoubleType())
-def set_ratio_udf(both: pd.Series, only_a: pd.Series, only_b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None else set_ratio(list(x), list(y), list(z)) for x, y, z in zip(both, only_a, only_b, strict=True)], dtype="float64")
+def ratio(a: Column, b: Column) -> Column:
+    """Twice the common subsequence over both lengths; 1 for two empty texts."""
+    total = F.length(a) + F.length(b)
+    return F.when(total == 0, 1.0).otherwise(2 * common_subsequence_udf(a, b) / total)
 
 
 def token_set_ratio(a: Column, b: Column) -> Column:
-    """Of two token arrays."""
-    return set_ratio_udf(*(F.array_sort(c) for c in (F.array_intersect(a, b), F.array_except(a, b), F.array_except(b, a))))
+    """Best of three ratios of shared and own tokens of two token arrays (all sorted, without repeats)."""
+    only = [F.array_join(F.array_sort(F.array_except(x, y)), " ") for x, y in ((a, b), (b, a))]
+    shared = F.length(F.array_join(F.array_intersect(a, b), " "))
+    own = [F.length(x) for x in only]
+    gap = F.when(shared > 0, 1).otherwise(0)
+    whole = [shared + gap + n for n in own]
+    apart = own[0] + own[1] - 2 * common_subsequence_udf(*only)
+    plain = 1 - apart / (whole[0] + whole[1])
+    with_shared = F.greatest(plain, *(1 - (gap + n) / (shared + w) for n, w in zip(own, whole, strict=True)))
+    apart_only = (own[0] > 0) & (own[1] > 0)
+    return F.when(a.isNull() | b.isNull(), F.lit(None)).when(~apart_only, F.when(shared > 0, 1.0).otherwise(0.0)).when(shared > 0, with_shared).otherwise(plain)
 
 
 def token_sort_ratio(a: Column, b: Column) -> Column:
-    return ratio_udf(sorted_tokens(a), sorted_tokens(b))
+    return ratio(sorted_tokens(a), sorted_tokens(b))

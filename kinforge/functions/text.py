@@ -1,21 +1,17 @@
 """Normalization of names and addresses as column expressions.
 
-All rules are native expressions; only Unicode folding of text that is not
-ASCII goes through an Arrow UDF, which gets nulls for all other rows.  Word
-boundaries are written as look-arounds so that results do not hang on the JVM's
+All rules are native expressions, Unicode folding too, so no row leaves the JVM.
+Word boundaries are written as look-arounds so that results do not hang on the JVM's
 idea of a word.
 """
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Iterable
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from kinforge.functions import rules
 
@@ -27,27 +23,20 @@ BEFORE, AFTER = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 KEY_BEFORE, KEY_AFTER = r"(?<![\p{L}\p{M}\p{N}_])", r"(?![\p{L}\p{M}\p{N}_])"
 
 
-@F.pandas_udf(T.StringType())
-def _nfkc_casefold(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: unicodedata.normalize("NFKC", x).casefold(), na_action="ignore")
-
-
-@F.pandas_udf(T.StringType())
-def _casefold(s: pd.Series) -> pd.Series:
-    return s.map(str.casefold, na_action="ignore")
-
-
-def _folded(c: Column, udf) -> Column:
-    other = c.rlike(r"[^\x00-\x7F]")
-    return F.coalesce(udf(F.when(other, c)), F.lower(c))
+def _folded(c: Column, compatible: bool) -> Column:
+    """Folded by the Unicode library that Spark ships, in the JVM; ASCII takes the short way."""
+    fold, compose = F.lit("com.ibm.icu.lang.UCharacter"), F.lit("com.ibm.icu.text.Normalizer")
+    text = F.reflect(compose, F.lit("compose"), c, F.lit(True)) if compatible else c
+    folded = F.reflect(fold, F.lit("foldCase"), text, F.lit(True))
+    return F.when(c.rlike(r"[^\x00-\x7F]"), folded).otherwise(F.lower(c))
 
 
 def nfkc_casefold(c: Column) -> Column:
-    return _folded(c, _nfkc_casefold)
+    return _folded(c, True)
 
 
 def casefold(c: Column) -> Column:
-    return _folded(c, _casefold)
+    return _folded(c, False)
 
 
 def trim(c: Column) -> Column:
