@@ -1,9 +1,11 @@
 """Blocking: scored candidate pairs from shared keys, top K of each record.
 
 One plan serves all countries: country, strategy and key together are the join
-key, so no partition is as large as a country.  Keys with long posting lists
-are dropped by their counted length before the join; that also bounds how far a
-hot key can spread.  Scores are summed map-side as far as rows meet there.
+key, so no partition is as large as a country.  A catalogue's keys are built
+once and written to the shared folder; all else reads them there.  Keys whose
+posting lists are beyond the cap never reach the join, and those that hold a
+large share of all postings not even its shuffle; that bounds how far a hot key
+can spread.  Scores are summed map-side as far as rows meet there.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 from kinforge.functions import rules
 from kinforge.functions.keys import exploded, key_weight
 from kinforge.operators.joins import split_join
+from kinforge.shared import checkpointed
 
 KEY = ["country", "strategy", "key"]
 
@@ -46,6 +49,19 @@ def under_cap(post: DataFrame, caps: dict[str, int] | None = None) -> DataFrame:
     return post.filter(F.col("df") <= allowed[F.col("strategy")])
 
 
+#: Keys that are dropped before any shuffle hold at least this share of all postings, so
+#: there are at most as many as its inverse, and they can be broadcast.
+HOT_SHARE = 1e-5
+
+
+def reachable(listed: DataFrame, post: DataFrame, caps: dict[str, int] | None = None) -> DataFrame:
+    """Catalogue keys without those of very long posting lists beyond the cap."""
+    total = post.agg(F.sum("df").alias("_total"))  # one row
+    over = post.join(under_cap(post, caps).select(*KEY), KEY, "left_anti").crossJoin(F.broadcast(total))
+    hot = over.filter(F.col("df") >= F.col("_total") * HOT_SHARE).select(*KEY)
+    return listed.join(F.broadcast(hot), KEY, "left_anti")
+
+
 def weights(post: DataFrame) -> DataFrame:
     return post.select(*KEY, key_weight(F.col("strategy"), F.col("key"), F.col("idf")).alias("weight"))
 
@@ -79,8 +95,9 @@ def candidate_pairs(
     asked, listed = query_keys(records), candidate_keys(candidates, list(order))
     if tuple(strategies) != rules.STRATEGIES:
         asked, listed = (x.filter(F.col("strategy").isin(*strategies)) for x in (asked, listed))
-    post = under_cap(postings(listed, candidates), caps)
-    return top_k(scores(asked, weights(post), listed), k)
+    listed = checkpointed(listed)
+    post = checkpointed(postings(listed, candidates))
+    return top_k(scores(asked, weights(under_cap(post, caps)), reachable(listed, post, caps)), k)
 
 
 # --- how good the blocking is ---

@@ -151,12 +151,24 @@ def clipped(rows: DataFrame, rank: int = 100, count: int = 200) -> DataFrame:
 
 
 def label_correlation(rows: DataFrame) -> DataFrame:
-    """(feature, correlation, status) with the label, best first; null for a constant."""
+    """(feature, correlation, status, place): Pearson correlation with the label, the
+    highest at place 1, null (last) for a constant; equal ones by name.
+
+    Status by the signed value: near zero (below 0.01 either way), strong (over
+    0.30) and moderate (over 0.10) positive, negative (under -0.10), weak."""
     row = rows.select(*(F.col(f).cast("double").alias(f) for f in FEATURE_NAMES), F.col("label").cast("double").alias("label"))
-    one = row.agg(*(F.try_divide(F.covar_pop(f, "label"), F.stddev_pop(f) * F.stddev_pop("label")).alias(f) for f in FEATURE_NAMES))
+    one = row.agg(*(F.when(F.max(f) > F.min(f), F.try_divide(F.covar_pop(f, "label"), F.stddev_pop(f) * F.stddev_pop("label"))).alias(f) for f in FEATURE_NAMES))
     pairs = ", ".join(f"'{f}', `{f}`" for f in FEATURE_NAMES)
     out = one.select(F.expr(f"stack({len(FEATURE_NAMES)}, {pairs}) as (feature, correlation)"))
-    out = out.withColumn("correlation", F.when(~F.isnan("correlation"), F.col("correlation")))
-    strength = F.abs("correlation")
-    status = F.when(strength.isNull(), "constant").when(strength >= 0.3, "strong").when(strength >= 0.1, "moderate").otherwise("weak")
-    return out.withColumn("status", status)
+    r = F.col("correlation")
+    out = out.withColumn("correlation", F.when(~F.isnan(r), r))
+    status = (
+        F.when(r.isNull(), "constant")
+        .when(F.abs(r) < 0.01, "near zero")
+        .when(r > 0.30, "strong positive")
+        .when(r > 0.10, "moderate positive")
+        .when(r < -0.10, "negative")
+        .otherwise("weak")
+    )
+    best = Window.orderBy(F.round(r, 9).desc_nulls_last(), "feature")  # one row a feature
+    return out.withColumns({"status": status, "place": F.row_number().over(best)}).orderBy("place")

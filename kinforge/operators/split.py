@@ -54,6 +54,12 @@ def uniform_sample(rows: DataFrame, n: int, seed: int = 42, id_col: str = "entit
     return rows.withColumn("_o", order_key(id_col, seed)).orderBy("_o", id_col).limit(n).drop("_o")
 
 
+def first_per_country(rows: DataFrame, n: int, id_col: str = "source1_entity_id") -> DataFrame:
+    """The first n rows of every country by id (the limit is pushed below the shuffle)."""
+    place = F.row_number().over(Window.partitionBy("country").orderBy(id_col))
+    return rows.withColumn("_r", place).filter(F.col("_r") <= n).drop("_r")
+
+
 def only_ids(rows: DataFrame, ids: DataFrame, id_col: str = "entity_id", other: str = "source1_entity_id") -> DataFrame:
     return rows.join(ids.select(F.col(other).alias(id_col)), id_col, "left_semi")
 

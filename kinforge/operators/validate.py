@@ -53,11 +53,13 @@ def header_problem(first_line: str | None, expected: tuple[str, ...]) -> str | N
 
 
 def parsed(lines: DataFrame) -> DataFrame:
-    """(value, ok, s1, ids) of the lines below the header; blank lines are left out."""
+    """(value, ok, s1, ids, and `at` if the lines have it) of the lines below the
+    header; blank lines are left out."""
     tab = F.instr("value", "\t")
     rest = F.regexp_replace(F.expr("substring(value, instr(value, '\t') + 1)"), "\r$", "")
     ids = F.when(F.trim(rest) == "", F.array().cast("array<string>")).otherwise(F.split(rest, ",", -1))
-    rows = lines.select("value", (tab > 0).alias("ok"), F.substring_index("value", "\t", 1).alias("s1"), F.when(tab > 0, ids).alias("ids"))
+    place = ["at"] if "at" in lines.columns else []
+    rows = lines.select("value", *place, (tab > 0).alias("ok"), F.substring_index("value", "\t", 1).alias("s1"), F.when(tab > 0, ids).alias("ids"))
     return rows.filter(F.col("ok") | (F.trim("s1") != ""))
 
 
@@ -102,12 +104,19 @@ def _by_check():
     return Window.partitionBy("check").orderBy("x")
 
 
+def last_lists(rows: DataFrame) -> DataFrame:
+    """The good rows; of a record's repeated rows only the last, where rows have a place."""
+    good = rows.filter("ok")
+    if "at" not in rows.columns:
+        return good
+    return good.groupBy("s1").agg(F.max_by("ids", "at").alias("ids"))
+
+
 def not_in_candidates(matched: DataFrame, candidates: DataFrame) -> DataFrame:
     """(s1, missing): matched ids that are no candidates of their record; of a
-    record's repeated rows all lists count."""
+    record's repeated rows the last list counts where rows have a place (`at`)."""
     both = ["s1", "id"]
-    a = matched.filter("ok").select("s1", F.explode("ids").alias("id")).distinct()
-    b = candidates.filter("ok").select("s1", F.explode("ids").alias("id")).distinct()
+    a, b = (last_lists(x).select("s1", F.explode("ids").alias("id")).distinct() for x in (matched, candidates))
     return a.join(b, both, "left_anti").groupBy("s1").agg(F.count(F.lit(1)).alias("missing"))
 
 
@@ -121,7 +130,7 @@ def _checked(spark: SparkSession, path: str, expected: tuple[str, ...], required
     if problem := header_problem(first["value"] if first else None, expected):
         report.add(name, problem)
         return None
-    rows = parsed(raw.filter(F.col("at") != first["at"]).select("value"))
+    rows = parsed(raw.filter(F.col("at") != first["at"]))
     for r in list_findings(rows, required, targets).orderBy("check").collect():  # one row a rule
         report.add(name, r["check"], "error", r["n"], r["examples"])
     n = rows.filter("ok").agg(F.count(F.lit(1)).alias("n"), F.sum((F.size("ids") == 0).cast("long")).alias("e")).first()

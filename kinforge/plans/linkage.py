@@ -14,15 +14,20 @@ from kinforge.sources import records as rec
 
 @dataclass
 class Inputs:
-    """Records of the reference table and of both catalogues, and the truth where known."""
+    """Records of the reference table and of both catalogues, and the truth where known.
+
+    both: the records of both catalogues with their source, where they are one table."""
 
     s1: DataFrame
     s2: DataFrame
     s3: DataFrame
     truth: DataFrame | None = None
+    both: DataFrame | None = None
 
     @property
     def catalogue(self) -> DataFrame:
+        if self.both is not None:
+            return self.both
         return rec.with_source(rec.union_records(self.s2, self.s3))
 
 
@@ -36,19 +41,28 @@ def load(spark: SparkSession, folder: str, prefix: str, truth: bool = True) -> I
 def view_inputs(view: DataFrame) -> Inputs:
     """Inputs from a record view, by source."""
     sides = [view.filter(F.col("source") == k) for k in (1, 2, 3)]
-    return Inputs(*sides, None)
-
+    return Inputs(*sides, None, view.filter("source > 1"))
 
-def view_truth(docs: DataFrame) -> DataFrame:
-    """(source1_entity_id, candidate_entity_id) of records with equal country and text.
 
-    Only a copy's 128-bit digest is shuffled, not its text."""
-    view = rec.record_view(docs).select("entity_id", "source", F.col("country"), F.md5("text").alias("digest"))
+def view_truth(view: DataFrame) -> DataFrame:
+    """(source1_entity_id, candidate_entity_id) of records with equal country and
+    text; `view` has the text's 128-bit digest.  One row a pair: see `truth_classes`."""
     a = view.filter("source = 1").select(F.col("entity_id").alias("source1_entity_id"), "country", "digest")
     b = view.filter("source > 1").select(F.col("entity_id").alias("candidate_entity_id"), "country", "digest")
     return a.join(b, ["country", "digest"]).select("source1_entity_id", "candidate_entity_id")
 
 
+def truth_classes(view: DataFrame) -> DataFrame:
+    """The same truth without its pairs: (country, digest, n_source1, n_candidates,
+    first) of each class of equal records that has both sides; `first` is its
+    smallest id.  A class of a million copies is one row."""
+    one = F.col("source") == 1
+    counted = view.groupBy("country", "digest").agg(
+        F.sum(one.cast("long")).alias("n_source1"), F.sum((~one).cast("long")).alias("n_candidates"), F.min("entity_id").alias("first")
+    )
+    return counted.filter("country is not null and digest is not null and n_source1 > 0 and n_candidates > 0")
+
+
 def feature_table(
     inputs: Inputs,
     k: int = 100,

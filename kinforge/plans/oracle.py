@@ -3,19 +3,46 @@
 from __future__ import annotations
 
 from kinforge.functions import rules
+from kinforge.sources.records import DRESSED_ADDRESSES, DRESSED_NAMES
 
 
 def _list(words) -> str:
     return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
 
 
-RECORDS = r"""
+_WORDS = r"""
 tk AS (SELECT *, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+') AS tw, 1 + CAST(substr(source, 4) AS INTEGER) % 3 AS src FROM documents),
+"""
+RECORDS = (
+    _WORDS
+    + """
 R AS (SELECT 'S' || src || '-' || doc_id AS entity_id, array_to_string(tw[1:4], ' ') AS business_name,
         array_to_string(tw[5:14], ' ') AS business_address, lang AS country, src, doc_id, text FROM tk),
 T AS (SELECT a.entity_id AS s1, b.entity_id AS cand FROM R a JOIN R b ON a.country = b.country AND a.text = b.text WHERE a.src = 1 AND b.src > 1),
 G AS (SELECT r.entity_id AS s1, r.country, count(T.cand) AS n FROM R r LEFT JOIN T ON T.s1 = r.entity_id WHERE r.src = 1 GROUP BY ALL),
 """
+)
+
+
+def _filled(patterns: tuple[str, ...], turn: str) -> str:
+    text = f"{_list(patterns)}[({turn}) % {len(patterns)} + 1]"
+    for k in range(1, 9):
+        text = f"replace({text}, '{{{k}}}', coalesce({f'tw[1:4][{k}]' if k < 5 else f'tw[5:14][{k - 4}]'}, ''))"
+    for mark, value in (("a", "1 + n_chars % 997"), ("b", "1 + doc_id % 89"), ("z", "10000 + doc_id * 7919 % 89999")):
+        text = f"replace({text}, '{{{mark}}}', CAST({value} AS VARCHAR))"
+    return text
+
+
+DRESSED = f"""{_WORDS}
+R AS (SELECT 'S' || src || '-' || doc_id AS entity_id, {_filled(DRESSED_NAMES, "doc_id")} AS business_name,
+        {_filled(DRESSED_ADDRESSES, "doc_id // 3")} AS business_address, lang AS country, src, doc_id, text FROM tk),
+"""
+
+
+def folded(x: str) -> str:
+    """Case folding of the letters that the tables have."""
+    return f"replace(lower({x}), 'ß', 'ss')"
+
 
 BUCKET = "CASE WHEN n = 0 THEN 'singleton' WHEN n = 1 THEN '1_match' WHEN n <= 5 THEN '2-5_matches' ELSE '6+_matches' END"
 
@@ -31,11 +58,13 @@ def _soundex(word: str) -> str:
 
 
 KEYS = rf"""
+KV AS (SELECT *, regexp_replace({folded("business_name")}, '\.(?:{"|".join(rules.DOMAINS)})([^\p{{L}}\p{{M}}\p{{N}}_]|$)', ' \1', 'g') AS kn,
+    CASE WHEN lower(trim(business_address)) IN ({", ".join(f"'{x}'" for x in rules.MISSING_ADDRESS_KEYS)}) THEN '' ELSE trim(business_address) END AS ka FROM R),
 W AS (SELECT *,
-    list_filter(regexp_extract_all(replace(business_name, 'ß', 'ss'), '[\p{{L}}\p{{M}}\p{{N}}]+'), lambda x: length(x) >= 2 AND NOT list_contains({_list(rules.SUFFIX_TOKENS)}, x)) AS t,
-    list_filter(string_split(business_address, ' '), lambda x: regexp_full_match(x, '\p{{Nd}}+')) AS d,
-    list_filter(regexp_extract_all(replace(business_address, 'ß', 'ss'), '[\p{{L}}\p{{M}}]+'), lambda x: length(x) >= 3 AND NOT list_contains({_list(rules.ADDRESS_STOPWORDS)}, x)) AS w
-  FROM R),
+    list_filter(regexp_extract_all(kn, '[\p{{L}}\p{{M}}\p{{N}}]+'), lambda x: length(x) >= 2 AND NOT list_contains({_list(rules.SUFFIX_TOKENS)}, x)) AS t,
+    list_filter(regexp_extract_all(ka, '[\p{{L}}\p{{M}}\p{{N}}_]+'), lambda x: regexp_full_match(x, '\p{{Nd}}+')) AS d,
+    list_filter(regexp_extract_all({folded("ka")}, '[\p{{L}}\p{{M}}]+'), lambda x: length(x) >= 3 AND NOT list_contains({_list(rules.ADDRESS_STOPWORDS)}, x)) AS w
+  FROM KV),
 X AS (SELECT *, {_soundex("t[1]")} AS sx, d[1] AS street, CASE WHEN len(d) > 0 AND length(d[len(d)]) >= 3 THEN d[len(d)] END AS postal FROM W),
 L AS (SELECT entity_id, country, src, doc_id,
     list_concat(list_filter(t, lambda x: length(x) >= 3), CASE WHEN len(t) >= 2 THEN [t[1] || '_' || t[2]] ELSE [] END) AS k1,
@@ -69,10 +98,11 @@ WEIGHT = f"""CASE strategy
                     WHEN starts_with(key, 'ash_') OR starts_with(key, 'st_num_word') THEN {rules.IDF_BONUS['ash_']} ELSE 0 END END"""
 
 
-def pairs(k: int, strategies=rules.STRATEGIES) -> str:
+def pairs(k: int, strategies=rules.STRATEGIES, caps: dict[str, int] | None = None) -> str:
+    allowed = "CASE strategy " + " ".join(f"WHEN '{s}' THEN {n}" for s, n in (rules.POSTING_CAPS | (caps or {})).items()) + " END"
     chosen = ", ".join(f"'{s}'" for s in strategies)
     return f"""
-H AS (SELECT country, strategy, key, {WEIGHT} AS weight FROM I WHERE df <= {CAPS} AND strategy IN ({chosen})),
+H AS (SELECT country, strategy, key, {WEIGHT} AS weight FROM I WHERE df <= {allowed} AND strategy IN ({chosen})),
 S AS (SELECT q.entity_id AS s1, c.entity_id AS cand, round(sum(weight), 9) AS score, min(q.pos) AS fp, min(c.src) AS csrc
       FROM K q JOIN H USING (country, strategy, key) JOIN K c USING (country, strategy, key) WHERE q.src = 1 AND c.src > 1 GROUP BY ALL),
 P AS (SELECT s1, cand, score, csrc, rnk FROM (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY score DESC, fp, csrc, cand) AS rnk FROM S) WHERE rnk <= {k}),
@@ -96,18 +126,69 @@ def words_map(table) -> dict[str, str]:
 
 
 def mapped(column: str, table) -> str:
+    """Whole words replaced; what is between words stays."""
     cases = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in words_map(table).items())
-    return f"array_to_string(list_transform(string_split({column}, ' '), lambda x: CASE x {cases} ELSE x END), ' ')"
-
-
-NORM = f"""
-M AS (SELECT *, {mapped("replace(business_name, 'ß', 'ss')", (*rules.LEGAL_SUFFIXES, *rules.GENERIC_ABBREVIATIONS))} AS n_norm,
-  {mapped("replace(business_address, 'ß', 'ss')", rules.ADDRESS_ABBREVIATIONS)} AS a_norm FROM R),
+    return f"array_to_string(list_transform(regexp_extract_all({column}, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+'), lambda x: CASE x {cases} ELSE x END), '')"
+
+
+def _possessive(x: str) -> str:
+    return rf"regexp_replace(regexp_replace({x}, '[''’]s([^\p{{L}}\p{{N}}_]|$)', '\1', 'g'), '[''’]', '', 'g')"
+
+
+def _acronyms(x: str) -> str:
+    for letters in ("lp", "llc", "llp"):
+        dotted = r"\s*\.\s*".join(letters)
+        x = rf"regexp_replace({x}, '(^|[^\p{{L}}\p{{N}}_]){dotted}\s*\.([\p{{L}}\p{{N}}_])', '\1 {letters} \2', 'g')"
+        x = rf"regexp_replace({x}, '(^|[^\p{{L}}\p{{N}}_]){dotted}([^\p{{L}}\p{{N}}_]|$)', '\1 {letters} \2', 'g')"
+    return x
+
+
+def _collapsed(x: str) -> str:
+    return rf"trim(regexp_replace({x}, '[^\p{{L}}\p{{M}}\p{{N}}]+', ' ', 'g'))"
+
+
+def _relations(x: str) -> str:
+    """Two letters with a dot between them in addresses (a slash is a space already)."""
+    for letters, phrase in (("bh", "behind"), ("co", "care of"), ("wo", "wife of"), ("so", "son of"), ("do", "daughter of")):
+        x = rf"regexp_replace({x}, '(^|[^\p{{L}}\p{{N}}_]){letters[0]}\.{letters[1]}([^\p{{L}}\p{{N}}_]|$)', '\1{phrase}\2', 'g')"
+    return x
+
+
+def _without_forms(x: str) -> str:
+    """Words apart by two spaces, so that neighbouring phrases share none."""
+    text = f"' ' || replace({x}, ' ', '  ') || ' '"
+    for phrase in rules.SUFFIX_PHRASES:
+        text = f"regexp_replace(replace({text}, ' {phrase.replace(' ', '  ')} ', '   '), ' +', '  ', 'g')"
+    kept = f"array_to_string(list_filter(string_split({text}, ' '), lambda x: x <> '' AND NOT list_contains({_list(rules.SUFFIX_TOKENS)}, x)), ' ')"
+    return f"regexp_replace(regexp_replace({kept}, '^(?:(?:and|&)(?: |$))+', ''), '(?:(?:^| )(?:and|&))+$', '')"
+
+
+_MISSING = ", ".join(f"'{x}'" for x in rules.MISSING)
+_ADDRESS_RULES = (*rules.ADDRESS_ABBREVIATIONS, (("hno",), "house number"))
+_SYMBOLS = f"replace(replace(replace({folded('n_raw')}, '&', ' and '), '@', ' at '), '+', ' and ')"
+_PLACES = _possessive(f"replace({folded('a_raw')}, '&', ' and ')")
+NORM = rf"""
+M0 AS (SELECT *, CASE WHEN lower(trim(business_name)) IN ({_MISSING}) THEN '' ELSE trim(business_name) END AS n_raw,
+    CASE WHEN lower(trim(business_address)) IN ({_MISSING}) THEN '' ELSE trim(business_address) END AS a_raw FROM R),
+M1 AS (SELECT *, {_acronyms(_possessive(_SYMBOLS))} AS n0, {_relations(rf"regexp_replace({_PLACES}, '[/\\,]', ' ', 'g')")} AS a0 FROM M0),
+M2 AS (SELECT *, {_collapsed("n0")} AS n1_, {_collapsed(mapped("a0", _ADDRESS_RULES))} AS a_norm FROM M1),
+M3 AS (SELECT *, {mapped("n1_", (*rules.LEGAL_SUFFIXES, *rules.GENERIC_ABBREVIATIONS))} AS n_norm,
+    CASE WHEN a_norm = '' THEN [] ELSE string_split(a_norm, ' ') END AS at_ FROM M2),
+M4 AS (SELECT *, {_without_forms("n_norm")} AS nc, list_filter(list_transform(at_, lambda x, i: {{'i': i - 1, 't': x}}), lambda x: regexp_full_match(x.t, '\p{{Nd}}+')) AS dg, len(at_) AS n_at FROM M3),
+M AS (SELECT *, CASE WHEN nc = '' THEN n_norm ELSE nc END AS n_clean, CASE WHEN n_norm = '' THEN [] ELSE string_split(n_norm, ' ') END AS nt_,
+    CASE WHEN len(dg) = 1 AND dg[1].i <= 1 THEN CASE WHEN length(dg[1].t) >= 4 AND dg[1].i >= n_at - 2 THEN dg[1].t END
+         WHEN len(dg) = 1 THEN CASE WHEN dg[1].i >= n_at / 2 AND length(dg[1].t) >= 3 THEN dg[1].t END
+         WHEN len(dg) > 1 AND (length(dg[len(dg)].t) >= 3 OR dg[len(dg)].i >= n_at - 2) THEN dg[len(dg)].t END AS a_postal,
+    CASE WHEN len(dg) = 1 AND dg[1].i <= 1 THEN dg[1].t
+         WHEN len(dg) = 1 THEN CASE WHEN dg[1].i < n_at / 2 OR length(dg[1].t) < 3 THEN dg[1].t END
+         WHEN len(dg) > 1 AND dg[1].i <= 2 THEN dg[1].t END AS a_street FROM M4),
 """
+NORMALIZED = "SELECT entity_id, n_norm, n_clean, n_norm <> '' AS n_has, a_norm, a_norm <> '' AS a_has, a_postal, a_street, country AS c_norm FROM M"
 
 SIDES = """
-J AS (SELECT P.*, a.n_norm AS n1, b.n_norm AS n2, a.a_norm AS a1, b.a_norm AS a2, a.business_name AS r1, b.business_name AS r2,
-        a.business_address AS ra1, b.business_address AS ra2
+J AS (SELECT P.*, a.n_norm AS n1, b.n_norm AS n2, a.a_norm AS a1, b.a_norm AS a2, a.n_raw AS r1, b.n_raw AS r2, a.n_clean AS c1, b.n_clean AS c2, a.nt_ AS t1, b.nt_ AS t2, a.at_ AS u1, b.at_ AS u2,
+        a.a_raw AS ra1, b.a_raw AS ra2, coalesce(a.a_postal, '') AS p1, coalesce(b.a_postal, '') AS p2, a.a_street AS s1_, b.a_street AS s2_, a.country AS k1, b.country AS k2,
+        a.n_norm <> '' AND b.n_norm <> '' AS named, a.a_norm <> '' AND b.a_norm <> '' AS placed
       FROM P JOIN M a ON a.entity_id = P.s1 JOIN M b ON b.entity_id = P.cand),
 """
 
@@ -130,6 +211,124 @@ def one_byte(x: str) -> str:
     return f"translate({x}, '{_BEYOND}', '{_SPARE}')"
 
 
+def lcs(a: str, b: str) -> str:
+    """Longest common subsequence of texts of up to 126 letters, the first as bits of a wide integer."""
+    full = f"((CAST(1 AS HUGEINT) << length({a})) - 1)"
+    places = f"list_transform(string_split({b}, ''), lambda c: list_sum(list_transform(range(1, length({a}) + 1), lambda i: CASE WHEN substr({a}, i, 1) = c THEN CAST(1 AS HUGEINT) << (i - 1) ELSE CAST(0 AS HUGEINT) END)))"
+    left = f"list_reduce(list_prepend({full}, {places}), lambda s, m: ((s + (s & m)) | (s - (s & m))) & {full})"
+    return f"CASE WHEN {a} = '' OR {b} = '' THEN 0 ELSE length({a}) - bit_count({left}) END"
+
+
+def _joined(tokens: str) -> str:
+    return f"array_to_string(list_sort({tokens}), ' ')"
+
+
+def _lev(a: str, b: str) -> str:
+    return f"CASE WHEN {a} = '' AND {b} = '' THEN 1.0 ELSE 1 - levenshtein({one_byte(a)}, {one_byte(b)}) * 1.0 / greatest(length({a}), length({b})) END"
+
+
+_SET_RATIO = """CASE WHEN x{s} = '' OR y{s} = '' THEN CASE WHEN h{s} > 0 THEN 1.0 ELSE 0.0 END
+    WHEN h{s} = 0 THEN 1 - (length(x{s}) + length(y{s}) - 2 * m{s}) * 1.0 / (length(x{s}) + length(y{s}))
+    ELSE greatest(1 - (length(x{s}) + length(y{s}) - 2 * m{s}) * 1.0 / (2 * h{s} + 2 + length(x{s}) + length(y{s})),
+                  1 - (1 + length(x{s})) * 1.0 / (2 * h{s} + 1 + length(x{s})), 1 - (1 + length(y{s})) * 1.0 / (2 * h{s} + 1 + length(y{s}))) END"""
+_DIGITS = r"list_distinct(list_transform(regexp_extract_all({x}, '\p{{Nd}}+'), lambda x: coalesce(nullif(ltrim(x, '0'), ''), '0')))"
+
+
+def _side(s: str, a: str, b: str, on: str) -> str:
+    """Sorted tokens (f, g), own tokens (x, y), length of the shared ones (h) and both subsequences (l, m) of one side."""
+    return f"""
+L{s}0 AS (SELECT *, {_joined(a)} AS f{s}, {_joined(b)} AS g{s}, {_joined(f"list_filter(list_distinct({a}), lambda q: NOT list_contains({b}, q))")} AS x{s},
+    {_joined(f"list_filter(list_distinct({b}), lambda q: NOT list_contains({a}, q))")} AS y{s}, length({_joined(f"list_intersect(list_distinct({a}), list_distinct({b}))")}) AS h{s} FROM {on}),
+L{s} AS (SELECT *, {lcs(f"f{s}", f"g{s}")} AS l{s}, {lcs(f"x{s}", f"y{s}")} AS m{s} FROM L{s}0),
+"""
+
+
+RATIOS = _side("n", "t1", "t2", "J") + _side("a", "u1", "u2", "Ln")
+
+
+def _sorted_ratio(s: str) -> str:
+    return f"CASE WHEN f{s} = '' AND g{s} = '' THEN 1.0 ELSE 2 * l{s} * 1.0 / (length(f{s}) + length(g{s})) END"
+
+
+def narrow(x: str, digits: int = 5) -> str:
+    """A value that the features keep as a 32-bit float."""
+    return f"round(CAST(CAST({x} AS REAL) AS DOUBLE), {digits})"
+
+
+def _long(x: str) -> str:
+    return f"CAST({x} AS BIGINT)"
+
+
+def _where(known: str, x: str) -> str:
+    return f"CASE WHEN {known} THEN {x} ELSE -1 END"
+
+
+def _yes(condition: str) -> str:
+    return f"CASE WHEN {condition} THEN 1 ELSE 0 END"
+
+
+def _common(a: str, b: str) -> str:
+    return f"len(list_intersect(list_distinct({a}), list_distinct({b})))"
+
+
+_STREET = "regexp_replace({x}, '^0+(.)', '\\1')"
+_S1, _S2 = _STREET.format(x="s1_"), _STREET.format(x="s2_")
+_D1, _D2 = _DIGITS.format(x="ra1"), _DIGITS.format(x="ra2")
+_RATE = "CASE lower(k1) " + " ".join(f"WHEN '{c}' THEN {r}" for c, r in rules.COUNTRY_RATES.items()) + f" ELSE {rules.OTHER_COUNTRY_RATE} END"
+_CODED = "p1 <> '' AND p2 <> ''"
+#: SQL of every feature over La (pairs with their sides).
+FEATURE_SQL = {
+    "name_lev_sim": narrow(_where("named", _lev("n1", "n2"))),
+    "name_jw_sim": narrow(_where("named", f"jaro_winkler_similarity({one_byte('n1')}, {one_byte('n2')})")),
+    "name_token_sort": narrow(_where("named", _sorted_ratio("n"))),
+    "name_token_set": narrow(_where("named", _SET_RATIO.format(s="n"))),
+    "name_word_jaccard": narrow(_where("named", f"coalesce({jaccard('t1', 't2')}, 0)")),
+    "name_char3_jaccard": narrow(_where("named", jaccard(qgrams("c1"), qgrams("c2")))),
+    "name_common_tokens": _long(_where("named", _common("t1", "t2"))),
+    "name_len_diff": _long(_where("named", "abs(length(n1) - length(n2))")),
+    "name_len_ratio": narrow(_where("named", "least(length(n1), length(n2)) * 1.0 / greatest(length(n1), length(n2))")),
+    "name_exact_clean": _long(_where("named", _yes("c1 = c2"))),
+    "name_exact_raw": _long(_where("named", _yes("lower(r1) = lower(r2)"))),
+    "name_suffix_match": narrow(_where("named", "0.5")),
+    "addr_lev_sim": narrow(_where("placed", _lev("a1", "a2"))),
+    "addr_jw_sim": narrow(_where("placed", f"jaro_winkler_similarity({one_byte('a1')}, {one_byte('a2')})")),
+    "addr_token_sort": narrow(_where("placed", _sorted_ratio("a"))),
+    "addr_token_set": narrow(_where("placed", _SET_RATIO.format(s="a"))),
+    "addr_word_jaccard": narrow(_where("placed", f"coalesce({jaccard('u1', 'u2')}, 0)")),
+    "addr_common_tokens": _long(_where("placed", _common("u1", "u2"))),
+    "addr_len_diff": _long(_where("placed", "abs(length(a1) - length(a2))")),
+    "addr_exact_norm": _long(_where("placed", _yes("a1 = a2"))),
+    "postal_exact": _long(_where(_CODED, _yes("p1 = p2"))),
+    "postal_sim": narrow(_where(_CODED, _lev("p1", "p2"))),
+    "street_num_exact": _long(_where("s1_ IS NOT NULL AND s2_ IS NOT NULL", _yes(f"{_S1} = {_S2}"))),
+    "digits_overlap": _long(_where("placed", _yes(f"len(list_intersect({_D1}, {_D2})) > 0"))),
+    "digits_jaccard": narrow(_where("placed", f"coalesce({jaccard(_D1, _D2)}, 0)")),
+    "has_name_s1": _long(_yes("n1 <> ''")),
+    "has_name_cand": _long(_yes("n2 <> ''")),
+    "both_have_name": _long(_yes("named")),
+    "has_addr_s1": _long(_yes("a1 <> ''")),
+    "has_addr_cand": _long(_yes("a2 <> ''")),
+    "both_have_address": _long(_yes("placed")),
+    "has_postal_s1": _long(_yes("p1 <> ''")),
+    "has_postal_cand": _long(_yes("p2 <> ''")),
+    "both_have_postal": _long(_yes(_CODED)),
+    "same_country": _long(_yes("k1 <> '' AND lower(k1) = lower(k2)")),
+    "country_freq": narrow(_RATE),
+    "blocking_score": narrow("score", 4),
+    "candidate_rank": _long("rnk"),
+    "candidate_count": _long("count(*) OVER (PARTITION BY s1)"),
+    "score_gap_to_top": narrow("max(score) OVER (PARTITION BY s1) - score", 4),
+    "is_source2": _long(_yes("csrc = 2")),
+    "is_source3": _long(_yes("csrc = 3")),
+}
+ALL_FEATURES = ", ".join(f"{x} AS {name}" for name, x in FEATURE_SQL.items())
+LABEL = "CAST(CASE WHEN EXISTS (SELECT 1 FROM T WHERE T.s1 = La.s1 AND T.cand = La.cand) THEN 1 ELSE 0 END AS BIGINT) AS label"
+
+
+def chosen(*names: str) -> str:
+    return ", ".join(f"{FEATURE_SQL[name]} AS {name}" for name in names)
+
+
 SCORE = "least(1.0, round(score / 40.0, 6))"
 F05 = "CASE WHEN n_true = 0 AND n_pred = 0 THEN 1.0 WHEN tp = 0 THEN 0.0 ELSE 1.25 * (tp * 1.0 / n_pred) * (tp * 1.0 / n_true) / (0.25 * tp / n_pred + tp * 1.0 / n_true) END"
 PREC = "CASE WHEN n_true = 0 AND n_pred = 0 THEN 1.0 WHEN n_true = 0 OR n_pred = 0 THEN 0.0 ELSE tp * 1.0 / n_pred END"
@@ -144,20 +343,26 @@ Q AS (SELECT r.entity_id AS s1, (SELECT count(*) FROM T WHERE T.s1 = r.entity_id
         (SELECT count(*) FROM P JOIN T ON T.s1 = P.s1 AND T.cand = P.cand WHERE P.s1 = r.entity_id AND {SCORE} >= 0.75) AS tp
       FROM R r WHERE r.src = 1),
 """
-RANK_K = 20
+RANK_K = 75
 BLOCK = (RECORDS, KEYS, pairs(RANK_K))
-SWEEP = f"""
-TH AS (SELECT round(0.05 * i, 6) AS threshold FROM range(2, 20) r(i)),
+SIDED = (*BLOCK, NORM, SIDES, RATIOS)
+#: Caps that bind on small tables too.
+LOW_CAPS = {"name_tokens": 8, "char_ngrams": 20, "phonetic": 25, "address": 6}
+MISSING_FLAGS = (
+    "has_name_s1", "has_name_cand", "both_have_name", "has_addr_s1", "has_addr_cand", "both_have_address", "has_postal_s1", "has_postal_cand", "both_have_postal",
+    "same_country", "country_freq", "name_suffix_match",
+)
+def sweep(first: str, step: str, n: int) -> str:
+    return f"""
+TH AS (SELECT round({first} + {step} * i, 6) AS threshold FROM range(0, {n}) r(i)),
 C AS (SELECT r.entity_id AS s1, threshold, (SELECT count(*) FROM T WHERE T.s1 = r.entity_id) AS n_true,
     count(P.cand) FILTER (WHERE {SCORE} >= threshold) AS n_pred, count(T2.cand) FILTER (WHERE {SCORE} >= threshold) AS tp
   FROM R r CROSS JOIN TH LEFT JOIN P ON P.s1 = r.entity_id LEFT JOIN T T2 ON T2.s1 = P.s1 AND T2.cand = P.cand WHERE r.src = 1 GROUP BY ALL),
 V AS (SELECT threshold, {MACRO} FROM C GROUP BY threshold),
 """
 
-def narrow(x: str, digits: int = 5) -> str:
-    """A value that the features keep as a 32-bit float."""
-    return f"round(CAST(CAST({x} AS REAL) AS DOUBLE), {digits})"
 
+SWEEP = sweep("0.10", "0.05", 18)
 
 IDS = "s1 AS source1_entity_id, cand AS candidate_entity_id"
 
@@ -225,12 +430,12 @@ SQL: dict[str, str] = {
     ),
     "recall_at_k": sql(
         "SELECT k, count(*) FILTER (WHERE rnk <= k) AS found, count(*) AS total, round(count(*) FILTER (WHERE rnk <= k) * 1.0 / count(*), 6) AS recall "
-        "FROM T LEFT JOIN P USING (s1, cand) CROSS JOIN (VALUES (1), (5), (10), (20)) v(k) GROUP BY 1",
+        "FROM T LEFT JOIN P USING (s1, cand) CROSS JOIN (VALUES (10), (20), (30), (40), (50), (75)) v(k) GROUP BY 1",
         *BLOCK,
     ),
     "recall_at_k_by_bucket": sql(
         f"SELECT match_bucket, k, count(*) FILTER (WHERE rnk <= k) AS found, count(*) AS total, round(count(*) FILTER (WHERE rnk <= k) * 1.0 / count(*), 6) AS recall "
-        f"FROM (SELECT T.s1, T.cand, {BUCKET} AS match_bucket FROM T JOIN G USING (s1)) LEFT JOIN P USING (s1, cand) CROSS JOIN (VALUES (1), (5), (10), (20)) v(k) GROUP BY ALL",
+        f"FROM (SELECT T.s1, T.cand, {BUCKET} AS match_bucket FROM T JOIN G USING (s1)) LEFT JOIN P USING (s1, cand) CROSS JOIN (VALUES (10), (20), (30), (40), (50), (75)) v(k) GROUP BY ALL",
         *BLOCK,
     ),
     "reduction_ratio": sql(
@@ -238,44 +443,14 @@ SQL: dict[str, str] = {
         "FROM (SELECT country, count(*) AS n FROM R WHERE src = 1 GROUP BY 1) a JOIN N b USING (country)",
         *BLOCK,
     ),
-    "sim_levenshtein": sql(
-        f"SELECT {IDS}, {narrow(f"1 - levenshtein({one_byte('n1')}, {one_byte('n2')}) * 1.0 / greatest(length(n1), length(n2))")} AS name_lev_sim FROM J", *BLOCK, NORM, SIDES
-    ),
-    "sim_jaro_winkler": sql(f"SELECT {IDS}, {narrow(f"jaro_winkler_similarity({one_byte('n1')}, {one_byte('n2')})")} AS name_jw_sim FROM J", *BLOCK, NORM, SIDES),
-    "sim_token_jaccard": sql(
-        f"SELECT {IDS}, {narrow(jaccard("string_split(n1, ' ')", "string_split(n2, ' ')"))} AS name_word_jaccard, "
-        f"CAST(len(list_intersect(list_distinct(string_split(n1, ' ')), list_distinct(string_split(n2, ' ')))) AS BIGINT) AS name_common_tokens FROM J",
-        *BLOCK,
-        NORM,
-        SIDES,
-    ),
-    "len_features": sql(
-        f"SELECT {IDS}, CAST(abs(length(n1) - length(n2)) AS BIGINT) AS name_len_diff, {narrow('least(length(n1), length(n2)) * 1.0 / greatest(length(n1), length(n2))')} AS name_len_ratio FROM J",
-        *BLOCK,
-        NORM,
-        SIDES,
-    ),
-    "sim_char3_jaccard": sql(f"SELECT {IDS}, round({jaccard(qgrams('n1'), qgrams('n2'))}, 5) AS char3_jaccard FROM J", *BLOCK, NORM, SIDES),
-    "digit_overlap": sql(
-        rf"""SELECT s1 AS source1_entity_id, cand AS candidate_entity_id, CAST(CASE WHEN ra1 = '' OR ra2 = '' THEN -1 WHEN len(list_intersect(d1, d2)) > 0 THEN 1 ELSE 0 END AS BIGINT) AS digits_overlap
-        FROM (SELECT *, list_distinct(list_transform(regexp_extract_all(ra1, '\p{{Nd}}+'), lambda x: coalesce(nullif(ltrim(x, '0'), ''), '0'))) AS d1,
-          list_distinct(list_transform(regexp_extract_all(ra2, '\p{{Nd}}+'), lambda x: coalesce(nullif(ltrim(x, '0'), ''), '0'))) AS d2 FROM J)""",
-        *BLOCK,
-        NORM,
-        SIDES,
-    ),
-    "exact_flags": sql(
-        f"SELECT {IDS}, CAST(CASE WHEN lower(r1) = lower(r2) THEN 1 ELSE 0 END AS BIGINT) AS name_exact_raw, "
-        "CAST(CASE WHEN a1 = '' OR a2 = '' THEN -1 WHEN a1 = a2 THEN 1 ELSE 0 END AS BIGINT) AS addr_exact_norm FROM J",
-        *BLOCK,
-        NORM,
-        SIDES,
-    ),
-    "meta_features": sql(
-        f"SELECT {IDS}, rnk AS candidate_rank, count(*) OVER (PARTITION BY s1) AS candidate_count, {narrow('max(score) OVER (PARTITION BY s1) - score', 4)} AS score_gap_to_top, "
-        "CAST(CASE WHEN csrc = 2 THEN 1 ELSE 0 END AS BIGINT) AS is_source2, CAST(CASE WHEN csrc = 3 THEN 1 ELSE 0 END AS BIGINT) AS is_source3 FROM P",
-        *BLOCK,
-    ),
+    "sim_levenshtein": sql(f'SELECT {IDS}, {chosen("name_lev_sim", "addr_lev_sim")} FROM La', *SIDED),
+    "sim_jaro_winkler": sql(f'SELECT {IDS}, {chosen("name_jw_sim", "addr_jw_sim")} FROM La', *SIDED),
+    "sim_token_jaccard": sql(f'SELECT {IDS}, {chosen("name_word_jaccard", "addr_word_jaccard", "name_common_tokens", "addr_common_tokens")} FROM La', *SIDED),
+    "len_features": sql(f'SELECT {IDS}, {chosen("name_len_ratio", "name_len_diff", "addr_len_diff")} FROM La', *SIDED),
+    "sim_char3_jaccard": sql(f'SELECT {IDS}, {chosen("name_char3_jaccard")} FROM La', *SIDED),
+    "digit_overlap": sql(f'SELECT {IDS}, {chosen("digits_jaccard", "digits_overlap")} FROM La', *SIDED),
+    "exact_flags": sql(f'SELECT {IDS}, {chosen("name_exact_clean", "name_exact_raw", "addr_exact_norm", "postal_exact", "street_num_exact")} FROM La', *SIDED),
+    "meta_features": sql(f'SELECT {IDS}, {chosen("score_gap_to_top", "candidate_rank", "candidate_count", "is_source2", "is_source3")} FROM La', *SIDED),
     "label_balance": sql(
         "SELECT count(*) AS n, count(T.cand) AS n_positive, round(count(T.cand) * 1.0 / count(*), 6) AS positive_rate, "
         "round((count(*) - count(T.cand)) * 1.0 / greatest(count(T.cand), 1), 6) AS scale_pos_weight FROM P LEFT JOIN T USING (s1, cand)",
@@ -305,6 +480,37 @@ SQL: dict[str, str] = {
         "SELECT r.entity_id AS source1_entity_id, coalesce(string_agg(P.cand, ',' ORDER BY P.rnk), '') AS candidate_entity_ids FROM R r LEFT JOIN P ON P.s1 = r.entity_id WHERE r.src = 1 GROUP BY 1",
         *BLOCK,
     ),
+    "recall_at_k_by_country": sql(
+        "SELECT country, k, count(*) FILTER (WHERE rnk <= k) AS found, count(*) AS total, round(count(*) FILTER (WHERE rnk <= k) * 1.0 / count(*), 6) AS recall "
+        "FROM (SELECT T.s1, T.cand, G.country FROM T JOIN G USING (s1)) LEFT JOIN P USING (s1, cand) CROSS JOIN (VALUES (10), (20), (30), (40), (50), (75)) v(k) GROUP BY ALL",
+        *BLOCK,
+    ),
+    "threshold_sweep_fine": sql("SELECT * FROM V", *BLOCK, sweep("0.92", "0.005", 16)),
+    "truth_classes": sql(
+        "SELECT country, md5(text) AS digest, CAST(count(*) FILTER (WHERE src = 1) AS BIGINT) AS n_source1, CAST(count(*) FILTER (WHERE src > 1) AS BIGINT) AS n_candidates, "
+        "min(entity_id) AS first FROM R GROUP BY country, md5(text) HAVING count(*) FILTER (WHERE src = 1) > 0 AND count(*) FILTER (WHERE src > 1) > 0",
+        RECORDS,
+    ),
+    "first_per_country": sql(f"SELECT s1 AS source1_entity_id, country FROM (SELECT *, row_number() OVER (PARTITION BY country ORDER BY s1) AS r FROM G) WHERE r <= 25", RECORDS),
+    "block_capped": sql(f"SELECT {IDS}, round(score, 6) AS blocking_score, rnk AS candidate_rank FROM P", RECORDS, KEYS, pairs(50, caps=LOW_CAPS)),
+    "normalized_records": sql(NORMALIZED, RECORDS, NORM),
+    "sim_token_ratios": sql(f'SELECT {IDS}, {chosen("name_token_sort", "name_token_set", "addr_token_sort", "addr_token_set")} FROM La', *SIDED),
+    "missing_flags": sql(f"SELECT {IDS}, {chosen(*MISSING_FLAGS)} FROM La", *SIDED),
+    "pair_features_full": sql(f"SELECT {IDS}, {ALL_FEATURES}, {LABEL} FROM La", *SIDED),
+    "clipped_features": sql(f"SELECT {IDS}, least(candidate_rank, 10) AS candidate_rank, least(candidate_count, 20) AS candidate_count FROM (SELECT s1, cand, {chosen('candidate_rank', 'candidate_count')} FROM La)", *SIDED),
+    "feature_audit": sql(
+        f"""SELECT feature, round(r, 4) AS correlation, CASE WHEN r IS NULL THEN 'constant' WHEN abs(r) < 0.01 THEN 'near zero' WHEN r > 0.30 THEN 'strong positive' WHEN r > 0.10 THEN 'moderate positive'
+          WHEN r < -0.10 THEN 'negative' ELSE 'weak' END AS status, row_number() OVER (ORDER BY round(r, 9) DESC NULLS LAST, feature) AS place
+        FROM (SELECT feature, CASE WHEN max(v) = min(v) THEN NULL ELSE corr(v, label) END AS r FROM (UNPIVOT (SELECT label, {", ".join(f"CAST({name} AS DOUBLE) AS {name}" for name in FEATURE_SQL)} FROM F) ON COLUMNS(* EXCLUDE (label)) INTO NAME feature VALUE v) GROUP BY feature)""",
+        *SIDED,
+        f"F AS (SELECT {ALL_FEATURES}, {LABEL} FROM La),",
+    ),
+    "matched_not_candidates": sql("SELECT s1 AS s1, count(*) AS missing FROM T WHERE NOT EXISTS (SELECT 1 FROM P WHERE P.s1 = T.s1 AND P.cand = T.cand AND P.rnk <= 1) GROUP BY s1", *BLOCK),
+    "dressed_records": sql("SELECT entity_id, business_name, business_address, country FROM R", DRESSED),
+    "dressed_normalized": sql(NORMALIZED, DRESSED, NORM),
+    "dressed_keys": sql("SELECT entity_id, strategy, key, CAST(pos AS BIGINT) AS pos FROM K", DRESSED, KEYS),
+    "dressed_blocking": sql(f"SELECT {IDS}, round(score, 6) AS blocking_score, rnk AS candidate_rank FROM P", DRESSED, KEYS, pairs(50, caps=LOW_CAPS)),
+    "dressed_features": sql(f"SELECT {IDS}, {ALL_FEATURES} FROM La", DRESSED, KEYS, pairs(20, caps=LOW_CAPS), NORM, SIDES, RATIOS),
     "validate_results": """SELECT * FROM (VALUES ('duplicate_in_list', CAST(1 AS BIGINT), 'S1-2'), ('duplicate_row', 1, 'S1-3'), ('extra_row', 1, 'S1-9'), ('malformed_row', 1, 'no tab here'),
       ('missing_row', 1, 'S1-4'), ('self_match', 1, 'S1-1'), ('unknown_id', 1, 'S2-404'), ('wrong_prefix', 1, 'X-7')) v("check", n, examples)""",
 }

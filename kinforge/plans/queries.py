@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinforge.functions import keys, rules, text
-from kinforge.functions.similarity import jaccard, qgrams
 from kinforge.operators import blocking, features, metrics, model, split, validate
 from kinforge.plans import linkage
-from kinforge.plans.oracle import RANK_K, SQL
+from kinforge.plans.oracle import LOW_CAPS, MISSING_FLAGS, RANK_K, SQL
+from kinforge.shared import checkpointed, new_folder
 from kinforge.sources import records as rec
 from kinforge.streaming import probe
 
@@ -25,8 +24,20 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def _view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rec.spread(rec.record_view(_docs(spark, sf_dir)).drop("text"))
+def _view(spark: SparkSession, sf_dir: str, digest: bool = False) -> DataFrame:
+    """The record view, a few hundred bytes a text, dealt evenly to all cores by its id."""
+    return rec.record_view(_docs(spark, sf_dir), digest).repartition(spark.sparkContext.defaultParallelism, "entity_id")
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The record view with digests in the shared folder: the texts are read once."""
+    return checkpointed(_view(spark, sf_dir, digest=True))
+
+
+def _sides(spark: SparkSession, sf_dir: str) -> tuple[linkage.Inputs, DataFrame]:
+    """Inputs and true pairs over one stored view."""
+    view = _stored(spark, sf_dir)
+    return linkage.view_inputs(view), linkage.view_truth(view)
 
 
 def _inputs(spark: SparkSession, sf_dir: str) -> linkage.Inputs:
@@ -34,18 +45,16 @@ def _inputs(spark: SparkSession, sf_dir: str) -> linkage.Inputs:
 
 
 def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linkage.view_truth(_docs(spark, sf_dir))
+    return linkage.view_truth(_view(spark, sf_dir, digest=True))
 
 
-def _ranked(spark: SparkSession, sf_dir: str, k: int = RANK_K) -> DataFrame:
-    inputs = _inputs(spark, sf_dir)
+def _pairs(inputs: linkage.Inputs, k: int = RANK_K) -> DataFrame:
     return blocking.candidate_pairs(inputs.s1, inputs.catalogue, k)
 
 
 def _folder(spark: SparkSession) -> str:
     """A new folder that the driver and executors share."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base}/kinforge-{uuid.uuid4().hex}"
+    return new_folder(spark, "kinforge")
 
 
 def _long(df: DataFrame, *columns: str) -> DataFrame:
@@ -112,12 +121,17 @@ def ground_truth_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _truth(spark, sf_dir)
 
 
-def _truth_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rec.matched_lists(_inputs(spark, sf_dir).s1, _truth(spark, sf_dir))
+def _strata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inputs, truth = _sides(spark, sf_dir)
+    return split.with_stratum(rec.matched_lists(inputs.s1, truth), inputs.s1)
+
 
+def truth_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linkage.truth_classes(_view(spark, sf_dir, digest=True))
 
-def _strata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split.with_stratum(_truth_lists(spark, sf_dir), _inputs(spark, sf_dir).s1)
+
+def first_per_country(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.first_per_country(_strata(spark, sf_dir).select("source1_entity_id", "country"), 25)
 
 
 def match_count_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,11 +155,13 @@ def uniform_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def semi_join_val(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split.only_ids(_inputs(spark, sf_dir).s1.select("entity_id"), _truth(spark, sf_dir))
+    inputs, truth = _sides(spark, sf_dir)
+    return split.only_ids(inputs.s1.select("entity_id"), truth)
 
 
 def anti_join_train(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split.without_ids(_inputs(spark, sf_dir).s1.select("entity_id"), _truth(spark, sf_dir))
+    inputs, truth = _sides(spark, sf_dir)
+    return split.without_ids(inputs.s1.select("entity_id"), truth)
 
 
 def union_catalogues(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,11 +176,15 @@ def normalize_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.normalize(_view(spark, sf_dir)).select("entity_id", "a_norm")
 
 
-def normalized_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = text.normalize(_view(spark, sf_dir))
+def _normalized(view: DataFrame) -> DataFrame:
+    out = text.normalize(view)
     return out.select("entity_id", "n_norm", "n_clean", "n_has", "a_norm", "a_has", "a_postal", "a_street", "c_norm")
 
 
+def normalized_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _normalized(_view(spark, sf_dir))
+
+
 def _keys(strategy: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         found = keys.exploded(_view(spark, sf_dir), "entity_id").filter(F.col("strategy") == strategy)
@@ -192,15 +212,43 @@ def hot_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return posting_df(spark, sf_dir).filter(F.col("df") > caps[F.col("strategy")] / 100)
 
 
-def _block(*strategies: str) -> Query:
+def _block(*strategies: str, caps: dict[str, int] | None = None) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        inputs = _inputs(spark, sf_dir)
-        ranked = blocking.candidate_pairs(inputs.s1, inputs.catalogue, 50, strategies=strategies or rules.STRATEGIES)
+        inputs = linkage.view_inputs(checkpointed(_view(spark, sf_dir)))
+        ranked = blocking.candidate_pairs(inputs.s1, inputs.catalogue, 50, caps, strategies=strategies or rules.STRATEGIES)
         return _long(_rounded(ranked, 6, "blocking_score"), "candidate_rank")
 
     return query
 
 
+def _dressed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with marks, digits, legal forms and abbreviations: every rule is met by some."""
+    return rec.dressed_view(_docs(spark, sf_dir)).repartition(spark.sparkContext.defaultParallelism, "entity_id")
+
+
+def dressed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dressed(spark, sf_dir).select(*rec.RECORD.names)
+
+
+def dressed_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _normalized(_dressed(spark, sf_dir))
+
+
+def dressed_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _long(keys.exploded(_dressed(spark, sf_dir), "entity_id").select("entity_id", "strategy", "key", "pos"), "pos")
+
+
+def dressed_blocking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inputs = linkage.view_inputs(checkpointed(_dressed(spark, sf_dir)))
+    return _long(_rounded(blocking.candidate_pairs(inputs.s1, inputs.catalogue, 50, LOW_CAPS), 6, "blocking_score"), "candidate_rank")
+
+
+def dressed_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inputs = linkage.view_inputs(checkpointed(_dressed(spark, sf_dir)))
+    ranked = blocking.candidate_pairs(inputs.s1, inputs.catalogue, 20, LOW_CAPS)
+    return _shown(features.pair_features(ranked, inputs.s1, inputs.catalogue))
+
+
 def stream_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates found by a stream of records, written batch by batch, read back."""
     folder, inputs = _folder(spark), _inputs(spark, sf_dir)
@@ -213,71 +261,87 @@ def stream_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def strategy_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    inputs = _inputs(spark, sf_dir)
-    found = blocking.strategy_recall(blocking.attributed(_truth(spark, sf_dir), inputs.s1, inputs.catalogue))
-    return _rounded(found, 6, "recall")
+    inputs, truth = _sides(spark, sf_dir)
+    return _rounded(blocking.strategy_recall(blocking.attributed(truth, inputs.s1, inputs.catalogue)), 6, "recall")
+
+
+KS = (10, 20, 30, 40, 50, 75)
 
 
 def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(blocking.recall_at(_truth(spark, sf_dir), _ranked(spark, sf_dir), (1, 5, 10, 20)), 6, "recall")
+    inputs, truth = _sides(spark, sf_dir)
+    return _rounded(blocking.recall_at(truth, _pairs(inputs), KS), 6, "recall")
 
 
 def recall_at_k_by_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bucket = _strata(spark, sf_dir).select("source1_entity_id", "match_bucket")
-    tagged = _truth(spark, sf_dir).join(bucket, "source1_entity_id")
-    return _rounded(blocking.recall_at(tagged, _ranked(spark, sf_dir), (1, 5, 10, 20), ("match_bucket",)), 6, "recall")
+    inputs, truth = _sides(spark, sf_dir)
+    bucket = split.with_stratum(rec.matched_lists(inputs.s1, truth), inputs.s1).select("source1_entity_id", "match_bucket")
+    return _rounded(blocking.recall_at(truth.join(bucket, "source1_entity_id"), _pairs(inputs), KS, ("match_bucket",)), 6, "recall")
+
+
+def recall_at_k_by_country(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inputs, truth = _sides(spark, sf_dir)
+    country = inputs.s1.select(F.col("entity_id").alias("source1_entity_id"), "country")
+    return _rounded(blocking.recall_at(truth.join(country, "source1_entity_id"), _pairs(inputs), KS, ("country",)), 6, "recall")
 
 
 def reduction_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    inputs = _inputs(spark, sf_dir)
-    return _rounded(blocking.reduction(inputs.s1, inputs.catalogue, _ranked(spark, sf_dir)), 6, "reduction_ratio")
+    inputs, _ = _sides(spark, sf_dir)
+    return _rounded(blocking.reduction(inputs.s1, inputs.catalogue, _pairs(inputs)), 6, "reduction_ratio")
+
+
+def _feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inputs, truth = _sides(spark, sf_dir)
+    return features.pair_features(_pairs(inputs), inputs.s1, inputs.catalogue, truth)
+
+
+def _shown(rows: DataFrame) -> DataFrame:
+    """Feature rows rounded, so that engines that add in other orders agree."""
+    floats = {f: F.round(F.col(f).cast("double"), 4 if f in ("blocking_score", "score_gap_to_top") else 5) for f, t in features.FEATURES if t == "float"}
+    return _long(rows.withColumns(floats), *(f for f, t in features.FEATURES if t != "float"), *(["label"] if "label" in rows.columns else []))
 
 
 def pair_features_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    inputs = _inputs(spark, sf_dir)
-    return features.pair_features(_ranked(spark, sf_dir), inputs.s1, inputs.catalogue, _truth(spark, sf_dir))
+    return _shown(_feature_rows(spark, sf_dir))
 
 
-def _features(digits: int, *columns: str, whole: tuple[str, ...] = ()) -> Query:
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        inputs = _inputs(spark, sf_dir)
-        sided = features.with_sides(features.with_meta(_ranked(spark, sf_dir)), inputs.s1, inputs.catalogue)
-        rows = features.features(sided).select(*IDS, *columns, *whole)
-        return _long(_rounded(rows, digits, *columns), *whole)
+def clipped_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inputs, _ = _sides(spark, sf_dir)
+    rows = features.clipped(features.pair_features(_pairs(inputs), inputs.s1, inputs.catalogue), 10, 20)
+    return _long(rows.select(*IDS, "candidate_rank", "candidate_count"), "candidate_rank", "candidate_count")
 
-    return query
 
+def _features(*columns: str) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        inputs, _ = _sides(spark, sf_dir)
+        sided = features.with_sides(features.with_meta(_pairs(inputs)), inputs.s1, inputs.catalogue)
+        return _shown(features.features(sided)).select(*IDS, *columns)
 
-def sim_char3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    inputs = _inputs(spark, sf_dir)
-    sided = features.with_sides(_ranked(spark, sf_dir), inputs.s1, inputs.catalogue)
-    value = jaccard(qgrams(F.col("l.n_norm")), qgrams(F.col("r.n_norm")))
-    return sided.select(*IDS, F.round(value, 5).alias("char3_jaccard"))
+    return query
 
 
 def label_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = features.labelled(_ranked(spark, sf_dir), _truth(spark, sf_dir))
-    return _rounded(metrics.label_balance(rows), 6, "positive_rate", "scale_pos_weight")
+    inputs, truth = _sides(spark, sf_dir)
+    return _rounded(metrics.label_balance(features.labelled(_pairs(inputs), truth)), 6, "positive_rate", "scale_pos_weight")
 
 
 def feature_label_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = features.label_correlation(pair_features_full(spark, sf_dir))
+    found = features.label_correlation(_feature_rows(spark, sf_dir))
     return _rounded(found.filter(F.col("feature").isin("candidate_rank", "is_source2")).select("feature", "correlation"), 5, "correlation")
 
 
 def feature_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.label_correlation(pair_features_full(spark, sf_dir))
+    return _long(_rounded(features.label_correlation(_feature_rows(spark, sf_dir)), 4, "correlation"), "place")
 
 
-def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _scored(inputs: linkage.Inputs) -> DataFrame:
     """Candidate pairs with a hand-made score."""
-    made = F.least(F.lit(1.0), F.round(F.col("blocking_score") / 40.0, 6))
-    return _ranked(spark, sf_dir).withColumn("score", made)
+    return _pairs(inputs).withColumn("score", F.least(F.lit(1.0), F.round(F.col("blocking_score") / 40.0, 6)))
 
 
 def entity_f05(spark: SparkSession, sf_dir: str) -> DataFrame:
-    predicted = _scored(spark, sf_dir).filter("score >= 0.75")
-    counts = metrics.entity_counts(_inputs(spark, sf_dir).s1, _truth(spark, sf_dir), predicted)
+    inputs, truth = _sides(spark, sf_dir)
+    counts = metrics.entity_counts(inputs.s1, truth, _scored(inputs).filter("score >= 0.75"))
     return _long(_rounded(metrics.entity_scores(counts), 6, "precision", "recall", "f"), "tp", "n_true", "n_pred")
 
 
@@ -285,35 +349,41 @@ _MEANS = metrics.MACRO[:5]
 
 
 def macro_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    predicted = _scored(spark, sf_dir).filter("score >= 0.75")
-    return _rounded(metrics.evaluate(_inputs(spark, sf_dir).s1, _truth(spark, sf_dir), predicted), 6, *_MEANS)
+    inputs, truth = _sides(spark, sf_dir)
+    return _rounded(metrics.evaluate(inputs.s1, truth, _scored(inputs).filter("score >= 0.75")), 6, *_MEANS)
+
 
+def _sweep(low: float, high: float, step: float) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        inputs, truth = _sides(spark, sf_dir)
+        return _rounded(metrics.threshold_sweep(inputs.s1, truth, _scored(inputs), metrics.grid(low, high, step)), 6, *_MEANS)
 
-def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    swept = metrics.threshold_sweep(_inputs(spark, sf_dir).s1, _truth(spark, sf_dir), _scored(spark, sf_dir), metrics.grid(0.10, 0.95, 0.05))
-    return _rounded(swept, 6, *_MEANS)
+    return query
 
 
 def best_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.best_threshold(threshold_sweep(spark, sf_dir))
+    return metrics.best_threshold(_sweep(0.10, 0.95, 0.05)(spark, sf_dir))
 
 
 def ranking_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = features.labelled(_scored(spark, sf_dir), _truth(spark, sf_dir))
-    return _rounded(metrics.ranking_quality(rows), 6, "roc_auc", "average_precision")
+    inputs, truth = _sides(spark, sf_dir)
+    return _rounded(metrics.ranking_quality(features.labelled(_scored(inputs), truth)), 6, "roc_auc", "average_precision")
 
 
 def blend_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _scored(spark, sf_dir).withColumnRenamed("score", "a").withColumn("b", 1.0 / F.col("candidate_rank"))
+    inputs, _ = _sides(spark, sf_dir)
+    rows = _scored(inputs).withColumnRenamed("score", "a").withColumn("b", 1.0 / F.col("candidate_rank"))
     return _rounded(model.blend(rows, ["a", "b"], [0.6, 0.4]).select(*IDS, "score"), 6, "score")
 
 
 def match_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rec.matched_lists(_inputs(spark, sf_dir).s1, _scored(spark, sf_dir).filter("score >= 0.75"))
+    inputs, _ = _sides(spark, sf_dir)
+    return rec.matched_lists(inputs.s1, _scored(inputs).filter("score >= 0.75"))
 
 
 def candidate_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rec.candidate_lists(_inputs(spark, sf_dir).s1, _ranked(spark, sf_dir))
+    inputs, _ = _sides(spark, sf_dir)
+    return rec.candidate_lists(inputs.s1, _pairs(inputs))
 
 
 def validate_results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -325,14 +395,18 @@ def validate_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.list_findings(rows, required, targets)
 
 
-def _training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pair_features_full(spark, sf_dir)
+def matched_not_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """True pairs that are not their record's best candidate, by the validator's subset check over whole lists."""
+    inputs, truth = _sides(spark, sf_dir)
+    lists = (rec.matched_lists(inputs.s1, truth), rec.candidate_lists(inputs.s1, _pairs(inputs, 1)))
+    lines = [x.select(F.concat_ws("\t", *x.columns).alias("value")) for x in lists]
+    return validate.not_in_candidates(*(validate.parsed(x) for x in lines))
 
 
 def gbt_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of a model that is stored and loaded again."""
     folder = _folder(spark)
-    rec.write_parquet(_training_rows(spark, sf_dir), f"{folder}/rows")
+    rec.write_parquet(_feature_rows(spark, sf_dir), f"{folder}/rows")
     rows = spark.read.parquet(f"{folder}/rows")
     model.save(model.train(rows, model.Learner("gbt", dict(model.GBT_VARIANTS["quick"]))), f"{folder}/model")
     return model.score(features.clipped(rows), model.load(f"{folder}/model")).select(*IDS, "label", "score")
@@ -341,7 +415,7 @@ def gbt_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gbt_cv_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ROC-AUC and average precision of out-of-fold scores."""
     folder = _folder(spark)
-    rec.write_parquet(_training_rows(spark, sf_dir), f"{folder}/rows")
+    rec.write_parquet(_feature_rows(spark, sf_dir), f"{folder}/rows")
     scored = model.out_of_fold(spark.read.parquet(f"{folder}/rows"), model.Learner("gbt", {"maxIter": 5, "maxDepth": 4}))
     return metrics.ranking_quality(scored)
 
@@ -350,10 +424,10 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         scan_records, source_tag, country_counts, missing_profile, length_profile, duplicate_name_addr, tsv_round_trip, parquet_merge, first_ids,
-        ground_truth_pairs, match_count_buckets, match_distribution, stratum_shares, stratified_split, uniform_sample, semi_join_val, anti_join_train,
-        union_catalogues, normalize_names, normalize_addresses, normalized_records, posting_df, posting_idf, hot_keys, stream_probe, strategy_recall,
-        recall_at_k, recall_at_k_by_bucket, reduction_ratio, pair_features_full, sim_char3_jaccard, label_balance, feature_label_corr, feature_audit,
-        entity_f05, macro_metrics, threshold_sweep, best_threshold, ranking_quality, blend_scores, match_lists, candidate_lists, validate_results,
+        ground_truth_pairs, truth_classes, first_per_country, match_count_buckets, match_distribution, stratum_shares, stratified_split, uniform_sample, semi_join_val, anti_join_train,
+        union_catalogues, normalize_names, normalize_addresses, normalized_records, posting_df, posting_idf, hot_keys, dressed_records, dressed_normalized, dressed_keys, dressed_blocking, dressed_features, stream_probe, strategy_recall,
+        recall_at_k, recall_at_k_by_bucket, recall_at_k_by_country, reduction_ratio, pair_features_full, clipped_features, label_balance, feature_label_corr, feature_audit,
+        entity_f05, macro_metrics, best_threshold, ranking_quality, blend_scores, match_lists, candidate_lists, validate_results, matched_not_candidates,
         gbt_score, gbt_cv_auc,
     )
 } | {
@@ -366,14 +440,19 @@ QUERIES: dict[str, Query] = {
     "block_phonetic": _block("phonetic"),
     "block_address": _block("address"),
     "block_all_topk": _block(),
-    "sim_levenshtein": _features(5, "name_lev_sim"),
-    "sim_jaro_winkler": _features(5, "name_jw_sim"),
-    "sim_token_jaccard": _features(5, "name_word_jaccard", whole=("name_common_tokens",)),
-    "sim_token_ratios": _features(5, "name_token_sort", "name_token_set", "addr_token_sort", "addr_token_set"),
-    "len_features": _features(5, "name_len_ratio", whole=("name_len_diff",)),
-    "digit_overlap": _features(5, whole=("digits_overlap",)),
-    "exact_flags": _features(5, whole=("name_exact_raw", "addr_exact_norm")),
-    "meta_features": _features(4, "score_gap_to_top", whole=("candidate_rank", "candidate_count", "is_source2", "is_source3")),
+    "block_capped": _block(caps=LOW_CAPS),
+    "threshold_sweep": _sweep(0.10, 0.95, 0.05),
+    "threshold_sweep_fine": _sweep(0.92, 0.995, 0.005),
+    "sim_char3_jaccard": _features("name_char3_jaccard"),
+    "sim_levenshtein": _features("name_lev_sim", "addr_lev_sim"),
+    "sim_jaro_winkler": _features("name_jw_sim", "addr_jw_sim"),
+    "sim_token_jaccard": _features("name_word_jaccard", "addr_word_jaccard", "name_common_tokens", "addr_common_tokens"),
+    "sim_token_ratios": _features("name_token_sort", "name_token_set", "addr_token_sort", "addr_token_set"),
+    "len_features": _features("name_len_ratio", "name_len_diff", "addr_len_diff"),
+    "digit_overlap": _features("digits_jaccard", "digits_overlap"),
+    "exact_flags": _features("name_exact_clean", "name_exact_raw", "addr_exact_norm", "postal_exact", "street_num_exact"),
+    "missing_flags": _features(*MISSING_FLAGS),
+    "meta_features": _features("score_gap_to_top", "candidate_rank", "candidate_count", "is_source2", "is_source3"),
 }
 
 ORACLE_SQL: dict[str, str] = dict(SQL)

@@ -9,6 +9,9 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # joins that make many rows of few bytes still use all cores
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "256k",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # row_number() <= K is pushed below the shuffle up to this K
     "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
 }

@@ -6,7 +6,7 @@ import json
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,7 +54,7 @@ def union_records(*frames: DataFrame) -> DataFrame:
     return out
 
 
-def id_list(c: F.Column) -> F.Column:
+def id_list(c: Column) -> Column:
     """Ids of a comma list, trimmed, without empty ones; [] for null."""
     return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), F.trim), lambda x: x != "")
 
@@ -71,19 +71,16 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(first.alias("entity_id")).filter(F.col("entity_id") != "").distinct()
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A table of fewer partitions than cores, dealt out to all of them; a larger one as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+def record_view(docs: DataFrame, digest: bool = False) -> DataFrame:
+    """Records over a documents table: the first four words are the name, the next ten the address.
 
-
-def record_view(docs: DataFrame) -> DataFrame:
-    """Records over a documents table: the first four words are the name, the next ten the address."""
+    digest: with the text's md5 as a column; the text itself is left out."""
     # matching stops behind the fourteenth word, however long the text is
     opening = F.regexp_extract("text", r"^(?:[^\p{L}\p{M}\p{N}]*[\p{L}\p{M}\p{N}]+){1,14}", 0)
     words = F.regexp_extract_all(F.lower(opening), F.lit(r"[\p{L}\p{M}\p{N}]+"), 0)
     source = (1 + F.substring("source", 4, 9).try_cast("int") % 3).cast("int")
-    tagged = docs.select("doc_id", "text", "lang", source.alias("source"), words.alias("w"))
+    more = [F.md5("text").alias("digest")] if digest else []
+    tagged = docs.select("doc_id", "n_chars", "lang", source.alias("source"), words.alias("w"), *more)
     return tagged.select(
         F.concat(F.lit("S"), F.col("source").cast("string"), F.lit("-"), F.col("doc_id").cast("string")).alias("entity_id"),
         F.array_join(F.slice("w", 1, 4), " ").alias("business_name"),
@@ -91,10 +88,40 @@ def record_view(docs: DataFrame) -> DataFrame:
         F.col("lang").alias("country"),
         F.col("source").cast("tinyint").alias("source"),
         "doc_id",
-        "text",
+        "n_chars",
+        *(["digest"] if digest else []),
     )
 
 
+#: Patterns that dress a record of the view up: {1} to {4} are words of the name, {5} to {8}
+#: of the address, {a}, {b} and {z} numbers.  Every rule of normalization and every kind of key
+#: is met by some; which one a record gets hangs on its id.
+DRESSED_NAMES = (
+    "{1} {2} {3} {4}", "{1} & {2} {3} Pvt. Ltd.", "{1}'s {2} L.L.C.", "{1} {2} L.L.P.", "{1}{2}.com {3}", "{1}+{2} Intl Corp", "{1}, {2} Inc.", "Private Limited {1} and",
+    "nan", "---", "{1} L. P. Tech {2}", "{1} Co. {2} GmbH & Co", "{1}@{2}.co.in", "Limited Liability Company {1} {2}", "{1} {2} Mfg. Svcs", "Inc.",
+)
+DRESSED_ADDRESSES = (
+    "{a} {5} {6} St., {7}, {z}", "Flat {a}, Bldg {b}, {5} Rd, {6} {z}", "H.No {a} s/o {5}, Nr {6}", "00{a} {5} Ave/{6}", "{5} {6} Dist, {z}", "", "N/A", "c/o {5}; b.h {6} {7} Apt {b}",
+    "{5}'s {6} & {7}, {a}", "None", "{b}, {z}", "{z}", "{5} {6} {7} No {a}", "{a}-{b} {5} Blvd W, {6}", "{5} PO {z} {6} {7} {8}", "hno {a}\\{5}, {z} SE",
+)
+
+
+def dressed_view(docs: DataFrame) -> DataFrame:
+    """The record view with marks, digits, legal forms and abbreviations in its names and addresses."""
+    view = record_view(docs)
+    name, place = F.split("business_name", " "), F.split("business_address", " ")
+    numbers = {"{a}": 1 + F.col("n_chars") % 997, "{b}": 1 + F.col("doc_id") % 89, "{z}": 10000 + F.col("doc_id") * 7919 % 89999}
+    words = {f"{{{k + 1}}}": F.coalesce(F.get(name, F.lit(k)), F.lit("")) for k in range(4)} | {f"{{{k + 5}}}": F.coalesce(F.get(place, F.lit(k)), F.lit("")) for k in range(4)}
+
+    def filled(patterns: tuple[str, ...], turn: Column) -> Column:
+        out = F.element_at(F.array(*(F.lit(x) for x in patterns)), (turn % len(patterns) + 1).cast("int"))
+        for mark, value in {**words, **numbers}.items():
+            out = F.replace(out, F.lit(mark), value.cast("string"))
+        return out
+
+    return view.withColumns({"business_name": filled(DRESSED_NAMES, F.col("doc_id")), "business_address": filled(DRESSED_ADDRESSES, F.floor(F.col("doc_id") / 3))})
+
+
 # --- id-list sinks ---
 
 

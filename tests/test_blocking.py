@@ -115,3 +115,12 @@ def test_stream_gives_the_batch_result(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out")).drop("batch")
     want = blocking.candidate_pairs(s1, catalogue, 5)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_very_hot_keys_are_dropped_before_the_shuffle(spark):
+    post = spark.createDataFrame([("US", "name_tokens", "hot", 900), ("US", "name_tokens", "warm", 60), ("US", "name_tokens", "cold", 3), ("FR", "address", "hot", 40)], "country string, strategy string, key string, df long")
+    listed = post.drop("df").crossJoin(spark.range(2).withColumnRenamed("id", "candidate_entity_id"))
+    caps = {"name_tokens": 50, "address": 30}
+    left = {(r["country"], r["key"]) for r in blocking.reachable(listed, post, caps).collect()}
+    assert left == {("US", "cold")}  # at this size every key beyond its cap holds a large share
+    assert blocking.reachable(listed, post.limit(0), caps).count() == listed.count()

@@ -116,3 +116,13 @@ def test_model_helpers(spark):
         assert model.importances(fitted, ["f"])[0][0] == "f"
         scored = model.score(rows, fitted).collect()
         assert min(r["score"] for r in scored if r["label"] == 1) > max(r["score"] for r in scored if r["label"] == 0)
+
+
+def test_of_repeated_rows_the_last_list_counts(spark, tmp_path):
+    head = "source1_entity_id\tmatched_entity_ids\n"
+    matched = put(tmp_path / "m.tsv", head + "S1-1\tS2-1\nS1-1\tS2-2\nS1-2\tS2-9\n")
+    listed = put(tmp_path / "c.tsv", "source1_entity_id\tcandidate_entity_ids\nS1-1\tS2-1,S2-2\nS1-2\tS2-9\nS1-2\tS2-8\n")
+    off = [r for r in validate(spark, matched, listed, ids(spark, "S1-1", "S1-2")).rows if r[1] == "matched_not_in_candidates"]
+    assert [r[3:] for r in off] == [(1, "S1-2")]
+    fine = put(tmp_path / "d.tsv", "source1_entity_id\tcandidate_entity_ids\nS1-1\tS2-1\nS1-1\tS2-2\nS1-2\tS2-9\n")
+    assert not [r for r in validate(spark, matched, fine, ids(spark, "S1-1", "S1-2")).rows if r[1] == "matched_not_in_candidates"]
