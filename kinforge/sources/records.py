@@ -101,7 +101,7 @@ DRESSED_NAMES = (
     "nan", "---", "{1} L. P. Tech {2}", "{1} Co. {2} GmbH & Co", "{1}@{2}.co.in", "Limited Liability Company {1} {2}", "{1} {2} Mfg. Svcs", "Inc.",
 )
 DRESSED_ADDRESSES = (
-    "{a} {5} {6} St., {7}, {z}", "Flat {a}, Bldg {b}, {5} Rd, {6} {z}", "H.No {a} s/o {5}, Nr {6}", "00{a} {5} Ave/{6}", "{5} {6} Dist, {z}", "", "N/A", "c/o {5}; b.h {6} {7} Apt {b}",
+    "{a} {5} {6} St., {7}, {z}", "Flat {a}, Bldg {b}, {5} Rd, {6} {z}", "H.No {a} s/o {5}, Nr {6}", "00{a} {5} Ave/{6}", "{5} {6} Dist, {z}", "", "N/A", "c.o {5}; b.h {6} {7} Apt {b}",
     "{5}'s {6} & {7}, {a}", "None", "{b}, {z}", "{z}", "{5} {6} {7} No {a}", "{a}-{b} {5} Blvd W, {6}", "{5} PO {z} {6} {7} {8}", "hno {a}\\{5}, {z} SE",
 )
 
