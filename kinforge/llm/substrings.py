@@ -193,13 +193,11 @@ def extended(key: np.ndarray, doc: np.ndarray, left: np.ndarray, right: np.ndarr
     """For each entry the windows that a smaller document has: bit l for the one
     that begins l words before the anchor.
 
-    data: the words of all entries; `reach`: words of a window beside the anchor.
+    data: the words of all entries, a space behind each; `reach`: words of a window beside the anchor.
     Entries of a key are extended together and split into classes of equal words."""
-    start, end, _ = words(data, np.array([0, len(data)]))
-    letters = pa.LargeBinaryArray.from_buffers(
-        pa.large_binary(), len(start), [None, pa.py_buffer(np.append(0, np.cumsum(end - start)).astype(np.int64)), pa.py_buffer(gather(data, start, end - start))]
-    )
-    code = letters.dictionary_encode().indices.to_numpy().astype(np.int64) if len(start) else np.zeros(0, np.int64)
+    ends = np.flatnonzero(data == 0x20) + 1  # each word with the space behind it
+    letters = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(np.append(0, ends)), pa.py_buffer(data)])
+    code = letters.dictionary_encode().indices.to_numpy().astype(np.int64) if len(ends) else np.zeros(0, np.int64)
     size = left + seed_words + right
     centre = np.cumsum(size) - size + left
 
@@ -265,6 +263,7 @@ def repeats(
     fair = min(MAX_BYTES, max(MIN_BYTES, math.isqrt(total << 11)))
     n_blocks = max(1, math.ceil(total / (block_bytes or fair)))
     n_buckets = max(1, math.ceil(total / 3 / (bucket_bytes or fair)))
+    n_wide = max(1, math.ceil(total / (bucket_bytes or fair)))  # words take more than anchors
     blocks = texts.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)))
 
     def runs_of(table: pa.Table) -> tuple[list[tuple], np.ndarray]:
@@ -311,7 +310,7 @@ def repeats(
     def around(key: tuple[pa.Scalar, ...], table: pa.Table, answers: pa.Table) -> pa.Table:
         _, x = placed(table, answers)
         block, rows = key[0].as_py(), []
-        for k, p, q in _bucket_cuts(x.key, n_buckets):
+        for k, p, q in _bucket_cuts(x.key, n_wide):
             mine = x.some[p:q]
             packed = planes(x.key[p:q]) + planes(x.least[p:q].astype(np.uint64)) + x.left[mine].astype(np.uint8).tobytes() + x.right[mine].astype(np.uint8).tobytes()
             rows.append((k, block, q - p, packed, gather(x.data, x.begin[mine], x.length[mine]).tobytes()))
