@@ -1,4 +1,4 @@
-"""Command line: python -m kinforge features|merge|train|infer|validate|split ..."""
+"""Command line: python -m kinforge features|merge|train|infer|report|validate|split ..."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from kinforge.operators import metrics, model, split
+from kinforge.operators.audit import Audit
 from kinforge.operators.validate import validate
 from kinforge.plans import linkage
 from kinforge.session import session
@@ -41,12 +42,18 @@ def parser() -> argparse.ArgumentParser:
     t.add_argument("--val-split", required=True)
     t.add_argument("--variant", choices=sorted(model.GBT_VARIANTS), default="production")
     t.add_argument("--ensemble", action="store_true")
+    t.add_argument("--early-stopping", action="store_true", help="validation rows decide when boosting stops")
     t.add_argument("--model-dir", required=True)
     i = sub.add_parser("infer", help="write both result files and check them")
     i.add_argument("--model-dir", required=True)
     i.add_argument("--test-dir", required=True)
     i.add_argument("--output-dir", required=True)
     i.add_argument("--candidate-cap", type=int)
+    r = sub.add_parser("report", help="write the blocking report")
+    r.add_argument("--data", default="dataset/train")
+    r.add_argument("--k", type=int, default=75)
+    r.add_argument("--per-country", type=int, help="only the first records of each country")
+    r.add_argument("--output", required=True)
     v = sub.add_parser("validate", help="check result files")
     v.add_argument("-m", "--matching", required=True)
     v.add_argument("-c", "--candidates")
@@ -68,7 +75,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         chosen = spark.read.parquet(args.val_split) if args.val_split else None
         which = {"ids": chosen} if args.split == "val" else {"exclude": chosen}
         rows = linkage.feature_table(inputs, args.k, num_entities=args.num_entities, countries=args.countries, seed=args.seed, **which)
-        rec.write_parquet(rows, args.output)
+        audit = Audit()
+        audit.written("features", lambda: rec.write_parquet(rows, args.output), lambda: rec.read_parquet(spark, args.output))
+        print(dict(zip(Audit.COLUMNS, audit.rows[0], strict=True)))
     elif args.command == "train":
         chosen = spark.read.parquet(args.val_split)
         learners = [model.Learner("gbt", dict(model.GBT_VARIANTS[args.variant]))]
@@ -77,7 +86,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         ids = chosen.select(F.col("source1_entity_id").alias("entity_id"))
         thresholds = metrics.grid(0.10, 0.90, 0.05) + metrics.grid(0.92, 0.995, 0.005)
         models, weights, row = linkage.fit_and_choose(
-            spark.read.parquet(args.train), spark.read.parquet(args.val), ids, rec.truth_pairs(chosen), learners, thresholds
+            spark.read.parquet(args.train), spark.read.parquet(args.val), ids, rec.truth_pairs(chosen), learners, thresholds, args.early_stopping
         )
         for k, one in enumerate(models):
             model.save(one, f"{args.model_dir}/model_{k}")
@@ -87,6 +96,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         report = linkage.infer(spark, linkage.load(spark, args.test_dir, "test", truth=False), args.model_dir, args.output_dir, args.candidate_cap)
         report.frame(spark).show(truncate=False)
         return report.exit_code
+    elif args.command == "report":
+        inputs = linkage.load(spark, args.data, "train")
+        linkage.write_report(spark, inputs, rec.truth_pairs(inputs.truth), args.output, args.k, first=args.per_country)
     elif args.command == "validate":
         required = rec.read_ids(spark, f"{args.test_dir}/test_source1.tsv")
         targets = None

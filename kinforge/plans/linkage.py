@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinforge.operators import blocking, features, metrics, model, split
+from kinforge.operators.audit import Audit
 from kinforge.operators.validate import Report, validate
+from kinforge.shared import checkpointed
 from kinforge.sources import records as rec
 
 
@@ -88,22 +90,30 @@ def feature_table(
     return features.pair_features(ranked, s1, inputs.catalogue, truth)
 
 
-def fit_and_choose(train_rows: DataFrame, val_rows: DataFrame, val_ids: DataFrame, truth: DataFrame, learners: list[model.Learner], thresholds: list[float]) -> tuple[list, list[float], dict]:
-    """Models, blend weights and the best threshold's row on validation records."""
-    models = [model.train(train_rows, one) for one in learners]
-    scored = val_rows
+def fit_and_choose(
+    train_rows: DataFrame, val_rows: DataFrame, val_ids: DataFrame, truth: DataFrame, learners: list[model.Learner], thresholds: list[float], early_stopping: bool = False
+) -> tuple[list, list[float], dict]:
+    """Models, blend weights and the best threshold's row (with the blend's name) on
+    validation records.  The validation rows are scored once, by all models, and
+    written; every blend is swept over that table.
+
+    early_stopping: validation rows decide when boosting stops."""
+    if early_stopping:
+        rows = train_rows.withColumn("held", F.lit(False)).unionByName(val_rows.withColumn("held", F.lit(True)), allowMissingColumns=True)
+        models = [model.train(rows, one, validation="held") if one.kind == "gbt" else model.train(train_rows, one) for one in learners]
+    else:
+        models = [model.train(train_rows, one) for one in learners]
     names = [f"score_{i}" for i in range(len(models))]
+    scored = val_rows
     for m, name in zip(models, names, strict=True):
         scored = model.score(scored, m, name)
-    choices = [[1.0]] if len(models) == 1 else [[1 / len(models)] * len(models)]
-    if len(models) == 3:
-        choices += [list(w) for w in model.weight_grid(step=0.1)]
+    scored = checkpointed(scored.select(*metrics.PAIR, *names))
     best: tuple[list[float], dict] | None = None
-    for weights in choices:
+    for choice, weights in model.blend_choices(len(models)):
         blended = model.blend(scored, names, weights).select(*metrics.PAIR, "score")
         row = metrics.best_threshold(metrics.threshold_sweep(val_ids, truth, blended, thresholds)).first().asDict()
         if best is None or row["macro_f05"] > best[1]["macro_f05"]:
-            best = (weights, row)
+            best = (list(weights), row | {"blend": choice})
     return models, best[0], best[1]
 
 
@@ -151,3 +161,24 @@ def blocking_report(inputs: Inputs, truth: DataFrame, k: int = 75, ks: tuple[int
         "strategy_recall": blocking.strategy_recall(found),
         "reduction": blocking.reduction(inputs.s1, inputs.catalogue, ranked),
     }
+
+
+def write_report(spark: SparkSession, inputs: Inputs, truth: DataFrame, path: str, k: int = 75, ks: tuple[int, ...] = (10, 20, 30, 40, 50, 75), first: int | None = None) -> str:
+    """The blocking report as a Markdown file: tables of `blocking_report`, then time,
+    rows a second and memory of each.  first: only so many records of each country."""
+    if first is not None:
+        chosen = split.first_per_country(inputs.s1.select(F.col("entity_id").alias("source1_entity_id"), "country"), first)
+        inputs = Inputs(split.only_ids(inputs.s1, chosen), inputs.s2, inputs.s3, inputs.truth, inputs.both)
+        truth = truth.join(chosen.select("source1_entity_id"), "source1_entity_id", "left_semi")
+    audit, text = Audit(), ["# Blocking report", ""]
+    for title, frame in blocking_report(inputs, truth, k, ks).items():
+        rows = audit.collected(title, frame.orderBy(*frame.columns))
+        text += [f"## {title.replace('_', ' ')}", "", *_markdown(frame.columns, rows), ""]
+    text += ["## Time and memory", "", *_markdown(Audit.COLUMNS, audit.rows), ""]
+    rec.write_text(spark, path, "\n".join(text))
+    return "\n".join(text)
+
+
+def _markdown(columns: list[str], rows: list[tuple]) -> list[str]:
+    shown = [[f"{v:.6g}" if isinstance(v, float) else str(v) for v in r] for r in rows]
+    return [f"| {' | '.join(columns)} |", f"|{' --- |' * len(columns)}", *(f"| {' | '.join(r)} |" for r in shown)]

@@ -1,6 +1,7 @@
 from kinforge.__main__ import main
 from kinforge.operators import model
 from kinforge.operators.validate import header_problem, validate
+from kinforge.plans import linkage
 from kinforge.sources import records as rec
 
 
@@ -101,12 +102,28 @@ def test_command_line_end_to_end(spark, tmp_path):
     assert run("features", "--split", "val", "--data", d, "--val-split", f"{d}/val", "--k", "5", "--output", f"{d}/f_val") == 0
     model.GBT_VARIANTS["tiny"] = {"maxIter": 2, "maxDepth": 2}
     assert run("train", "--train", f"{d}/f_train", "--val", f"{d}/f_val", "--val-split", f"{d}/val", "--variant", "tiny", "--model-dir", f"{d}/models") == 0
+    model.GBT_VARIANTS["tiny"]["maxIter"] = 4
+    assert run("train", "--train", f"{d}/f_train", "--val", f"{d}/f_val", "--val-split", f"{d}/val", "--variant", "tiny", "--early-stopping", "--model-dir", f"{d}/stopped") == 0
+    assert model.load(f"{d}/stopped/model_0").stages[-1].getNumTrees <= 4
+    assert run("report", "--data", d, "--per-country", "30", "--output", f"{d}/report.md") == 0
+    report = (tmp_path / "report.md").read_text()
+    assert "## strategy recall" in report and "| union |" in report and "rows_per_second" in report
     assert run("infer", "--model-dir", f"{d}/models", "--test-dir", d, "--output-dir", f"{d}/out", "--candidate-cap", "5") == 0
     assert run("validate", "-m", f"{d}/out/matching_results.tsv", "-c", f"{d}/out/candidate_pairs.tsv", "-t", d, "--check-ids") == 0
     lines = (tmp_path / "out" / "matching_results.tsv").read_text().splitlines()
     assert len(lines) == 61 and sum("S2-" in x for x in lines) > 30
 
 
+def test_blends_are_tried_over_scores_written_once(spark):
+    rows = [(f"S1-{i}", f"S2-{j}", float(i == j) * 0.7 + 0.1 * ((i * 7 + j) % 3), int(i == j)) for i in range(12) for j in range(12)]
+    df = spark.createDataFrame(rows, "source1_entity_id string, candidate_entity_id string, f double, label int")
+    learners = [model.Learner(kind, params, features=["f"]) for kind, params in (("gbt", {"maxIter": 2}), ("forest", {"numTrees": 2}), ("logistic", {}))]
+    truth = df.filter("label = 1").select("source1_entity_id", "candidate_entity_id")
+    models, weights, row = linkage.fit_and_choose(df, df, ids(spark, *(f"S1-{i}" for i in range(12))), truth, learners, [0.3, 0.6])
+    assert len(models) == 3 and row["macro_f05"] == 1.0 and row["blend"] == "equal" and sum(weights) == 1
+    assert len(model.blend_choices(3)) == len(model.BLENDS) + len(model.weight_grid()) and model.blend_choices(1) == [("single", (1.0,))]
+
+
 def test_model_helpers(spark):
     weights = model.weight_grid()
     assert (0.2, 0.2, 0.6) in weights and all(abs(sum(w) - 1) < 1e-6 and 0.15 <= w[2] <= 0.60 for w in weights)
