@@ -33,3 +33,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
     with the table where spark.cleaner.referenceTracking.cleanCheckpoints is set."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate table."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
