@@ -19,9 +19,9 @@ have equal anchors at equal places.
    smaller documents have.
 
 No pair of documents is ever written.  Equal surroundings are one entry for each
-block, however frequent; an anchor that lies in more than `hot_blocks` blocks is
-sent as single windows dealt by their own hash, so unlike surroundings of a very
-common phrase spread over all buckets.  Entries travel as packed columns; blocks
+block, however frequent; an anchor of more than `hot_places` places is sent as
+single windows dealt by their own hash, so unlike surroundings of a very common
+phrase spread over all buckets.  Entries travel as packed columns; blocks
 and buckets grow with the root of the measured input, up to `MAX_BYTES`.
 
 Defined cases: a null or empty text has no words; a null doc_id is larger than
@@ -49,8 +49,9 @@ from kinforge.llm.ragged import chunks, covered, gather, hash_slices, padded, wi
 MIN_WORDS, SEED_WORDS = 13, 5
 #: Text in a block, and three times what is in a bucket: at least and at most.
 MIN_BYTES, MAX_BYTES = 4 << 20, 64 << 20
-#: Blocks from which on an anchor is dealt by single windows.
-HOT_BLOCKS = 64
+#: Places of an anchor (a document in which it stands again counts once for each run) beyond
+#: which it is dealt by single windows.
+HOT_PLACES = 4096
 _NULL_ID = np.iinfo(np.int64).max
 
 SENT = "bucket long, block long, n long, packed binary, words binary"
@@ -224,14 +225,14 @@ def extended(key: np.ndarray, doc: np.ndarray, left: np.ndarray, right: np.ndarr
     return told
 
 
-def _least_by_key(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct keys with the smallest and largest value of each."""
+def _least_by_key(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys with the smallest and largest value of each, and their number."""
     if not len(key):
-        return key, value, value
+        return key, value, value, key
     order = np.argsort(key, kind="stable")
     key, value = key[order], value[order]
     head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    return key[head], np.minimum.reduceat(value, head), np.maximum.reduceat(value, head)
+    return key[head], np.minimum.reduceat(value, head), np.maximum.reduceat(value, head), np.diff(np.append(head, len(key))).astype(np.uint64)
 
 
 def repeats(
@@ -240,7 +241,7 @@ def repeats(
     seed_words: int = SEED_WORDS,
     block_bytes: int | None = None,
     bucket_bytes: int | None = None,
-    hot_blocks: int = HOT_BLOCKS,
+    hot_places: int = HOT_PLACES,
     id_col: str = "doc_id",
     text_col: str = "text",
     carry: tuple[str, ...] = (),
@@ -279,21 +280,21 @@ def repeats(
             new = np.flatnonzero(np.append(True, w.place[1:] != w.place[:-1])) if len(w.at) else w.at
             found.append(w.anchor[new])
             owner.append(doc[a + w.row[w.place[new]]])
-        anchor, least, most = _least_by_key(np.concatenate(found), np.concatenate(owner))
+        anchor, least, most, places = _least_by_key(np.concatenate(found), np.concatenate(owner))
         several = (least != most).astype(np.uint64)  # two documents of this block share it
         block = key[0].as_py()
-        return _rows(SENT, [(k, block, q - p, planes(anchor[p:q]) + planes(several[p:q]), b"") for k, p, q in _bucket_cuts(anchor, n_buckets)])
+        return _rows(SENT, [(k, block, q - p, planes(anchor[p:q]) + planes(several[p:q]) + planes(places[p:q]), b"") for k, p, q in _bucket_cuts(anchor, n_buckets)])
 
     def shared(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        anchor, several, source = _unpacked(table, 2)
+        anchor, several, places, source = _unpacked(table, 3)
         order = np.argsort(anchor, kind="stable")
-        anchor, several, source = anchor[order], several[order], source[order]
+        anchor, several, places, source = anchor[order], several[order], places[order], source[order]
         if not len(anchor):
             return _rows(ANSWER, [])
         head = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
         size = np.diff(np.append(head, len(anchor)))
         keep = np.repeat((size > 1) | (np.add.reduceat(several, head) > 0), size)
-        hot = np.repeat(size > hot_blocks, size)[keep].astype(np.uint64)
+        hot = np.repeat(np.add.reduceat(places, head) > hot_places, size)[keep].astype(np.uint64)
         anchor, source = anchor[keep], source[keep]
         order = np.argsort(source, kind="stable")
         anchor, hot, source = anchor[order], hot[order], source[order]

@@ -49,7 +49,7 @@ def test_small_blocks_and_buckets(spark):
     assert digest(substrings.repeats(df, min_words=5, seed_words=5, block_bytes=2000)) == brute_repeats(rows, 5)
 
 
-@pytest.mark.parametrize("how", [{"seed_bits": 1}, {"seed_bits": 5}, {"hot_blocks": 0}, {"hot_blocks": 3}, {"hot_blocks": 2, "seed_bits": 3}])
+@pytest.mark.parametrize("how", [{"seed_bits": 1}, {"seed_bits": 5}, {"hot_places": 0}, {"hot_places": 6}, {"hot_places": 4, "seed_bits": 3}])
 def test_unlike_seeds_that_meet_and_hot_anchors(spark, how):
     """Forced collisions of the seeds' hashes, and anchors dealt by single windows."""
     rng = random.Random(11)
