@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kinforge.shared import checkpointed, new_folder, remove, shared_folder  # noqa: F401  (for the operators)
+
 #: The tokenizer of operators 1 and 3, a file of the installed vocabulary package.
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -28,27 +29,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's folder in spark.checkpoint.dir, which all machines share; only
-    where that is unset and there is one machine (tests) a temporary one is set."""
-    context = spark.sparkContext
-    if folder := context.getConf().get("spark.checkpoint.dir"):
-        if context._jsc.sc().getCheckpointDir().isEmpty():
-            context.setCheckpointDir(folder)
-        return folder
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` written to the shared folder, its lineage cut."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def two_columns(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the id and the text, so that no other column's name can clash."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
