@@ -7,13 +7,12 @@ the cluster shares and read again, so a lost executor costs one stage at most.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from kinforge.llm import packing, quality, similar, substrings, toxicity
-from kinforge.llm.frames import shared_folder, table
+from kinforge.llm.frames import new_folder, remove, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -56,10 +55,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`."""
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    """All stages over `documents`.  A stage's table goes once the next one is written."""
+    folder = new_folder(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            remove(spark, f"{folder}/{k - 1}")
     return docs
