@@ -9,10 +9,10 @@ that reach the guaranteed five shared bytes are kept, and the differing bits of
 these are counted.
 
 A list of one position and one byte value would hold a 256th of all
-fingerprints, so a key joins the bytes of three positions of one half of the
-fingerprint: of any five equal positions three lie in one half, so the eight
-keys of that kind miss no pair.  From `WIDE` distinct fingerprints on a key
-joins five positions (56 keys); the result is the same.
+fingerprints, so a key joins the bytes of four positions: the fourteen blocks of
+the quadruple system over eight points, of which any five positions hold one
+whole, so no pair is missed.  A list then has about one fingerprint for every
+four billion; `positions` makes the keys shorter, the result is the same.
 
 Copies share one posting (fingerprints are made distinct before the index).  A
 list beyond `block` entries is split into blocks and each pair of blocks is
@@ -29,7 +29,7 @@ no rows; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -45,8 +45,6 @@ from kinforge.llm.ragged import chunks, gather, words
 from kinforge.operators.joins import split_join
 
 SHINGLE, SEED, MAX_BITS, MIN_BYTES = 3, 42, 3, 5
-#: Distinct fingerprints from which keys join five positions: lists of three would reach some 64 entries.
-WIDE = 1 << 30
 #: Pairs tallied at once within a task.
 PAIRS = 1 << 21
 FINGERPRINTS = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "mark", "fp")])
@@ -101,22 +99,35 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_texts(marked(docs, id_col, text_col), rows, FINGERPRINTS)
 
 
+def quadruples() -> list[tuple[int, ...]]:
+    """Sets of four of eight points of which any five points hold one whole.
+
+    Five points have all of one half, or two of a pair's kind in each: a triple of
+    a half holds a pair of every matching of that half, so matchings of both
+    halves are joined pair by pair."""
+    matchings = [((0, 1), (2, 3)), ((0, 2), (1, 3)), ((0, 3), (1, 2))]
+    crossed = [(*p, *(4 + x for x in q)) for m in matchings for p in m for q in m]
+    return [(0, 1, 2, 3), (4, 5, 6, 7), *crossed]
+
+
 def position_sets(positions: int) -> list[tuple[int, ...]]:
     """Sets of byte positions of which any five positions hold one whole."""
     if positions == 2:
         return [(0, 1), (2, 3), (4, 5), (6, 7)]
     if positions == 3:
         return [*combinations(range(4), 3), *combinations(range(4, 8), 3)]
+    if positions == 4:
+        return quadruples()
     if positions == MIN_BYTES:
         return list(combinations(range(8), MIN_BYTES))
-    raise ValueError("positions must be 2, 3 or 5")
+    raise ValueError("positions must be 2, 3, 4 or 5")
 
 
 def _mask(positions: tuple[int, ...]) -> int:
     return int.from_bytes(bytes(255 if i in positions else 0 for i in range(8)), "little", signed=True)
 
 
-def _pairs(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def pairs(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Every pair (i, j), i < j, of places with equal values of `code`."""
     order = np.argsort(code, kind="stable")
     value = code[order]
@@ -128,6 +139,13 @@ def _pairs(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[later - before[later] + step], order[later]
 
 
+def two_sided(owner: np.ndarray, side: np.ndarray, n: int) -> np.ndarray:
+    """Which of n lists have entries of two blocks."""
+    out = np.zeros(n, bool)
+    out[owner[side != side[np.searchsorted(owner, owner)]]] = True
+    return out
+
+
 def tallied(fp: np.ndarray, owner: np.ndarray, side: np.ndarray, held: np.ndarray, max_bits: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (i, j) of near fingerprints in the same list.
 
@@ -138,14 +156,13 @@ def tallied(fp: np.ndarray, owner: np.ndarray, side: np.ndarray, held: np.ndarra
     n = len(fp)
     octets = fp.astype("<u8").view(np.uint8).reshape(-1, 8)
     need = MIN_BYTES - held.sum(axis=1)
-    split = np.zeros(len(held), bool)
-    split[owner[side != side[np.searchsorted(owner, owner)]]] = True
+    split = two_sided(owner, side, len(held))
     met = []
     free = np.flatnonzero(need[owner] <= 0)  # the key alone proves enough
     for position in (-1, *range(8)):
         here = free if position < 0 else np.flatnonzero((need[owner] > 0) & ~held[owner, position])
         value = owner[here] if position < 0 else owner[here] * 256 + octets[here, position]
-        i, j = (here[x] for x in _pairs(value))
+        i, j = (here[x] for x in pairs(value))
         across = ~split[owner[i]] | (side[i] != side[j])
         met.append(np.minimum(i, j)[across] * n + np.maximum(i, j)[across])
     pair, tally = np.unique(np.concatenate(met), return_counts=True)
@@ -156,24 +173,12 @@ def tallied(fp: np.ndarray, owner: np.ndarray, side: np.ndarray, held: np.ndarra
     return i[near], j[near]
 
 
-def compared(fp: np.ndarray, owner: np.ndarray, side: np.ndarray, held: np.ndarray | None, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of near fingerprints in the same list; without `held` few units need be
-    equal, so their tally would rule out little and bits are counted at once."""
-    if held is not None:
-        return tallied(fp, owner, side, held, max_bits)
-    i, j = _pairs(owner)
-    split = np.zeros(int(owner.max(initial=-1)) + 1, bool)
-    split[owner[side != side[np.searchsorted(owner, owner)]]] = True
-    good = (np.bitwise_count(fp[i] ^ fp[j]) <= max_bits) & (~split[owner[i]] | (side[i] != side[j]))
-    return i[good], j[good]
-
-
-def to_smallest(fp: np.ndarray, owner: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links (u, v) from each fingerprint to the smallest one of its list that it
-    reaches over the pairs (i, j) of places."""
-    order = np.lexsort((fp, owner))
+def to_smallest(node: np.ndarray, owner: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (u, v) from each node to the smallest one of its list that it reaches
+    over the pairs (i, j) of places."""
+    order = np.lexsort((node, owner))
     rank = np.empty_like(order)
-    rank[order] = np.arange(len(fp))
+    rank[order] = np.arange(len(node))
     label = rank.copy()  # the smallest rank reached so far
     while len(i):  # smallest label over links, with jumps
         low = np.minimum(label[i], label[j])
@@ -185,61 +190,65 @@ def to_smallest(fp: np.ndarray, owner: np.ndarray, i: np.ndarray, j: np.ndarray)
             break
         label = new
     moved = label != rank
-    return fp[moved], fp[order[label[moved]]]
+    return node[moved], node[order[label[moved]]]
+
 
+#: (fingerprints (entry, print), list of each entry, block within it, key of each list) -> near pairs (i, j)
+Near = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
-def links(distinct: DataFrame, positions: int = 3, block: int = 1024, masks: list[int] | None = None, max_bits: int = MAX_BITS) -> DataFrame:
-    """Links (u, v) between distinct fingerprints `fp`, enough to join all that are near.
 
-    `masks`, if given, are the bits of each posting key instead of those of
-    `positions`; two fingerprints of `max_bits` differing bits must agree on one."""
-    held = None if masks else np.array([[p in s for p in range(8)] for s in position_sets(positions)])
-    masks = masks or [_mask(s) for s in position_sets(positions)]
-    posted = F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(masks)])
-    postings = distinct.select("fp", F.explode(posted).alias("p")).select("p.k", "p.key", "fp")
+def listed_links(postings: DataFrame, near: Near, n_prints: int, block: int = 1024) -> DataFrame:
+    """Links (u, v) between the nodes of `postings` (k, key, node, fps), enough to
+    join all that some list shows to be near."""
     sizes = postings.groupBy("k", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = split_join(postings, sizes, ["k", "key"])
     n_blocks = F.ceil(F.col("n") / F.lit(block))
-    dealt = shared.withColumn("n_blocks", n_blocks).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("n_blocks")))
+    dealt = shared.withColumn("n_blocks", n_blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("n_blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)))
     task = [F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")]
-    lists = dealt.select("k", "key", *task, F.struct(F.col("own"), F.col("fp")).alias("entry"))
+    lists = dealt.select("k", "key", *task, F.struct("own", "node", *(F.col("fps")[p].alias(f"fp{p}") for p in range(n_prints))).alias("entry"))
     lists = lists.groupBy("k", "key", "low", "high").agg(F.collect_list("entry").alias("entries")).select("k", "entries")
 
     def found(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             k, entries = batch.column(0).to_numpy(), batch.column(1)
             at = entries.offsets.to_numpy().astype(np.int64)
-            side, fp = entries.values.field(0).to_numpy(), entries.values.field(1).to_numpy().view(np.uint64)
+            side, node = entries.values.field(0).to_numpy(), entries.values.field(1).to_numpy()
+            fps = np.stack([entries.values.field(2 + p).to_numpy().view(np.uint64) for p in range(n_prints)], axis=1)
             size = np.diff(at)
             work = np.cumsum(size * size)
             a, us, vs = 0, [], []
-            while a < len(size):  # lists whose pairs are tallied together
+            while a < len(size):  # lists whose pairs are looked at together
                 b = max(a + 1, int(np.searchsorted(work, (work[a - 1] if a else 0) + PAIRS, side="right")))
                 mine = slice(at[a], at[b])
                 owner = np.repeat(np.arange(b - a), size[a:b])
-                i, j = compared(fp[mine], owner, side[mine], None if held is None else held[k[a:b]], max_bits)
-                u, v = to_smallest(fp[mine], owner, i, j)
+                u, v = to_smallest(node[mine], owner, *near(fps[mine], owner, side[mine], k[a:b]))
                 us.append(u)
                 vs.append(v)
                 a = b
-            u, v = (np.concatenate([fp[:0], *x]).view(np.int64) for x in (us, vs))
+            u, v = (np.concatenate([node[:0], *x]) for x in (us, vs))
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=LINKS.names)
 
     return lists.mapInArrow(found, LINKS)
 
 
-def _classes(docs: DataFrame, positions: int | None, block: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+def links(distinct: DataFrame, positions: int = 4, block: int = 1024) -> DataFrame:
+    """Links (u, v) between distinct fingerprints `fp`, enough to join all that differ in at most three bits."""
+    held = np.array([[p in s for p in range(8)] for s in position_sets(positions)])
+    posted = F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(_mask(s))).alias("key")) for k, s in enumerate(position_sets(positions))])
+    postings = distinct.select("fp", F.explode(posted).alias("p")).select("p.k", "p.key", F.col("fp").alias("node"), F.array("fp").alias("fps"))
+    return listed_links(postings, lambda fps, owner, side, k: tallied(fps[:, 0], owner, side, held[k]), 1, block)
+
+
+def _classes(docs: DataFrame, positions: int, block: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """The fingerprint of every row, and (fp, root, least, first) of every distinct one."""
     prints = checkpointed(fingerprints(docs, id_col, text_col))
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(by_first()).alias("first"))
-    if positions is None:
-        positions = 3 if prints.select("fp").distinct().count() < WIDE else MIN_BYTES
     roots = components(links(distinct.select("fp"), positions, block))
     return prints, distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
-def near_duplicates(docs: DataFrame, positions: int | None = None, block: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, positions: int = 4, block: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) for every row; component_id is the smallest
     doc_id reachable over fingerprints that differ in at most three bits."""
     prints, classes = _classes(docs, positions, block, id_col, text_col)
@@ -248,7 +257,7 @@ def near_duplicates(docs: DataFrame, positions: int | None = None, block: int =
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, positions: int | None = None, block: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, positions: int = 4, block: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The first row of each component (see `firsts`), with the same columns."""
     _, classes = _classes(docs, positions, block, id_col, text_col)
     return firsts(docs, classes.groupBy("root").agg(F.min("first").alias("first")), id_col, text_col)

@@ -3,14 +3,17 @@
 Two texts are linked when their sets of five-word shingles have a Jaccard
 similarity of 0.8 or more.  Candidates come from SimHash fingerprints: each text
 has `PRINTS` independent ones over its two-word shingles (those of texts that
-share 80 % of their five-word shingles lie nearer together than five-word ones),
-and texts with fingerprints that differ in at most seven bits, or that such
-links join, form a candidate group.  Within a group all pairs are compared, so
-a link does not hang on the order or on the fingerprint's distance.
+share 80 % of their five-word shingles lie nearer together than five-word ones).
+Texts are candidates when one of their fingerprints differs in at most seven
+bits and none in more than `MAX_OTHER`; what such links join is a candidate
+group.  Within a group all pairs are compared, so a link does not hang on the
+order or on the fingerprint's distance.
 
 With seven differing bits at least nine of the sixteen half bytes are equal, so
-of the four quarters of a fingerprint one has three equal half bytes: sixteen
-keys of twelve bits miss no pair.
+one half of a fingerprint has five equal half bytes of eight, and these hold one
+of fourteen quadruples whole: twenty-eight keys of sixteen bits miss no pair.
+(Keys do not grow beyond that, so the lists of a corpus of billions of unlike
+texts take work that grows faster than it; README has figures.)
 
 Texts with equal shingle sets are one node (`same`, a hash of the set).  Groups
 beyond `block` sets or `block_shingles` shingles are split and each pair of
@@ -24,8 +27,6 @@ of the smallest hash of the text.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -36,23 +37,53 @@ from pyspark.sql import functions as F
 from kinforge.llm.components import components
 from kinforge.llm.frames import checkpointed, map_texts, marked
 from kinforge.llm.ragged import chunks, words
-from kinforge.llm.simhash import LINKS, SEED, by_first, firsts, links
+from kinforge.llm.simhash import LINKS, SEED, by_first, firsts, listed_links, pairs, quadruples, two_sided
 from kinforge.operators.joins import split_join
 
-SHINGLE, CANDIDATE_SHINGLE, PRINTS, MAX_BITS = 5, 2, 3, 7
+SHINGLE, CANDIDATE_SHINGLE, PRINTS, MAX_BITS, MAX_OTHER = 5, 2, 3, 7, 18
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 19
+#: Lists up to this size are looked at together.
+SMALL_LIST = 32
 #: Odd multipliers: one for each word of a shingle, one for each fingerprint.
 _WORD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 _PRINT = np.array([0xC4CEB9FE1A85EC53, 0x94D049BB133111EB, 0xBF58476D1CE4E5B9], np.uint64)
 
 
 def _masks() -> list[int]:
-    """Three of the four half bytes of each quarter of a fingerprint."""
-    quarters = [range(a, a + 4) for a in range(0, 16, 4)]
-    raw = [sum(15 << 4 * i for i in three) for quarter in quarters for three in combinations(quarter, 3)]
+    """Four of the eight half bytes of each half of a fingerprint."""
+    raw = [sum(15 << 4 * (8 * half + i) for i in four) for half in (0, 1) for four in quadruples()]
     return [m - (1 << 64) if m >> 63 else m for m in raw]
 
 
+def near_prints(fps: np.ndarray, owner: np.ndarray, side: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs (i, j) within each list: few half bytes need be equal, so their
+    tally would rule out little and bits are counted at once.  Of a list with two
+    blocks only pairs across them count."""
+    per_print, several = len(_masks()), two_sided(owner, side, len(k))
+    at = np.searchsorted(owner, np.arange(len(k) + 1))
+    out_i, out_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    small = np.diff(at)[owner] <= SMALL_LIST
+    place = np.flatnonzero(small)
+    i, j = (place[x] for x in pairs(owner[place]))
+    tasks = [(i, j)]
+    for x in np.flatnonzero(np.diff(at) > SMALL_LIST):
+        here = np.arange(at[x], at[x + 1])
+        for a in range(0, len(here), 128):
+            strip = here[a : a + 128]
+            near = np.bitwise_count(fps[strip, k[x] // per_print][:, None] ^ fps[here, k[x] // per_print][None, :]) <= MAX_BITS
+            p, q = np.nonzero(near & (strip[:, None] < here[None, :]))
+            tasks.append((strip[p], here[q]))
+    for i, j in tasks:
+        if not len(i):
+            continue
+        split = several[owner[i]]
+        bits = np.bitwise_count(fps[i] ^ fps[j])
+        good = (bits[np.arange(len(i)), k[owner[i]] // per_print] <= MAX_BITS) & (bits.max(axis=1) <= MAX_OTHER) & (~split | (side[i] != side[j]))
+        out_i.append(i[good])
+        out_j.append(j[good])
+    return np.concatenate(out_i), np.concatenate(out_j)
+
+
 def _mixed(h: np.ndarray, by: np.uint64) -> np.ndarray:
     h = (h ^ (h >> np.uint64(32))) * by
     h = (h ^ (h >> np.uint64(29))) * _WORD[3]
@@ -182,13 +213,14 @@ def alike(same: np.ndarray, flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarra
 def _classes(docs: DataFrame, block: int, block_shingles: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """The signature of every row, and (same, root, least, first) of every distinct shingle set."""
     signed = checkpointed(signatures(docs, id_col, text_col))
-    near = [links(signed.select(F.col("fps")[p].alias("fp")).distinct(), masks=_masks(), max_bits=MAX_BITS) for p in range(PRINTS)]
-    roots = components(reduce(DataFrame.unionByName, near)).withColumnRenamed("node", "fp")
-    posted = signed.select("same", "size", F.explode("fps").alias("fp")).distinct()
-    coarse = posted.join(roots, "fp", "left").select(F.coalesce("root", "fp").alias("group"), "same", "size").distinct()
-    groups = coarse.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"), F.bit_xor("same").alias("sign")).filter("n > 1")
-    # the fingerprints mostly find the same groups again
-    groups = groups.groupBy("n", "sign").agg(F.min("group").alias("group"), F.max("total").alias("total")).select("group", "n", "total")
+    # texts with equal fingerprints are one node
+    nodes = signed.select(F.xxhash64("fps").alias("node"), "fps").distinct()
+    posted = [F.struct(F.lit(p * len(_masks()) + k).alias("k"), F.col("fps")[p].bitwiseAND(F.lit(m)).alias("key")) for p in range(PRINTS) for k, m in enumerate(_masks())]
+    postings = nodes.select("node", "fps", F.explode(F.array(*posted)).alias("p")).select("p.k", "p.key", "node", "fps")
+    roots = components(listed_links(postings, near_prints, PRINTS))
+    coarse = signed.select(F.xxhash64("fps").alias("node"), "same", "size").distinct()
+    coarse = coarse.join(roots, "node", "left").select(F.coalesce("root", "node").alias("group"), "same", "size").distinct()
+    groups = coarse.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total")).filter("n > 1")
     members = checkpointed(split_join(coarse.select("group", "same"), groups, ["group"]))
     least = signed.groupBy("same").agg(F.min("doc_id").alias("least"), F.min(by_first()).alias("first"))
     chosen = least.join(members.select("same").distinct(), "same", "left_semi").select(F.coalesce("first.doc_id", F.lit(0).cast("long")).alias("number"), "first.mark")

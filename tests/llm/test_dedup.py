@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 
 import numpy as np
@@ -127,7 +128,7 @@ def test_near_dedup_query(spark, sf, doc_rows):
     assert got == want and any(i != c for i, _, c in want)
 
 
-@pytest.mark.parametrize("positions, block", [(3, 1024), (3, 4), (2, 16), (5, 1024)])
+@pytest.mark.parametrize("positions, block", [(4, 1024), (4, 4), (3, 1024), (3, 4), (2, 16), (5, 1024)])
 def test_links_join_all_near_fingerprints(spark, positions, block):
     rng = random.Random(positions * 100 + block)
     centres = [rng.getrandbits(64) for _ in range(6)] + [0, (1 << 64) - 1]
@@ -209,9 +210,16 @@ def test_random_rows_with_repeated_and_null_ids(spark, seed):
     assert_kept([tuple(r) for r in simhash.one_of_each(df).collect()], kept_of(rows, fingerprint_classes(rows)))
 
 
+def test_any_five_of_eight_hold_a_key():
+    for positions in (2, 3, 4, 5):
+        keys = list(map(set, simhash.position_sets(positions)))
+        assert all(any(k <= set(five) for k in keys) for five in itertools.combinations(range(8), 5))
+    assert len(simhash.quadruples()) == 14
+
+
 def test_tally_finds_the_near_pairs_of_each_list():
     rng = np.random.default_rng(7)
-    for positions in (2, 3, 5):
+    for positions in (2, 3, 4, 5):
         sets = simhash.position_sets(positions)
         held, fp, owner, side = [], [], [], []
         for k in range(60):
