@@ -145,23 +145,30 @@ def _completed(ids: DataFrame, lists: DataFrame) -> DataFrame:
     return wanted.join(lists, "source1_entity_id", "left").withColumn(column, F.coalesce(column, F.lit("")))
 
 
+def write_id_parts(lists: DataFrame, path: str, sort: bool = True) -> None:
+    """A folder of tab-separated parts without header, in order of the id: for lists
+    that are too large for one file."""
+    first, second = lists.columns[:2]
+    rows = lists.orderBy(first) if sort else lists
+    rows.select(F.concat_ws("\t", first, F.coalesce(second, F.lit(""))).alias("value")).write.text(path)
+
+
 def write_id_lists(lists: DataFrame, path: str, sort: bool = True) -> None:
     """One tab-separated file with a header at `path`, sorted by id.
 
     The rows are sorted in many tasks and written as text parts in order; the
-    parts are then joined to one file by copying bytes through the file system."""
+    parts are then joined to one file by copying bytes through the file system
+    (and this machine: see `write_id_parts`)."""
     spark = lists.sparkSession
     jvm = spark.sparkContext._jvm
     make = jvm.org.apache.hadoop.fs.Path
     target = make(path)
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     parts = f"{path}.parts-{uuid.uuid4().hex}"
-    first, second = lists.columns[:2]
-    rows = lists.orderBy(first) if sort else lists
-    rows.select(F.concat_ws("\t", first, F.coalesce(second, F.lit(""))).alias("value")).write.text(parts)
+    write_id_parts(lists, parts, sort)
     out = fs.create(target, True)
     try:
-        out.write(bytearray(f"{first}\t{second}\n", "utf-8"))
+        out.write(bytearray("\t".join(lists.columns[:2]) + "\n", "utf-8"))
         names = sorted(s.getPath().toString() for s in fs.listStatus(make(parts)) if s.getPath().getName().startswith("part-"))
         for name in names:
             part = fs.open(make(name))

@@ -124,6 +124,18 @@ def test_blends_are_tried_over_scores_written_once(spark):
     assert len(model.blend_choices(3)) == len(model.BLENDS) + len(model.weight_grid()) and model.blend_choices(1) == [("single", (1.0,))]
 
 
+def test_out_of_fold_scores_do_not_know_their_record(spark):
+    """A record's scores stay when its own labels are turned round; others' change."""
+    rows = [(f"S1-{i}", f"S2-{j}", float(i * 10 + j), int((i * 7 + j) % 3 == 0)) for i in range(18) for j in range(6)]
+    schema = "source1_entity_id string, candidate_entity_id string, f double, label int"
+    learner = model.Learner("gbt", {"maxIter": 3, "maxDepth": 3}, features=["f"])
+    turned = [(s, c, f, 1 - y if s == "S1-4" else y) for s, c, f, y in rows]
+    scores = [{(r[0], r[1]): r["score"] for r in model.out_of_fold(spark.createDataFrame(x, schema), learner).collect()} for x in (rows, turned)]
+    assert len(scores[0]) == len(rows)
+    assert all(scores[0][k] == scores[1][k] for k in scores[0] if k[0] == "S1-4")
+    assert any(scores[0][k] != scores[1][k] for k in scores[0] if k[0] != "S1-4")
+
+
 def test_model_helpers(spark):
     weights = model.weight_grid()
     assert (0.2, 0.2, 0.6) in weights and all(abs(sum(w) - 1) < 1e-6 and 0.15 <= w[2] <= 0.60 for w in weights)

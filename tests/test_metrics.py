@@ -37,12 +37,13 @@ def test_empty(spark, case):
     assert row["macro_f05"] == 1 and row["n_singletons"] == 4 and row["non_singleton_f05"] == 0
 
 
-def test_ranking_quality(spark):
-    rows = [(0.9, 1), (0.8, 0), (0.8, 1), (0.3, 0), (0.1, 1)]
-    got = metrics.ranking_quality(spark.createDataFrame(rows, "score double, label int")).first()
+@pytest.mark.parametrize("digits", [0, 1, 6])
+def test_ranking_quality(spark, digits):
+    rows = [(0.9, 1), (0.8, 0), (0.8, 1), (0.3, 0), (0.1, 1), (0.80000001, 0), (0.79999999, 1)]
+    got = metrics.ranking_quality(spark.createDataFrame(rows, "score double, label int"), digits).first()
     pairs = [(a, b) for a, x in rows for b, y in rows if x == 1 and y == 0]
     assert got["roc_auc"] == pytest.approx(sum(1.0 if a > b else 0.5 if a == b else 0 for a, b in pairs) / len(pairs))
-    assert got["average_precision"] == pytest.approx((1 / 1 + 2 / 3 + 3 / 5) / 3)
+    assert got["average_precision"] == pytest.approx((1 / 1 + 2 / 4 + 3 / 5 + 4 / 7) / 4)
 
 
 def test_split(spark):
