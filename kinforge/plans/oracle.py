@@ -506,6 +506,23 @@ SQL: dict[str, str] = {
         f"F AS (SELECT {ALL_FEATURES}, {LABEL} FROM La),",
     ),
     "matched_not_candidates": sql("SELECT s1 AS s1, count(*) AS missing FROM T WHERE NOT EXISTS (SELECT 1 FROM P WHERE P.s1 = T.s1 AND P.cand = T.cand AND P.rnk <= 1) GROUP BY s1", *BLOCK),
+    "validate_lists": sql(
+        """SELECT "check", count(*) AS n, array_to_string(list_sort(list(x))[1:5], ', ') AS examples FROM B GROUP BY 1""",
+        RECORDS,
+        """
+Y AS (SELECT r.entity_id AS s1, r.doc_id, r.doc_id // 20 % 16 AS turn, coalesce(string_agg(T.cand, ',' ORDER BY T.cand), '') AS own FROM R r LEFT JOIN T ON T.s1 = r.entity_id WHERE r.src = 1 GROUP BY ALL),
+Z AS (SELECT turn, CASE WHEN turn = 7 THEN 'S1-extra' || doc_id ELSE s1 END AS s1, s1 AS whole,
+        CASE turn WHEN 2 THEN s1 || CASE WHEN own = '' THEN '' ELSE ',' || own END WHEN 3 THEN 'S2-none' || doc_id WHEN 4 THEN 'X-' || doc_id WHEN 5 THEN 'S3-none,S3-none' ELSE own END AS ids FROM Y WHERE turn <> 0),
+B AS (SELECT 'malformed_row' AS "check", 'no tab ' || whole AS x FROM Z WHERE turn = 6
+  UNION ALL SELECT 'duplicate_row', s1 FROM Z WHERE turn = 1
+  UNION ALL SELECT 'duplicate_in_list', s1 FROM Z WHERE turn = 5
+  UNION ALL SELECT 'self_match', whole FROM Z WHERE turn = 2
+  UNION ALL SELECT 'wrong_prefix', ids FROM Z WHERE turn = 4
+  UNION ALL SELECT DISTINCT 'unknown_id', CASE WHEN turn = 5 THEN 'S3-none' ELSE ids END FROM Z WHERE turn IN (3, 5)
+  UNION ALL SELECT 'missing_row', s1 FROM Y WHERE turn IN (0, 6, 7)
+  UNION ALL SELECT 'extra_row', s1 FROM Z WHERE turn = 7),
+""",
+    ),
     "dressed_records": sql("SELECT entity_id, business_name, business_address, country FROM R", DRESSED),
     "dressed_normalized": sql(NORMALIZED, DRESSED, NORM),
     "dressed_keys": sql("SELECT entity_id, strategy, key, CAST(pos AS BIGINT) AS pos FROM K", DRESSED, KEYS),

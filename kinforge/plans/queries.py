@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinforge.functions import keys, rules, text
@@ -395,6 +395,29 @@ def validate_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.list_findings(rows, required, targets)
 
 
+def validate_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every rule over the true lists of all records, some broken by a rule on their number."""
+    inputs, truth = _sides(spark, sf_dir)
+    number = F.substring_index("source1_entity_id", "-", -1).cast("long")
+    turn, s1, own = F.floor(number / 20) % 16, F.col("source1_entity_id"), F.col("matched_entity_ids")
+
+    def line(first: Column, ids: Column) -> Column:
+        return F.struct(first.alias("first"), ids.alias("ids"))
+
+    made = (
+        F.when(turn == 1, F.array(line(s1, own), line(s1, own)))
+        .when(turn == 2, F.array(line(s1, F.concat_ws(",", s1, F.when(own != "", own)))))
+        .when(turn == 3, F.array(line(s1, F.concat(F.lit("S2-none"), number))))
+        .when(turn == 4, F.array(line(s1, F.concat(F.lit("X-"), number))))
+        .when(turn == 5, F.array(line(s1, F.lit("S3-none,S3-none"))))
+        .when(turn == 7, F.array(line(F.concat(F.lit("S1-extra"), number), own)))
+        .otherwise(F.array(line(s1, own)))
+    )
+    rows = rec.matched_lists(inputs.s1, truth).filter(turn != 0).select(turn.alias("turn"), F.explode(made).alias("r"))
+    value = F.when(F.col("turn") == 6, F.concat(F.lit("no tab "), F.col("r.first"))).otherwise(F.concat_ws("\t", "r.first", "r.ids"))
+    return validate.list_findings(validate.parsed(rows.select(value.alias("value"))), inputs.s1, inputs.catalogue)
+
+
 def matched_not_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """True pairs that are not their record's best candidate, by the validator's subset check over whole lists."""
     inputs, truth = _sides(spark, sf_dir)
@@ -427,7 +450,7 @@ QUERIES: dict[str, Query] = {
         ground_truth_pairs, truth_classes, first_per_country, match_count_buckets, match_distribution, stratum_shares, stratified_split, uniform_sample, semi_join_val, anti_join_train,
         union_catalogues, normalize_names, normalize_addresses, normalized_records, posting_df, posting_idf, hot_keys, dressed_records, dressed_normalized, dressed_keys, dressed_blocking, dressed_features, stream_probe, strategy_recall,
         recall_at_k, recall_at_k_by_bucket, recall_at_k_by_country, reduction_ratio, pair_features_full, clipped_features, label_balance, feature_label_corr, feature_audit,
-        entity_f05, macro_metrics, best_threshold, ranking_quality, blend_scores, match_lists, candidate_lists, validate_results, matched_not_candidates,
+        entity_f05, macro_metrics, best_threshold, ranking_quality, blend_scores, match_lists, candidate_lists, validate_results, validate_lists, matched_not_candidates,
         gbt_score, gbt_cv_auc,
     )
 } | {
