@@ -3,7 +3,7 @@
 Texts are cut into *units* at single spaces that stand between two visible
 characters.  No token of the byte-level pre-tokeniser crosses such a space, so
 a unit (with the space before it) is encoded once and kept.  Units are found by
-hash in a table; those met for the first time are cut into words and all their
+hash in a table and compared byte by byte; those met for the first time are cut into words and all their
 words are merged together: the symbols of many words lie in one flat array and
 each round finds the rank of every neighbouring pair by binary search over the
 sorted pair keys and merges the lowest-ranked pair of every word.
@@ -207,6 +207,9 @@ class Encoder:
         self.start = np.zeros(1 << 16, np.int64)
         self.length = np.zeros(1 << 16, np.int64)
         self.ids = np.zeros(1 << 19, np.uint16 if self.vocabulary.width <= 65536 else np.int32)
+        self.size = np.zeros(1 << 16, np.int64)  # bytes of each unit, and where they are
+        self.place = np.zeros(1 << 16, np.int64)
+        self.text, self.written = np.zeros(1 << 20, np.uint8), 0
 
     def _find(self, h: np.ndarray, head: np.ndarray) -> np.ndarray:
         """Number of each unit, -1 where unknown (open addressing, linear probing)."""
@@ -244,9 +247,21 @@ class Encoder:
         at[rest] = len(ids) + np.cumsum(n_more) - n_more
         return gather(np.concatenate([ids, more]), at, length), length
 
-    def _add(self, h: np.ndarray, head: np.ndarray, ids: np.ndarray, n_ids: np.ndarray) -> None:
+    def _other(self, unit: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Which slices of `data` are not the unit found for them (none, or another of its hash)."""
+        wrong = (unit < 0) | (self.size[unit] != size)
+        long = np.flatnonzero(~wrong & (size > 8))  # the first eight bytes are part of the key
+        mine, theirs = gather(data, start[long] + 8, size[long] - 8), gather(self.text, self.place[unit[long]] + 8, size[long] - 8)
+        if not np.array_equal(mine, theirs):
+            wrong[long[np.unique(np.repeat(np.arange(len(long)), size[long] - 8)[mine != theirs])]] = True
+        return wrong
+
+    def _add(self, h: np.ndarray, head: np.ndarray, raw: np.ndarray, size: np.ndarray, ids: np.ndarray, n_ids: np.ndarray) -> None:
         m = len(h)
-        for name in ("key", "start", "length"):
+        while len(self.text) < self.written + len(raw):
+            self.text = np.concatenate([self.text, np.zeros_like(self.text)])
+        self.text[self.written : self.written + len(raw)] = raw
+        for name in ("key", "start", "length", "size", "place"):
             a = getattr(self, name)
             while len(a) < self.n + m:
                 a = np.concatenate([a, np.zeros_like(a)])
@@ -255,7 +270,9 @@ class Encoder:
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         new = slice(self.n, self.n + m)
         self.key[new, 0], self.key[new, 1] = h, head
-        self.length[new] = n_ids
+        self.length[new], self.size[new] = n_ids, size
+        self.place[new] = self.written + np.cumsum(size) - size
+        self.written += len(raw)
         self.start[new] = self.used + np.cumsum(n_ids) - n_ids
         self.ids[self.used : self.used + len(ids)] = ids
         todo = np.arange(m)
@@ -296,8 +313,8 @@ class Encoder:
         cut[edge] = True
         start = np.flatnonzero(cut)
         end = np.append(start[1:], n)
-        buffer = padded(data)
-        h, head = hash_slices(buffer, start, end)
+        size = end - start
+        h, head = hash_slices(padded(data), start, end)
         unit = self._find(h, head)
         new = np.flatnonzero(unit < 0)
         if len(new):
@@ -306,10 +323,15 @@ class Encoder:
                 new = np.arange(len(start))
             _, pick = np.unique(h[new], return_index=True)
             new = new[pick]
-            self._add(h[new], head[new], *self._encode_units(data, kind, start[new], (end - start)[new]))
+            self._add(h[new], head[new], gather(data, start[new], size[new]), size[new], *self._encode_units(data, kind, start[new], size[new]))
             unit = self._find(h, head)
-        n_ids = self.length[unit]
-        ids = gather(self.ids, self.start[unit], n_ids)
+        n_ids, at, ids = self.length[unit], self.start[unit], self.ids
+        wrong = np.flatnonzero(self._other(unit, data, start, size))
+        if len(wrong):  # units that share a hash with another one
+            more, n_more = self._encode_units(data, kind, start[wrong], size[wrong])
+            n_ids[wrong], at[wrong] = n_more, len(ids) + np.cumsum(n_more) - n_more
+            ids = np.concatenate([ids, more])
+        ids = gather(ids, at, n_ids)
         owner = np.searchsorted(offsets, start, side="right") - 1
         return ids, np.bincount(owner, weights=n_ids, minlength=rows).astype(np.int64)
 

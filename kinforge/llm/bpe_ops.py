@@ -2,8 +2,8 @@
 
 One pass without a shuffle.  Defined cases: a null or empty text has no ids and
 decodes to the empty text; repeated rows and ties of doc_id give a row each; a
-null doc_id stays null; an empty table gives no rows; other columns are not
-read.
+null doc_id stays null; a text of any length is encoded whole, in memory of some
+times its size; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations

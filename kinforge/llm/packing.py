@@ -12,7 +12,8 @@ on that document alone.
 
 Defined cases: a null or empty text is the end token alone (one piece of length
 1); repeated rows and ties of doc_id are packed as rows of their own; a null
-doc_id stays null; an empty table gives no rows; other columns are not read.
+doc_id stays null; a text of any length is one document, read whole in memory of
+some times its size; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from kinforge.llm import bpe, bpe_ops, packing, queries
-from kinforge.llm.ragged import chunks
+from kinforge.llm.ragged import chunks, hash_slices
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = ["a", "the", " ", "  ", "\n", "\t", "é", "ß", "<|endoftext|>", "'s", "'ll", "'", "1", "²", "१", "क", "ि", "!", "?", "\xa0", " ", "　", "\x1c", "\x85", "—", "’", "😀", "‍", "Ω", "中", "aaaa", "<|", " \n", "\r\n", " ", "_", "\x00", "﻿", "ⅷ", "×", "thing", "."]
@@ -50,6 +50,23 @@ def test_a_full_table_starts_anew(monkeypatch, library):
         assert ids.tolist() == [i for t in texts for i in library.encode(t, add_special_tokens=False).ids]
 
 
+@pytest.mark.parametrize("bits", [0, 3, 64])
+def test_units_that_share_a_hash_are_told_apart(monkeypatch, library, bits):
+    """Forced collisions of the hash (the first eight bytes are compared beside it)."""
+
+    def collide(buffer, start, end):
+        h, head = hash_slices(buffer, start, end)
+        return h >> np.uint64(64 - bits) if bits else h * np.uint64(0), head
+
+    monkeypatch.setattr(bpe, "hash_slices", collide)
+    code = bpe.Encoder(PATH)
+    texts = ["one internationalisation two", "internationalization internationalisations one", "x two three 12345678a 12345678b", "", "one two"]
+    for _ in range(2):
+        raw = [t.encode() for t in texts]
+        ids, n = code.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_round_trip_query(spark, sf, doc_rows, library):
     got = {r["doc_id"]: r for r in queries.op3_bpe_round_trip(spark, sf).collect()}
     assert len(got) == len(doc_rows)
