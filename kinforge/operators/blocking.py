@@ -27,11 +27,19 @@ def query_keys(records: DataFrame) -> DataFrame:
     return keys.withColumnRenamed("entity_id", "source1_entity_id")
 
 
-def candidate_keys(records: DataFrame, order: list[str]) -> DataFrame:
-    """(country, strategy, key, candidate_entity_id, ord); ord is a struct of the
-    `order` columns, the order in which equal candidates are listed."""
-    known = records.filter(F.col("country").isNotNull()).withColumn("ord", F.struct(*order))
-    return exploded(known, "entity_id", "country", "ord").withColumnRenamed("entity_id", "candidate_entity_id").drop("pos")
+#: The order in which equal candidates are listed.
+ORDER = ("source", "entity_id")
+
+
+def candidate_keys(records: DataFrame, order: tuple[str, ...] = ORDER) -> DataFrame:
+    """(country, strategy, key, candidate_entity_id, ord_<column>...); the columns of
+    `order`, besides the id, by which equal candidates are listed."""
+    known = records.filter(F.col("country").isNotNull()).withColumns({f"ord_{c}": F.col(c) for c in order if c != "entity_id"})
+    return exploded(known, "entity_id", "country", *_ord(order)).withColumnRenamed("entity_id", "candidate_entity_id").drop("pos")
+
+
+def _ord(order: tuple[str, ...]) -> list[str]:
+    return [f"ord_{c}" for c in order if c != "entity_id"]
 
 
 def postings(keys: DataFrame, records: DataFrame) -> DataFrame:
@@ -67,18 +75,21 @@ def weights(post: DataFrame) -> DataFrame:
 
 
 def scores(asked: DataFrame, weighted: DataFrame, listed: DataFrame) -> DataFrame:
-    """(source1_entity_id, candidate_entity_id, blocking_score, first_pos, ord)."""
+    """(source1_entity_id, candidate_entity_id, blocking_score, first_pos, ord_...).
+
+    Only numbers are aggregated, so rows are summed by hash, before the shuffle too;
+    an id that is listed twice takes the least of each ord column."""
     met = split_join(asked, weighted, KEY).join(listed, KEY)
-    summed = met.groupBy("source1_entity_id", "candidate_entity_id").agg(
-        F.sum("weight").alias("s"), F.min("pos").alias("first_pos"), F.min("ord").alias("ord")
-    )
+    ords = [c for c in listed.columns if c.startswith("ord_")]
+    summed = met.groupBy("source1_entity_id", "candidate_entity_id").agg(F.sum("weight").alias("s"), F.min("pos").alias("first_pos"), *(F.min(c).alias(c) for c in ords))
     # rounded, so that the order of adding decides no rank
-    return summed.select("source1_entity_id", "candidate_entity_id", F.round("s", 9).alias("blocking_score"), "first_pos", "ord")
+    return summed.select("source1_entity_id", "candidate_entity_id", F.round("s", 9).alias("blocking_score"), "first_pos", *ords)
 
 
-def top_k(scored: DataFrame, k: int) -> DataFrame:
+def top_k(scored: DataFrame, k: int, order: tuple[str, ...] = ORDER) -> DataFrame:
     """The k best candidates of each record with their rank."""
-    best = Window.partitionBy("source1_entity_id").orderBy(F.col("blocking_score").desc(), "first_pos", "ord")
+    by = ["candidate_entity_id" if c == "entity_id" else f"ord_{c}" for c in order]
+    best = Window.partitionBy("source1_entity_id").orderBy(F.col("blocking_score").desc(), "first_pos", *by)
     ranked = scored.withColumn("candidate_rank", F.row_number().over(best)).filter(F.col("candidate_rank") <= k)
     return ranked.select("source1_entity_id", "candidate_entity_id", "blocking_score", "candidate_rank")
 
@@ -88,16 +99,16 @@ def candidate_pairs(
     candidates: DataFrame,
     k: int = 50,
     caps: dict[str, int] | None = None,
-    order: tuple[str, ...] = ("source", "entity_id"),
+    order: tuple[str, ...] = ORDER,
     strategies: tuple[str, ...] = rules.STRATEGIES,
 ) -> DataFrame:
     """Top k candidates of every record among candidates of the same country."""
-    asked, listed = query_keys(records), candidate_keys(candidates, list(order))
+    asked, listed = query_keys(records), candidate_keys(candidates, order)
     if tuple(strategies) != rules.STRATEGIES:
         asked, listed = (x.filter(F.col("strategy").isin(*strategies)) for x in (asked, listed))
     listed = checkpointed(listed)
     post = checkpointed(postings(listed, candidates))
-    return top_k(scores(asked, weights(under_cap(post, caps)), reachable(listed, post, caps)), k)
+    return top_k(scores(asked, weights(under_cap(post, caps)), reachable(listed, post, caps)), k, order)
 
 
 # --- how good the blocking is ---
@@ -105,10 +116,9 @@ def candidate_pairs(
 
 def attributed(truth: DataFrame, records: DataFrame, candidates: DataFrame) -> DataFrame:
     """Which strategies find each true pair, whatever the caps: one boolean each."""
-    order = ["entity_id"]
     known = truth.select("source1_entity_id", "candidate_entity_id").distinct()
     asked = query_keys(records).select("source1_entity_id", *KEY).distinct()
-    listed = candidate_keys(candidates, order).select("candidate_entity_id", *KEY).distinct()
+    listed = candidate_keys(candidates, ("entity_id",)).select("candidate_entity_id", *KEY).distinct()
     met = known.join(asked, "source1_entity_id").join(listed, ["candidate_entity_id", *KEY])
     found = met.groupBy("source1_entity_id", "candidate_entity_id").agg(*(F.max(F.col("strategy") == s).alias(s) for s in rules.STRATEGIES))
     out = known.join(found, ["source1_entity_id", "candidate_entity_id"], "left")

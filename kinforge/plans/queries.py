@@ -195,7 +195,7 @@ def _keys(strategy: str) -> Query:
 
 def _postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     catalogue = _inputs(spark, sf_dir).catalogue
-    return blocking.postings(blocking.candidate_keys(catalogue, ["entity_id"]), catalogue)
+    return blocking.postings(blocking.candidate_keys(catalogue, ("entity_id",)), catalogue)
 
 
 def posting_df(spark: SparkSession, sf_dir: str) -> DataFrame:
