@@ -20,8 +20,9 @@ def levenshtein_similarity(a: Column, b: Column) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     """Of two sets without repeats; 0 for two empty ones."""
-    union = F.size(F.array_union(a, b))
-    return F.when(union == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / union)
+    shared = F.size(F.array_intersect(a, b))
+    union = F.size(a) + F.size(b) - shared
+    return F.when(union == 0, 0.0).otherwise(shared / union)
 
 
 def qgrams(text: Column, q: int = 3) -> Column:
@@ -31,6 +32,19 @@ def qgrams(text: Column, q: int = 3) -> Column:
     return F.when(n == 0, F.array().cast("array<string>")).when(n < q, F.array(text)).otherwise(many)
 
 
+def trigram_codes(text: Column) -> Column:
+    """`qgrams` of three characters, each as one number made of their code points, so
+    that sets of them are compared as numbers."""
+    n = F.length(text)
+
+    def code(i: Column) -> Column:
+        one, two, three = (F.ascii(F.substring(text, i + k, F.lit(1))).cast("long") for k in range(3))
+        return F.shiftleft(one, 42).bitwiseOR(F.shiftleft(two, 21)).bitwiseOR(three)
+
+    made = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), code))
+    return F.when(n == 0, F.array().cast("array<bigint>")).otherwise(made)
+
+
 def digit_sets(text: Column) -> Column:
     """Set of the digit runs of a text without leading zeros."""
     runs = F.regexp_extract_all(text, F.lit(r"\p{Nd}+"), 0)
@@ -38,7 +52,7 @@ def digit_sets(text: Column) -> Column:
 
 
 def sorted_tokens(tokens: Column) -> Column:
-    return F.array_join(F.array_sort(tokens), " ")
+    return F.array_join(F.sort_array(tokens), " ")
 
 
 # --- many pairs at once, as bits of 64-bit words ---
@@ -169,7 +183,7 @@ def ratio(a: Column, b: Column) -> Column:
 
 def token_set_ratio(a: Column, b: Column) -> Column:
     """Best of three ratios of shared and own tokens of two token arrays (all sorted, without repeats)."""
-    only = [F.array_join(F.array_sort(F.array_except(x, y)), " ") for x, y in ((a, b), (b, a))]
+    only = [F.array_join(F.sort_array(F.array_except(x, y)), " ") for x, y in ((a, b), (b, a))]
     shared = F.length(F.array_join(F.array_intersect(a, b), " "))
     own = [F.length(x) for x in only]
     gap = F.when(shared > 0, 1).otherwise(0)

@@ -11,11 +11,13 @@ from kinforge.functions.similarity import (
     jaccard,
     jaro_winkler_udf,
     levenshtein_similarity,
-    qgrams,
+    ratio,
+    sorted_tokens,
     token_set_ratio,
-    token_sort_ratio,
+    trigram_codes,
 )
 from kinforge.functions.text import normalize
+from kinforge.shared import checkpointed
 
 # Names, order and types of the feature columns.
 FEATURES = (
@@ -33,7 +35,7 @@ FEATURES = (
 )
 FEATURE_NAMES = [name for name, _ in FEATURES]
 
-_SIDE = ["n_raw", "n_norm", "n_clean", "n_tokens", "n_has", "a_raw", "a_norm", "a_tokens", "a_has", "a_postal", "a_street", "c_norm"]
+_SIDE = ["n_raw", "n_norm", "n_clean", "n_has", "a_norm", "a_has", "a_postal", "a_street", "c_norm", "n_sorted", "a_sorted", "n_set", "a_set", "n_grams", "a_digits"]
 
 
 def with_meta(pairs: DataFrame) -> DataFrame:
@@ -47,11 +49,25 @@ def with_sides(pairs: DataFrame, records: DataFrame, candidates: DataFrame) -> D
     unknown side is dropped.  Candidates that no pair names are not normalized."""
     asked = pairs.select("candidate_entity_id").distinct()
     named = candidates.join(asked, candidates["entity_id"] == asked["candidate_entity_id"], "left_semi")
-    left = normalize(records).select(F.col("entity_id").alias("source1_entity_id"), F.struct(*_SIDE).alias("l"))
-    right = normalize(named).select(F.col("entity_id").alias("candidate_entity_id"), F.struct(*_SIDE).alias("r"))
+    left = sides(records).select(F.col("entity_id").alias("source1_entity_id"), F.struct(*_SIDE).alias("l"))
+    right = sides(named).select(F.col("entity_id").alias("candidate_entity_id"), F.struct(*_SIDE).alias("r"))
     return pairs.join(left, "source1_entity_id").join(right, "candidate_entity_id")
 
 
+def sides(records: DataFrame) -> DataFrame:
+    """Normalized records with what features need of one side only, made once a
+    record instead of once a pair."""
+    made = {
+        "n_sorted": sorted_tokens(F.col("n_tokens")),
+        "a_sorted": sorted_tokens(F.col("a_tokens")),
+        "n_set": F.array_distinct("n_tokens"),
+        "a_set": F.array_distinct("a_tokens"),
+        "n_grams": trigram_codes(F.col("n_clean")),
+        "a_digits": digit_sets(F.col("a_raw")),
+    }
+    return normalize(records).withColumns(made)
+
+
 def _flag(c: Column) -> Column:
     return F.coalesce(c, F.lit(False)).cast("int")
 
@@ -67,9 +83,10 @@ def features(sided: DataFrame) -> DataFrame:
 
     n1, n2 = both("n_norm")
     a1, a2 = both("a_norm")
-    t1, t2 = both("n_tokens")
-    u1, u2 = both("a_tokens")
+    t1, t2 = both("n_set")
+    u1, u2 = both("a_set")
     clean1, clean2 = both("n_clean")
+    grams1, grams2 = both("n_grams")
     raw1, raw2 = both("n_raw")
     named = F.col("l.n_has") & F.col("r.n_has")
     placed = F.col("l.a_has") & F.col("r.a_has")
@@ -77,7 +94,7 @@ def features(sided: DataFrame) -> DataFrame:
     coded = (p1 != "") & (p2 != "")
     s1, s2 = (F.regexp_replace(c, "^0+(?=.)", "") for c in both("a_street"))
     streets = s1.isNotNull() & s2.isNotNull()
-    d1, d2 = (digit_sets(c) for c in both("a_raw"))
+    d1, d2 = both("a_digits")
     c1, c2 = (F.lower(c) for c in both("c_norm"))
     rates = F.create_map(*(x for c, r in rules.COUNTRY_RATES.items() for x in (F.lit(c), F.lit(r))))
     source = F.when(F.col("candidate_entity_id").startswith("S3-"), 3).otherwise(2)
@@ -87,10 +104,10 @@ def features(sided: DataFrame) -> DataFrame:
     values = {
         "name_lev_sim": known(named, levenshtein_similarity(n1, n2)),
         "name_jw_sim": F.coalesce(jaro_winkler_udf(*only_named), F.lit(-1.0)),
-        "name_token_sort": F.coalesce(token_sort_ratio(F.when(named, t1), F.when(named, t2)), F.lit(-1.0)),
+        "name_token_sort": known(named, ratio(*(F.when(named, c) for c in both("n_sorted")))),
         "name_token_set": F.coalesce(token_set_ratio(F.when(named, t1), F.when(named, t2)), F.lit(-1.0)),
         "name_word_jaccard": known(named, jaccard(t1, t2)),
-        "name_char3_jaccard": known(named, jaccard(qgrams(clean1), qgrams(clean2))),
+        "name_char3_jaccard": known(named, jaccard(grams1, grams2)),
         "name_common_tokens": known(named, F.size(F.array_intersect(t1, t2))),
         "name_len_diff": known(named, F.abs(len1 - len2)),
         "name_len_ratio": known(named, F.least(len1, len2) / F.greatest(len1, len2)),
@@ -99,7 +116,7 @@ def features(sided: DataFrame) -> DataFrame:
         "name_suffix_match": known(named, F.lit(0.5)),
         "addr_lev_sim": known(placed, levenshtein_similarity(a1, a2)),
         "addr_jw_sim": F.coalesce(jaro_winkler_udf(*only_placed), F.lit(-1.0)),
-        "addr_token_sort": F.coalesce(token_sort_ratio(F.when(placed, u1), F.when(placed, u2)), F.lit(-1.0)),
+        "addr_token_sort": known(placed, ratio(*(F.when(placed, c) for c in both("a_sorted")))),
         "addr_token_set": F.coalesce(token_set_ratio(F.when(placed, u1), F.when(placed, u2)), F.lit(-1.0)),
         "addr_word_jaccard": known(placed, jaccard(u1, u2)),
         "addr_common_tokens": known(placed, F.size(F.array_intersect(u1, u2))),
@@ -140,8 +157,9 @@ def labelled(pairs: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def pair_features(ranked: DataFrame, records: DataFrame, candidates: DataFrame, truth: DataFrame | None = None) -> DataFrame:
-    """Feature rows of ranked candidate pairs."""
-    pairs = with_meta(ranked) if truth is None else labelled(with_meta(ranked), truth)
+    """Feature rows of ranked candidate pairs, which are written once: they say which
+    candidates are normalized and are joined with them."""
+    pairs = checkpointed(with_meta(ranked) if truth is None else labelled(with_meta(ranked), truth))
     return features(with_sides(pairs, records, candidates))
 
 

@@ -314,7 +314,7 @@ def clipped_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _features(*columns: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         inputs, _ = _sides(spark, sf_dir)
-        sided = features.with_sides(features.with_meta(_pairs(inputs)), inputs.s1, inputs.catalogue)
+        sided = features.with_sides(checkpointed(features.with_meta(_pairs(inputs))), inputs.s1, inputs.catalogue)
         return _shown(features.features(sided)).select(*IDS, *columns)
 
     return query

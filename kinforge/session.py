@@ -9,6 +9,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # the JVM compiles no larger methods, and wide projections run many times slower without
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # joins that make many rows of few bytes still use all cores
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "256k",
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",

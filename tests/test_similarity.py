@@ -103,4 +103,8 @@ def test_native_parts(spark):
     df = spark.createDataFrame([("abcd", "006201 x 000 6201"), ("ab", ""), ("", "१२ 7")], "t string, d string")
     rows = df.select(s.qgrams(F.col("t")).alias("q"), s.digit_sets(F.col("d")).alias("d")).collect()
     assert [sorted(r["q"]) for r in rows] == [["abc", "bcd"], ["ab"], []]
+    texts = ["abcabc", "a", "ab", "", "éa😀éa😀", "aaaa"]
+    codes = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", s.qgrams(F.col("t")).alias("q"), s.trigram_codes(F.col("t")).alias("c")).orderBy("k").collect()
+    number = lambda g: sum(ord(c) << 21 * (2 - i) for i, c in enumerate(g))
+    assert all(sorted(map(number, r["q"])) == sorted(r["c"]) for r in codes)
     assert [sorted(r["d"]) for r in rows] == [["0", "6201"], [], ["7", "१२"]]
