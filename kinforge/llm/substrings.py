@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinforge.llm.frames import mark_of
-from kinforge.llm.ragged import chunks, covered, gather, hash_slices, padded, window_hash, words
+from kinforge.llm.ragged import chunks, covered, gather, hash_slices, mix, padded, window_hash, words
 
 MIN_WORDS, SEED_WORDS = 13, 5
 #: Text in a block, and three times what is in a bucket: at least and at most.
@@ -122,7 +122,7 @@ class _Windows:
             place[less] = k
         self.at = np.flatnonzero(self.row[:n] == self.row[min_words - 1 :])
         self.place = self.at + place[self.at]
-        self.anchor = least[self.at] << np.uint64(64 - seed_bits)
+        self.anchor = mix(least[self.at])  # minima are small numbers: mixed, they fill all buckets alike
 
 
 @dataclass
