@@ -62,7 +62,7 @@ def _long(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def _rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.round(F.col(c).cast("double"), digits) for c in columns})
+    return df.withColumns({c: blocking.rounded(F.col(c).cast("double"), digits) for c in columns})
 
 
 def scan_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -297,7 +297,7 @@ def _feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _shown(rows: DataFrame) -> DataFrame:
     """Feature rows rounded, so that engines that add in other orders agree."""
-    floats = {f: F.round(F.col(f).cast("double"), 4 if f in ("blocking_score", "score_gap_to_top") else 5) for f, t in features.FEATURES if t == "float"}
+    floats = {f: blocking.rounded(F.col(f).cast("double"), 4 if f in ("blocking_score", "score_gap_to_top") else 5) for f, t in features.FEATURES if t == "float"}
     return _long(rows.withColumns(floats), *(f for f, t in features.FEATURES if t != "float"), *(["label"] if "label" in rows.columns else []))
 
 
@@ -336,7 +336,7 @@ def feature_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _scored(inputs: linkage.Inputs) -> DataFrame:
     """Candidate pairs with a hand-made score."""
-    return _pairs(inputs).withColumn("score", F.least(F.lit(1.0), F.round(F.col("blocking_score") / 40.0, 6)))
+    return _pairs(inputs).withColumn("score", F.least(F.lit(1.0), blocking.rounded(F.col("blocking_score") / 40.0, 6)))
 
 
 def entity_f05(spark: SparkSession, sf_dir: str) -> DataFrame:

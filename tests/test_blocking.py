@@ -2,6 +2,8 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import duckdb
+
 from kinforge.functions import keys, rules
 from kinforge.operators import blocking
 from kinforge.streaming import probe
@@ -124,3 +126,30 @@ def test_very_hot_keys_are_dropped_before_the_shuffle(spark):
     left = {(r["country"], r["key"]) for r in blocking.reachable(listed, post, caps).collect()}
     assert left == {("US", "cold")}  # at this size every key beyond its cap holds a large share
     assert blocking.reachable(listed, post.limit(0), caps).count() == listed.count()
+
+
+def test_scores_are_rounded_as_in_sql(spark):
+    """Scores of nine digits that end in 500: the decimal half and the product with a million part there."""
+    values = [16.0844915, *(round(k + 0.0000005 + j / 1e4, 9) for k in (8, 16, 32, 64) for j in range(2000))]
+    con = duckdb.connect()
+    con.execute("create table v (x double)")
+    con.executemany("insert into v values (?)", [(x,) for x in values])
+    want = sorted(con.execute("select x, round(x, 6) from v").fetchall())
+    df = spark.createDataFrame([(x,) for x in values], "x double")
+    assert sorted(map(tuple, df.select("x", blocking.rounded(df.x, 6)).collect())) == want
+    assert (16.0844915, 16.084491) in want
+
+
+def test_equal_keys_give_equal_sums(spark):
+    """Candidates of one text tie exactly, whatever the order of adding, and are listed by source and id; a block holds many records."""
+    words = [f"{a}{b}{c}" for a in "bdgkp" for b in "aeiou" for c in "lmnr"]
+    rows = [(f"S1-{i:04d}", " ".join(words[(i + j * 7) % 100] for j in range(4)), "12 lombard market 560001", "US", 1) for i in range(60)]
+    rows += [(f"S{2 + i % 2}-{i:04d}", " ".join(words[(i // 6 + j * 7) % 100] for j in range(4)), "12 lombard market 560001", "US", 2 + i % 2) for i in range(360)]
+    df = frame(spark, rows)
+    made = {r["source1_entity_id"]: [] for r in df.selectExpr("entity_id as source1_entity_id").collect()}
+    for r in blocking.candidate_pairs(df.filter("source = 1"), df.filter("source > 1"), 6).orderBy("source1_entity_id", "candidate_rank").collect():
+        made[r["source1_entity_id"]].append(r)
+    for i in range(60):
+        best = made[f"S1-{i:04d}"]
+        assert [r["candidate_entity_id"] for r in best] == [f"S{s}-{6 * i + k:04d}" for s in (2, 3) for k in range(s - 2, 6, 2)]
+        assert len({r["blocking_score"] for r in best}) == 1
