@@ -11,7 +11,8 @@ from kinforge.functions import keys, rules, text
 from kinforge.operators import blocking, features, metrics, model, split, validate
 from kinforge.plans import linkage
 from kinforge.plans.oracle import LOW_CAPS, MISSING_FLAGS, RANK_K, SQL
-from kinforge.shared import checkpointed, new_folder
+from kinforge.session import SETTINGS
+from kinforge.shared import checkpointed, new_folder, settings
 from kinforge.sources import records as rec
 from kinforge.streaming import probe
 
@@ -426,11 +427,24 @@ def matched_not_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.not_in_candidates(*(validate.parsed(x) for x in lines))
 
 
+#: What the wide projection of the feature rows needs in any session: the JVM only interprets
+#: the one large method that Spark would make of it, and partitions joined by their bytes are
+#: few and uneven where a row costs that much.
+_WIDE = {"spark.sql.codegen.hugeMethodLimit": SETTINGS["spark.sql.codegen.hugeMethodLimit"], "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+
+
+def _written_features(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    """Feature rows, written once and read again."""
+    rows = _feature_rows(spark, sf_dir)
+    with settings(spark, _WIDE):
+        rec.write_parquet(rows, f"{folder}/rows")
+    return spark.read.parquet(f"{folder}/rows")
+
+
 def gbt_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of a model that is stored and loaded again."""
     folder = _folder(spark)
-    rec.write_parquet(_feature_rows(spark, sf_dir), f"{folder}/rows")
-    rows = spark.read.parquet(f"{folder}/rows")
+    rows = _written_features(spark, sf_dir, folder)
     model.save(model.train(rows, model.Learner("gbt", dict(model.GBT_VARIANTS["quick"]))), f"{folder}/model")
     return model.score(features.clipped(rows), model.load(f"{folder}/model")).select(*IDS, "label", "score")
 
@@ -438,8 +452,7 @@ def gbt_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gbt_cv_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ROC-AUC and average precision of out-of-fold scores."""
     folder = _folder(spark)
-    rec.write_parquet(_feature_rows(spark, sf_dir), f"{folder}/rows")
-    scored = model.out_of_fold(spark.read.parquet(f"{folder}/rows"), model.Learner("gbt", {"maxIter": 5, "maxDepth": 4}))
+    scored = model.out_of_fold(_written_features(spark, sf_dir, folder), model.Learner("gbt", {"maxIter": 5, "maxDepth": 4}))
     return metrics.ranking_quality(scored)
 
 

@@ -72,3 +72,28 @@ def test_correlation_of_a_constant(spark, rows):
     got = {r["feature"]: r for r in features.label_correlation(df).collect()}
     assert got["name_lev_sim"]["correlation"] is None and got["name_lev_sim"]["status"] == "constant"
     assert got["name_jw_sim"]["correlation"] == pytest.approx(0.4472136)
+
+
+def test_feature_rows_are_written_under_their_settings(spark, sf, tmp_path, monkeypatch):
+    """The wide projection is not made one method that the JVM only interprets, and its tasks are not joined by bytes; the session is as before."""
+    from kinforge.plans import queries
+
+    name, seen = "spark.sql.codegen.hugeMethodLimit", []
+    before, write = spark.conf.get(name), queries.rec.write_parquet
+    monkeypatch.setattr(queries.rec, "write_parquet", lambda df, path: (seen.append((spark.conf.get(name), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled"))), write(df, path)))
+    monkeypatch.setattr(queries, "_feature_rows", lambda spark, sf_dir: spark.range(5))
+    assert queries._written_features(spark, sf, str(tmp_path)).count() == 5
+    assert seen == [("8000", "false")] and spark.conf.get(name) == before
+
+
+def test_sets_are_intersected_once(spark):
+    """Names, places, trigrams and digits are each intersected once a pair (and the tokens once more for the set ratio)."""
+    from kinforge.operators import features
+
+    rows = spark.createDataFrame([("S1-1", "acme tools", "12 elm", "US", 1), ("S2-1", "acme tool", "12 elm st", "US", 2)], "entity_id string, business_name string, business_address string, country string, source tinyint")
+    ranked = spark.createDataFrame([("S1-1", "S2-1", 3.0, 1)], "source1_entity_id string, candidate_entity_id string, blocking_score double, candidate_rank int")
+    made = features.pair_features(ranked, rows.filter("source = 1"), rows.filter("source = 2"))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_intersect(") <= 6
+    r = made.first()
+    assert (r["name_common_tokens"], r["addr_common_tokens"], r["digits_overlap"]) == (1, 2, 1) and round(r["addr_word_jaccard"], 4) == 0.6667
